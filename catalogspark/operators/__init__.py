@@ -1,0 +1 @@
+"""DataFrame operators. Each takes and returns DataFrames; dates, viewers and limits are parameters."""

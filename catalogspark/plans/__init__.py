@@ -1,5 +1,10 @@
 """Registered queries over the driver's tables."""
 
+from importlib import import_module
+
+_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "feeds", "stream")
+
 
 def load() -> None:
-    pass
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")

@@ -1,0 +1 @@
+"""Sources: the driver's tables as catalog entities, and the feeds' wire formats."""
