@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GROUP_BYTES = 2 << 20
 _U = np.uint64
@@ -162,3 +163,67 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of runs of equal neighbours."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def by_bucket(keys: np.ndarray, n: int):
+    """(order, bucket, starts, lengths): a stable order of the keys by bucket, with the runs of each bucket met."""
+    bucket = ((keys >> _U(33)) % _U(n)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts, lengths = runs(bucket)
+    return order, bucket, starts, lengths
+
+
+#: Bits of a filter of hashes; its size does not follow the data. False hits only add rows to a join.
+FILTER_BITS = 1 << 23
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit array of ``FILTER_BITS`` for a table with one bigint column of hashes: 256 rows of 4 KB at most reach the driver."""
+    c = hashes.columns[0]
+    bit = F.pmod(F.col(c), F.lit(FILTER_BITS))
+    rows = hashes.where(F.col(c).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        # bucket k holds the values (k - 1) * 32768 + 1 ... k * 32768, at the positions 0 ... 32767; bucket 0 holds 0
+        out[((r["k"] - 1) * 32768 + 1 + np.flatnonzero(bits)) % FILTER_BITS if r["k"] else 0] = True
+    return np.packbits(out, bitorder="little")
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes.view(np.uint64) & _U(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every end of ``edges (a, b)``; component is the least id reachable.
+
+    Large-star and small-star steps until nothing moves, each step's edges written to the
+    shared folder; a hub's edges are never gathered in one group.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = stored(e, "edges")
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = mark(e)
+    while last[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = stored(small.where("u <> v").distinct(), "edges")
+        now = mark(e)
+        if now == last:
+            break
+        last = now
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return out.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
