@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "feeds", "stream")
+_MODULES = ("calendar", "matching", "reconciling", "monitoring")
 
 
 def load() -> None:
