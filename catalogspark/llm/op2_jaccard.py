@@ -3,7 +3,7 @@
 A set of ``s`` shingles belongs to a size band whose ends lie a factor of 0.75 apart, so two
 sets with a Jaccard similarity of 0.75 or more lie in the same band or in neighbouring ones and
 differ in ``k = 2 * top / 7`` elements at most, ``top`` being the larger band's end. Each band
-deals the domain of shingles into ``n > k + 1`` parts; a set's signatures are the hashes of its
+deals the domain of shingles into ``n = 2 * k + 1`` parts; a set's signatures are the hashes of its
 parts, one for each part (the subsets of size one of PartEnum's second level). Two similar sets
 agree on ``n - k`` parts at least.
 
@@ -50,7 +50,7 @@ def _bands(limit: int = 1 << 40) -> np.ndarray:
 
 BANDS = _bands()
 _K = BANDS * 2 // 7
-_PARTS = _K + 1 + np.maximum(1, _K // 2)
+_PARTS = 2 * _K + 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +115,27 @@ def _two_bands(size: np.ndarray):
     return own, 4 * size >= 3 * (BANDS[own] + 1)
 
 
-def _sure(h, ends, rows, band):
-    """Agreement that is sure beside the empty parts; at 0 or less the set is poor."""
-    _, row, empty = _cells(h, ends, rows, band)
-    return _PARTS[band] - _K[band] - np.bincount(row[empty], minlength=len(rows))
+def _sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each set's occupied cells among ``2 ** i >= 2 * size``, as bits."""
+    cell = mix(h ^ _U(0x632BE59BD9B4E019))
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        m = max(8, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 8
+        bits = np.zeros(m, bool)
+        bits[(cell[a:b] & _U(m - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """False only where the sets can't be similar: an element of both occupies a cell of both, and at most the smaller excess shares one."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    most = int(np.bitwise_count(p & q).sum()) + min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum()))
+    return 100 * most >= 75 * (n + m - most)
 
 
 def _each(batch):
@@ -130,17 +147,11 @@ def _each(batch):
 def _describe(batches):
     for batch in batches:
         for a, b, h, ends in _each(batch):
-            size = np.diff(ends)
-            own, up = _two_bands(np.maximum(size, 1))
-            all_rows = np.arange(b - a)
-            s0, s1 = _sure(h, ends, all_rows, own), np.full(b - a, 1 << 30)
-            some = np.flatnonzero(up)
-            s1[some] = _sure(h, ends, some, own[some] + 1)
-            cols = [batch.column("key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(_nodes(h, ends).view(np.int64)), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "n", "node", "sure0", "sure1"])
+            cols = [batch.column("key").slice(a, b - a), pa.array(np.diff(ends), pa.int64()), pa.array(_nodes(h, ends).view(np.int64)), pa.array(_sketches(h, ends), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "n", "node", "sketch"])
 
 
-_BLOB = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("node", pa.binary()), ("run", pa.binary())])
+_BLOB = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("node", pa.binary()), ("run", pa.binary()), ("sure", pa.binary())])
 
 
 def _fresh(node: np.ndarray, seen: set, most: int = 500_000) -> np.ndarray:
@@ -160,7 +171,7 @@ def _sign(buckets: int):
                 rows = _fresh(node, seen)
                 size = np.diff(ends)
                 own, up = _two_bands(np.maximum(size, 1))
-                sig, who = [], []
+                sig, who, sure = [], [], np.zeros(2 * len(node), "<i4")
                 for flag, some in ((0, rows), (1, rows[up[rows]])):
                     band = own[some] + flag
                     able = _K[band] > 0  # else only equal sets are similar
@@ -168,8 +179,8 @@ def _sign(buckets: int):
                     if not len(some):
                         continue
                     s, row, empty = _cells(h, ends, some, band)
-                    poor = (_PARTS[band] - _K[band] - np.bincount(row[empty], minlength=len(some)) <= 0)[row]
-                    keep = ~empty | poor
+                    sure[some << 1 | flag] = agree = _PARTS[band] - _K[band] - np.bincount(row[empty], minlength=len(some))
+                    keep = ~empty | (agree <= 0)[row]
                     sig.append(s[keep])
                     who.append((some[row[keep]] << 1) | flag)
                 if not sig:
@@ -185,12 +196,13 @@ def _sign(buckets: int):
                     out["sig"].append(sig[s : s + n].tobytes())
                     out["node"].append(node[w[first] >> 1].tobytes())
                     out["run"].append(((run_n << 1) | (w[first] & 1)).astype("<u4").tobytes())
+                    out["sure"].append(sure[w[first]].tobytes())
                 yield pa.RecordBatch.from_pydict(out, _BLOB)
 
     return run
 
 
-_LISTS = pa.schema([("hot", pa.bool_()), ("size", pa.binary()), ("node", pa.binary()), ("flag", pa.binary())])
+_LISTS = pa.schema([("hot", pa.bool_()), ("size", pa.binary()), ("node", pa.binary()), ("flag", pa.binary()), ("sure", pa.binary())])
 
 
 def _match(rows: pa.Table) -> pa.Table:
@@ -198,19 +210,20 @@ def _match(rows: pa.Table) -> pa.Table:
     sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("sig")])
     runs_ = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("run")])
     node = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("node")])
-    node, flag = np.repeat(node, runs_ >> 1), np.repeat((runs_ & 1).astype(np.uint8), runs_ >> 1)
+    sure = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in rows.column("sure")])
+    node, flag, sure = np.repeat(node, runs_ >> 1), np.repeat((runs_ & 1).astype(np.uint8), runs_ >> 1), np.repeat(sure, runs_ >> 1)
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     twin = np.zeros(len(sig), bool)
     same = sig[1:] == sig[:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    sig, node, flag = sig[twin], node[order][twin], flag[order][twin]
-    order = np.lexsort((flag, node, sig))
-    sig, node, flag = sig[order], node[order], flag[order]
+    sig, order = sig[twin], order[twin]
+    order = order[np.lexsort((flag[order], node[order], sig))]
+    sig, node, flag, sure = np.sort(sig), node[order], flag[order], sure[order]
     if len(sig):
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        sig, node, flag = sig[new], node[new], flag[new]
+        sig, node, flag, sure = sig[new], node[new], flag[new], sure[new]
     starts, lengths = runs(sig)
     out = {c: [] for c in _LISTS.names}
     for hot in (False, True):
@@ -231,27 +244,29 @@ def _match(rows: pa.Table) -> pa.Table:
                 out["size"].append(lengths[part].astype("<i8").tobytes())
                 out["node"].append(node[inside].tobytes())
                 out["flag"].append(flag[inside].tobytes() if hot else b"")
+                out["sure"].append(sure[inside].tobytes() if hot else b"")
     return pa.Table.from_pydict(out, _LISTS)
 
 
 def _lists(batch):
-    for hot, size, node, flag in zip(*(batch.column(c) for c in _LISTS.names)):
-        yield hot.as_py(), np.frombuffer(size.as_py(), "<i8"), np.frombuffer(node.as_py(), np.int64), np.frombuffer(flag.as_py(), np.uint8)
+    for hot, size, node, flag, sure in zip(*(batch.column(c) for c in _LISTS.names)):
+        yield hot.as_py(), np.frombuffer(size.as_py(), "<i8"), np.frombuffer(node.as_py(), np.int64), np.frombuffer(flag.as_py(), np.uint8), np.frombuffer(sure.as_py(), "<i4")
 
 
 def _hot_counts(batches):
     for batch in batches:
-        for hot, _, node, flag in _lists(batch):
+        for hot, _, node, flag, sure in _lists(batch):
             if hot:
                 order = np.lexsort((flag, node))
-                node, flag = node[order], flag[order]
-                starts, n = runs((node.view(np.uint64) << _U(1)) ^ flag ^ (node.view(np.uint64) >> _U(63)) * _U(6))
-                yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(flag[starts].astype(np.int32)), pa.array(n)], ["node", "flag", "hot"])
+                node, flag, sure = node[order], flag[order], sure[order]
+                starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (flag[1:] != flag[:-1])]))
+                n = np.diff(np.append(starts, len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(flag[starts].astype(np.int32)), pa.array(n), pa.array(sure[starts].astype(np.int64))], ["node", "flag", "hot", "sure"])
 
 
 def _kept_lists(batch, poor):
     """Lists to be compared: those that aren't hot, and the poor sets of hot ones."""
-    for hot, size, node, _ in _lists(batch):
+    for hot, size, node, _, _ in _lists(batch):
         which = np.repeat(np.arange(len(size)), size)
         if hot:
             keep = in_filter(poor, node)
@@ -292,8 +307,8 @@ def _open_lists(poor, failed):
                 if keep.any():
                     w, x = which[keep], node[keep].view(np.uint64)
                     starts, n = runs(w)
-                    name = mix(np.add.reduceat(mix(x), starts) + n.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)), pa.array(x.view(np.int64))], ["list", "node"])
+                    name = mix(np.add.reduceat(mix(x), starts) + n.astype(np.uint64)).view(np.int64)  # of equal lists one is enough
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)), pa.array(x.view(np.int64)), pa.array(np.repeat(n > HOT, n))], ["list", "node", "long"])
 
     return run
 
@@ -320,19 +335,73 @@ def _checked(batches):
             both = np.sort(np.concatenate([x, y]))
             n = int((both[1:] == both[:-1]).sum())
             good.append(100 * n >= 75 * (len(x) + len(y) - n))
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(pair_hash(a, b)), pa.array(good, pa.bool_())], ["a", "b", "pair", "linked"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _check(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, pair, linked) for each pair of sets; only sets of some pair are read from the texts."""
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = spark.sparkContext.broadcast(hash_filter(ends))
+def _possible(batches):
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m")))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array([_may_link(*r) for r in rows], pa.bool_()))
+
+
+def _fold(sketches: list[bytes]) -> np.ndarray:
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, least), axis=0) for x in sketches])
+
+
+def _across(rows: pa.Table) -> pa.Table:
+    """Pairs of a block of a long list that lie in different components and that sketches don't refuse."""
+    node, part, n, left = (rows.column(c).to_numpy() for c in ("node", "part", "n", "left"))
+    bits = _fold(rows.column("sketch").to_pylist())
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+    spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    one_block = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    mine, other = np.flatnonzero(left), np.arange(len(node)) if one_block else np.flatnonzero(~left)
+    a, b = [], []
+    for i in mine.tolist():
+        most = np.bitwise_count(bits[i] & bits[other]).sum(1, dtype=np.int64) + np.minimum(spare[i], spare[other])
+        hit = other[(100 * most >= 75 * (n[i] + n[other] - most)) & (part[other] != part[i])]
+        hit = hit[node[hit] > node[i]] if one_block else hit
+        a.append(np.full(len(hit), node[i]))
+        b.append(node[hit])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _in_long_lists(left: DataFrame, one: DataFrame, block: int = 1024) -> DataFrame:
+    """Likely pairs across components in lists of any length: blocks of about ``block`` members meet each other, and no pair leaves a block but a likely one."""
+    size = left.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = left.join(size, "list").join(one, "node").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    rows = rows.select("list", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("left"), "node", "part", "n", "sketch")
+    return rows.groupBy("list", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
+
+
+def _one_each(sized: DataFrame) -> DataFrame:
+    return sized.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+
+def _likely(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sketches don't refuse."""
+    x = one.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
+    y = one.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_possible, "a bigint, b bigint")
+
+
+def _linked(likely: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar sets, decided on the whole sets, which are read from the texts again."""
+    spark = likely.sparkSession
+    likely = stored(likely, "likely")
+    wanted = spark.sparkContext.broadcast(hash_filter(likely.select(F.explode(F.array("a", "b")).alias("node"))))
     sets = rows.select("text").mapInArrow(_sets(wanted), "node bigint, items binary")
     sets = stored(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").mapInArrow(_checked, "a bigint, b bigint, pair bigint, linked boolean"), "checked")
+    return stored(likely.join(x, "a").join(y, "b").mapInArrow(_checked, "a bigint, b bigint"), "linked")
+
+
+def _pair_hashes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(batch.column("a").to_numpy(), batch.column("b").to_numpy()))], ["pair"])
 
 
 def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -342,26 +411,27 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     kind = dict(docs.select(id_column).dtypes)[id_column]
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
-    sized = stored(rows.mapInArrow(_describe, f"key {kind}, n bigint, node bigint, sure0 bigint, sure1 bigint"), "sizes")
-    signed = rows.select("text").mapInArrow(_sign(buckets), "bucket int, sig binary, node binary, run binary")
-    lists = stored(signed.groupBy("bucket").applyInArrow(_match, "hot boolean, size binary, node binary, flag binary"), "lists")
-    hot = lists.where("hot").mapInArrow(_hot_counts, "node bigint, flag int, hot bigint").groupBy("node", "flag").agg(F.sum("hot").alias("hot"))
-    sure = sized.select("node", F.explode(F.array(F.struct(F.lit(0).alias("flag"), F.col("sure0").alias("sure")), F.struct(F.lit(1).alias("flag"), F.col("sure1").alias("sure")))).alias("s"))
-    sure = sure.select("node", "s.flag", "s.sure").groupBy("node", "flag").agg(F.min("sure").alias("sure"))
-    poor = sc.broadcast(hash_filter(hot.join(sure, ["node", "flag"]).where("hot >= sure").select("node")))
+    sized = stored(rows.mapInArrow(_describe, f"key {kind}, n bigint, node bigint, sketch binary"), "sizes")
+    signed = rows.select("text").mapInArrow(_sign(buckets), "bucket int, sig binary, node binary, run binary, sure binary")
+    lists = stored(signed.groupBy("bucket").applyInArrow(_match, "hot boolean, size binary, node binary, flag binary, sure binary"), "lists")
+    hot = lists.where("hot").mapInArrow(_hot_counts, "node bigint, flag int, hot bigint, sure bigint")
+    hot = hot.groupBy("node", "flag").agg(F.sum("hot").alias("hot"), F.min("sure").alias("sure"))
+    poor = sc.broadcast(hash_filter(hot.where("hot >= sure").select("node")))
     pairs = stored(lists.mapInArrow(_neighbours(poor), "a bigint, b bigint").distinct(), "pairs")
-    first = _check(pairs, rows)
-    labels = components(first.where("linked"))
-    failed = sc.broadcast(hash_filter(first.where("NOT linked").select("pair")))
-    left = lists.mapInArrow(_open_lists(poor, failed), "list bigint, node bigint").distinct()
-    left = left.join(labels.withColumnRenamed("id", "node"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("part"))
+    one = stored(_one_each(sized), "sketches")
+    first = _linked(_likely(pairs, one), rows)
+    labels = components(first)
+    failed = pairs.join(first, ["a", "b"], "left_anti")
+    failed = sc.broadcast(hash_filter(failed.mapInArrow(_pair_hashes, "pair bigint")))
+    left = lists.mapInArrow(_open_lists(poor, failed), "list bigint, node bigint, long boolean").distinct()
+    left = left.join(labels.withColumnRenamed("id", "node"), "node", "left").select("list", "node", "long", F.coalesce("component", "node").alias("part"))
     left = stored(left, "open")
-    other = left.select("list", F.col("node").alias("b"), F.col("part").alias("q"))
-    across = left.select("list", F.col("node").alias("a"), F.col("part").alias("p")).join(other, "list").where("p < q")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _check(stored(across, "across"), rows)
-    found = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
-    part = components(found)
+    short = left.where("NOT long")
+    other = short.select("list", F.col("node").alias("b"), F.col("part").alias("q"))
+    across = short.select("list", F.col("node").alias("a"), F.col("part").alias("p")).join(other, "list").where("p < q")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = _linked(_likely(across, one).unionByName(_in_long_lists(left.where("long"), one)).distinct(), rows)
+    part = components(first.unionByName(second)) if second.take(1) else labels
     known = sized.join(part.withColumnRenamed("id", "node"), "node", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
     least = known.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("component_id"))
     out = known.join(least, "part", "left")
