@@ -33,9 +33,11 @@ from .common import SPACE, _U, ascii_lower, by_bucket, components, groups, hash_
 
 NAME = "op2_jaccard"
 WORDS = 5
-HOT = 32
+HOT = 12
 #: Lists of candidates are written in rows of about this many members.
 LIST_ROW = 200_000
+#: Of a set's long lists, the first so many tell whether another list has met the same pair.
+LOW = 6
 _WORD = ~SPACE
 _STEP = [_U(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(WORDS)]
 _EMPTY = _U(0xA24BAED4963EE407)
@@ -116,11 +118,11 @@ def _two_bands(size: np.ndarray):
 
 
 def _sketches(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Each set's occupied cells among ``2 ** i >= 2 * size``, as bits."""
+    """Each set's occupied cells among ``2 ** i >= 4 * size``, as bits."""
     cell = mix(h ^ _U(0x632BE59BD9B4E019))
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        m = max(8, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 8
+        m = max(8, 1 << (4 * (b - a) - 1).bit_length()) if b > a else 8
         bits = np.zeros(m, bool)
         bits[(cell[a:b] & _U(m - 1)).astype(np.int64)] = True
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -303,6 +305,8 @@ def _open_lists(poor, failed):
                 near = np.flatnonzero(which[1:] == which[:-1])
                 a, b = np.minimum(node[near], node[near + 1]), np.maximum(node[near], node[near + 1])
                 bad = np.unique(which[near[in_filter(failed.value, pair_hash(a, b))]])
+                size = np.bincount(which)
+                bad = bad[size[bad] > 2]  # two members have been compared
                 keep = np.isin(which, bad)
                 if keep.any():
                     w, x = which[keep], node[keep].view(np.uint64)
@@ -355,6 +359,9 @@ def _across(rows: pa.Table) -> pa.Table:
     bits = _fold(rows.column("sketch").to_pylist())
     bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
     spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    name = rows.column("list")[0].as_py()
+    low = rows.column("low").to_pylist()
+    low = np.array([x + [name] * (LOW - len(x)) for x in low])
     one_block = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
     mine, other = np.flatnonzero(left), np.arange(len(node)) if one_block else np.flatnonzero(~left)
     a, b = [], []
@@ -362,6 +369,8 @@ def _across(rows: pa.Table) -> pa.Table:
         most = np.bitwise_count(bits[i] & bits[other]).sum(1, dtype=np.int64) + np.minimum(spare[i], spare[other])
         hit = other[(100 * most >= 75 * (n[i] + n[other] - most)) & (part[other] != part[i])]
         hit = hit[node[hit] > node[i]] if one_block else hit
+        # another list holds both, and comes first
+        hit = hit[~((low[hit][:, :, None] == low[i]) & (low[i] < name)).any((1, 2))]
         a.append(np.full(len(hit), node[i]))
         b.append(node[hit])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -370,10 +379,11 @@ def _across(rows: pa.Table) -> pa.Table:
 
 def _in_long_lists(left: DataFrame, one: DataFrame, block: int = 1024) -> DataFrame:
     """Likely pairs across components in lists of any length: blocks of about ``block`` members meet each other, and no pair leaves a block but a likely one."""
+    low = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("list")), 1, LOW).alias("low"))
     size = left.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = left.join(size, "list").join(one, "node").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = left.join(size, "list").join(one.join(low, "node"), "node").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    rows = rows.select("list", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("left"), "node", "part", "n", "sketch")
+    rows = rows.select("list", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("left"), "node", "part", "n", "sketch", "low")
     return rows.groupBy("list", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
 
 
