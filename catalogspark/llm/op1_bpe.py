@@ -7,6 +7,10 @@ contracts each word's leftmost pair of least rank until no pair is left; an orde
 aggregation gives the ids, and a second one, over the ids joined to the vocabulary, the
 decoded bytes. A document's ids are those of its words in order.
 
+The recursion's rows grow with the square of a word's length. So words are taken together by the sum of
+their squares, and a word over ``LONG_WORD`` bytes (a run of letters, digits or signs without a blank) is
+contracted pair by pair from a heap instead, in the same order.
+
 Words met before are kept in a bounded table of the Python worker, which only saves work.
 Null and empty texts give no ids. Repeated rows are encoded like any other.
 """
@@ -28,6 +32,8 @@ from .common import table
 NAME = "op1_bpe"
 #: Text taken at a time, and the most bytes of words kept by a worker.
 BATCH_CHARS = 4_000_000
+#: Bytes of a word, and sum of squared bytes of words, up to which the recursive query is used at once.
+LONG_WORD, BATCH_SQUARES = 1500, 5_000_000
 KEPT_BYTES = 60_000_000
 
 _RECURSION = """
@@ -83,10 +89,12 @@ class Codec:
             for i in range(1, len(t))
             if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None
         ]
+        self.merged = dict(pairs)
         keys, merged = zip(*pairs) if pairs else ((), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", {"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int32())})
         self._load("vocab", {"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in ranks])})
+        self.piece = {r: t for t, r in ranks.items()}
         self.ids: dict[str, bytes] = {}
         self.text: dict[bytes, bytes] = {}
         self.kept = 0
@@ -97,11 +105,44 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arrow_rows")
         self.db.unregister("arrow_rows")
 
+    def contract(self, raw: bytes) -> list[int]:
+        """Ids of a long word: the leftmost pair of least rank first, from a heap."""
+        from heapq import heapify, heappop, heappush
+
+        tok = self.first[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
+        pair = lambda i: self.merged.get(tok[i] * 16777216 + tok[after[i]]) if after[i] < len(tok) else None
+        heap = [(m, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (m := pair(i)) is not None]
+        heapify(heap)
+        while heap:
+            m, i, a, b = heappop(heap)
+            j = after[i]
+            if tok[i] != a or j >= len(tok) or tok[j] != b:
+                continue
+            tok[i], tok[j], after[i] = m, -1, after[j]
+            if after[j] < len(tok):
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (n := pair(k)) is not None:
+                    heappush(heap, (n, k, tok[k], tok[after[k]]))
+        return [t for t in tok if t >= 0]
+
     def learn(self, words: list[str]) -> None:
-        """Runs the recursion on new words, at most 50,000 bytes-rich words at a time."""
-        for k in range(0, len(words), 40_000):
-            part = words[k : k + 40_000]
-            raw = [w.encode() for w in part]
+        """Runs the recursion on new words."""
+        raw_words = [(w, w.encode()) for w in words]
+        for w, raw in raw_words:
+            if len(raw) > LONG_WORD:
+                ids = self.contract(raw)
+                self.ids[w] = x = np.array(ids, "<u4").tobytes()
+                self.text[x] = b"".join([self.piece[i] for i in ids])
+                self.kept += len(raw) * 3 + 150
+        short = [x for x in raw_words if len(x[1]) <= LONG_WORD]
+        if not short:
+            return
+        square = np.cumsum([len(r) ** 2 for _, r in short]) // BATCH_SQUARES
+        for part in np.split(np.arange(len(short)), np.flatnonzero(np.diff(square)) + 1):
+            raw = [short[i][1] for i in part]
+            part = [short[i][0] for i in part]
             n = np.array([len(x) for x in raw])
             flat = np.frombuffer(b"".join(raw), np.uint8)
             init = pa.table({"w": np.repeat(np.arange(len(raw), dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int32), "tok": self.first[flat]})

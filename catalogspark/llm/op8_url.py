@@ -75,7 +75,7 @@ def mine(pages: DataFrame, labels: DataFrame, page_column: str = "page_id", samp
     usual = [r["item"] for r in usual.orderBy(F.desc("n"), "item").collect()]  # at most: tokens of the sample over least
     keep = F.array(*[F.lit(x) for x in usual]) if usual else F.array().cast("array<string>")
     sets = seen.select(F.array_intersect("items", keep).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=least * confidence / n, minConfidence=confidence).fit(sets)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least * confidence / n), minConfidence=confidence).fit(sets)
     rules = found.associationRules.where(F.array_contains("consequent", _POOR) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") > 1) & (F.col("support") * n >= least * confidence))
     often = seen.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence")
