@@ -28,7 +28,7 @@ def health_transitions(spark, sf_dir):
     return runs.transitions(Catalog(spark, sf_dir).runs).withColumn("streak", F.col("streak").cast("bigint"))
 
 
-_LAST = "last AS (SELECT source_key, max(started_at) AS at, arg_max(status, (started_at, id)) AS status, arg_max(id, (started_at, id)) AS id, count(*) AS runs, count(*) FILTER (status = 'failed') AS failures FROM runs GROUP BY source_key)"
+_LAST = "last AS (SELECT source_key, max(started_at) AS latest, arg_max(status, (started_at, id)) AS status, arg_max(id, (started_at, id)) AS id, count(*) AS runs, count(*) FILTER (status = 'failed') AS failures FROM runs GROUP BY source_key)"
 
 
 @register("source_dashboard", sql("runs") + f", {_LAST} SELECT source_key, id AS last_run, status AS last_status, runs, failures FROM last")
@@ -41,7 +41,7 @@ def source_dashboard(spark, sf_dir):
 @register(
     "source_due",
     sql("runs") + f""", {_LAST} SELECT source_key FROM last WHERE source_key % 6 <> 5 AND status <> 'running' AND
-    epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(at) >= 3600 * CASE source_key % 4 WHEN 0 THEN 22 WHEN 1 THEN 156 WHEN 2 THEN 648 END""",
+    epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(latest) >= 3600 * CASE source_key % 4 WHEN 0 THEN 22 WHEN 1 THEN 156 WHEN 2 THEN 648 END""",
 )
 def source_due(spark, sf_dir):
     last = lookup.first_by(Catalog(spark, sf_dir).runs, ["source_key"], F.desc("started_at"), F.desc("id"))

@@ -25,7 +25,7 @@ _SPLIT = "(SELECT quantile_disc(event_id, 0.7) FROM events)"
     "observation_upsert",
     sql("observations") + """, old AS (SELECT source_key, record_id, arg_max(snapshot, id) AS snapshot, max(seen_at) AS last_seen FROM observations WHERE id % 10 < 7 GROUP BY ALL),
     batch AS (SELECT source_key, record_id, arg_max(snapshot, id) AS snapshot, arg_max(seen_at, id) AS seen_at FROM observations WHERE id % 10 >= 7 GROUP BY ALL)
-    SELECT source_key, record_id, CASE WHEN b.seen_at IS NOT NULL THEN b.snapshot ELSE o.snapshot END AS snapshot, CAST(epoch(coalesce(b.seen_at, o.last_seen)) AS BIGINT) AS last_seen,
+    SELECT source_key, record_id, CASE WHEN b.seen_at IS NOT NULL THEN b.snapshot ELSE o.snapshot END AS snapshot, CAST(floor(epoch(coalesce(b.seen_at, o.last_seen))) AS BIGINT) AS last_seen,
       CASE WHEN b.seen_at IS NOT NULL THEN false ELSE CAST(record_id AS INTEGER) % 4 = 0 END AS withdrawn,
       CASE WHEN b.seen_at IS NULL THEN 'absent' WHEN o.last_seen IS NULL THEN 'new' WHEN o.snapshot IS NOT DISTINCT FROM b.snapshot THEN 'same' ELSE 'changed' END AS change
     FROM old o FULL JOIN batch b USING (source_key, record_id)""",

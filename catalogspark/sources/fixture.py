@@ -52,11 +52,11 @@ _SQL = {
 }
 #: Resolves merge pointers: survivor of each series, null where the chain does not end in an active one.
 _SQL["survivors"] = """survivors AS (
-  WITH RECURSIVE chase(id, at, depth) AS (
+  WITH RECURSIVE chase(id, here, depth) AS (
     SELECT id, id, 0 FROM series
     UNION ALL
-    SELECT c.id, s.merged_into, c.depth + 1 FROM chase c JOIN series s ON s.id = c.at WHERE s.status = 'merged' AND s.merged_into IS NOT NULL AND c.depth < 50)
-  SELECT c.id, c.at AS survivor_id, c.depth FROM chase c JOIN series s ON s.id = c.at WHERE s.status = 'active')"""
+    SELECT c.id, s.merged_into, c.depth + 1 FROM chase c JOIN series s ON s.id = c.here WHERE s.status = 'merged' AND s.merged_into IS NOT NULL AND c.depth < 50)
+  SELECT c.id, c.here AS survivor_id, c.depth FROM chase c JOIN series s ON s.id = c.here WHERE s.status = 'active')"""
 _NEEDS = {"survivors": ["series"]}
 
 
