@@ -28,6 +28,8 @@ from .common import SPACE, _U, ascii_lower, by_bucket, groups, mix, runs, shuffl
 
 NAME = "op10_lm"
 SMOOTHING = 0.1
+#: Target ids up to which they are sent to every task.
+BROADCAST_IDS = 500_000
 _WORD = ~SPACE
 _START = _U(0x51ED270B27A1C9F3)
 _MOST_ROWS = 50_000
@@ -42,22 +44,24 @@ def _blocks(batch):
 
 
 def _vocabulary(batches):
-    """Distinct words of each block, without those that the task has just met."""
-    seen = np.zeros(0, np.uint64)
+    """Distinct words of each block, most of those that the task has met before left out."""
+    met = np.zeros(1 << 20, np.uint64)
     for batch in batches:
         for _, _, word, _ in _blocks(batch):
-            new = np.setdiff1d(word, seen)
-            seen = np.union1d(seen, new) if len(seen) < 1_000_000 else new
-            if len(new):
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], ["word"])
+            word = np.unique(word)
+            slot = (word & _U(len(met) - 1)).astype(np.int64)
+            new = met[slot] != word
+            met[slot] = word
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64))], ["word"])
 
 
 def _entries(word: np.ndarray, row: np.ndarray):
-    """(key, row, count) of the pairs and contexts of a block; a key's last bit tells a context."""
+    """(key, row, count) of the pairs and contexts of a block, in rising order; a key's first bit tells a context."""
     before = np.full(len(word), _START)
     same = row[1:] == row[:-1]
     before[1:][same] = word[:-1][same]
-    keys = np.concatenate([mix(before * _U(0xD6E8FEB86659FD93) + word) & ~_U(1), mix(before + _U(1)) | _U(1)])
+    keys = np.concatenate([mix(before * _U(0xD6E8FEB86659FD93) + word) >> _U(1), mix(before + _U(1)) | _U(1 << 63)])
     order = np.lexsort((np.concatenate([row, row]), keys))
     keys, row = keys[order], np.concatenate([row, row])[order]
     if not len(keys):
@@ -66,11 +70,11 @@ def _entries(word: np.ndarray, row: np.ndarray):
     return keys[starts], row[starts], np.diff(np.append(starts, len(keys)))
 
 
-_SENT = ("bucket int, block bigint, uniq binary, times binary, row binary, n binary", "keys array<{}>, tokens array<bigint>")
+_SENT = ("bucket int, block bigint, uniq binary, times binary, row binary, n binary, good binary", "keys array<{}>, tokens array<bigint>")
 
 
 def _sender(buckets: int, kind):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("uniq", "times", "row", "n")), ("keys", pa.list_(kind)), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("uniq", "times", "row", "n", "good")), ("keys", pa.list_(kind)), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -81,15 +85,16 @@ def _sender(buckets: int, kind):
                 out = {c: [] for c in schema.names}
                 key, at, n = _entries(word, row)
                 order, bucket, starts, lengths = by_bucket(key, buckets)
-                key, at, n = key[order], at[order], n[order] << 1 | good[a:b][at[order]]
+                key, at, n = key[order], at[order], n[order]
+                marks = np.packbits(good[a:b]).tobytes()
                 for s, m in zip(starts.tolist(), lengths.tolist()):
                     first, times = runs(key[s : s + m])
-                    # within a bucket, 41 bits tell keys apart
-                    short = (key[s : s + m][first] & _U((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    row_blob = (int(bucket[s]), block, short.tobytes(), times.astype("<u2").tobytes(), at[s : s + m].astype("<u2").tobytes(), n[s : s + m].astype("<u4").tobytes(), None, None)
+                    # within a bucket 40 bits tell keys apart; by bytes of equal weight, as rising keys share their first
+                    short = (key[s : s + m][first] >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
+                    row_blob = (int(bucket[s]), block, short.tobytes(), times.astype("<u2").tobytes(), at[s : s + m].astype("<u2").tobytes(), n[s : s + m].astype("<u4").tobytes(), marks, None, None)
                     for c, v in zip(schema.names, row_blob):
                         out[c].append(v)
-                head = (k % buckets, block, None, None, None, None, batch.column("key").slice(a, b - a).to_pylist(), np.bincount(row, minlength=b - a).tolist())
+                head = (k % buckets, block, None, None, None, None, None, batch.column("key").slice(a, b - a).to_pylist(), np.bincount(row, minlength=b - a).tolist())
                 for c, v in zip(schema.names, head):
                     out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema)
@@ -107,18 +112,20 @@ def _adder(total_words: int, kind):
         keys = []
         for u, t in zip(read("uniq", np.uint8), read("times", "<u2")):
             wide = np.zeros((len(u) // 5, 8), np.uint8)
-            wide[:, :5] = u.reshape(-1, 5)
+            wide[:, :5] = u.reshape(5, -1).T
             keys.append(np.repeat(wide.reshape(-1).view("<u8"), t))
         out = {"block": list(heads.column("block").to_pylist()), "row": [None] * len(heads), "loss": [None] * len(heads), "keys": heads.column("keys").to_pylist(), "tokens": heads.column("tokens").to_pylist()}
         if sent:
-            key, n = np.concatenate(keys), np.concatenate(n_of).astype(np.int64)
+            key, n = np.concatenate(keys), np.concatenate(n_of)
+            marked = np.concatenate([np.unpackbits(g)[r] for g, r in zip(read("good", np.uint8), rows_of)])
             uniq, at = np.unique(key, return_inverse=True)
-            every = np.bincount(at, n >> 1)
-            good = np.bincount(at, np.where(n & 1, n >> 1, 0), len(uniq))
-            context = (uniq & _U(1)) == 1
+            del key, keys
+            every = np.bincount(at, n)
+            good = np.bincount(at, n * marked, len(uniq))
+            context = uniq >> _U(39) == 1
             room = np.where(context, SMOOTHING * max(total_words, 1), SMOOTHING)
             loss = np.where(context, 1.0, -1.0) * (np.log(good + room) - np.log(every + room))
-            share = loss[at] * (n >> 1)
+            share = loss[at] * n
             end = np.cumsum([len(x) for x in rows_of])
             for i, (block, r) in enumerate(zip(parts.column("block").to_pylist(), rows_of)):
                 who, place = np.unique(r, return_inverse=True)
@@ -150,9 +157,11 @@ def score(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_co
     spark = docs.sparkSession
     kind = dict(docs.select(id_column).dtypes)[id_column]
     arrow = to_arrow_type(docs.schema[id_column].dataType)
-    buckets = shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)
     words = docs.select(F.col(text_column).alias("text")).mapInArrow(_vocabulary, "word bigint").distinct().count()
     good = target.select(F.col(id_column).alias("key")).where("key IS NOT NULL").distinct().withColumn("good", F.lit(True))
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)  # else the texts are shuffled to meet their marks
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     sent = rows.mapInArrow(_sender(buckets, arrow), ", ".join(_SENT).format(kind))
     back = sent.groupBy("bucket").applyInArrow(_adder(words, arrow), f"block bigint, row binary, loss binary, keys array<{kind}>, tokens array<bigint>")
