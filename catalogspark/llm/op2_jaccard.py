@@ -12,10 +12,10 @@ set is poor if its hot signatures are as many as the agreement that is sure, ``n
 Two similar sets of which one isn't poor share a signature that isn't hot; only poor sets are
 compared through hot ones. No partner is lost, and common passages cost nothing.
 
-Sets that share a signature are candidates. In each list of such sets neighbours are checked
-exactly; checked links join sets into components; what lists still have in different components
-is checked pair by pair. So copies are never expanded into all pairs. Equal sets are one set from
-the start.
+Sets that share as many signatures, hot ones aside, as similar sets must are candidates. In the lists of
+poor sets neighbours come first; sketches and then whole sets decide, exactly; links join sets into components; what
+lists still have in different components is compared in blocks. So large groups are never expanded into all
+pairs. Equal sets are one set from the start.
 
 Null and empty texts and texts without words have no shingles and are alone. A text with fewer
 than five words has one shingle. Repeated ids are rows of their own; a component's id is the least
@@ -33,7 +33,7 @@ from .common import SPACE, _U, ascii_lower, by_bucket, components, groups, hash_
 
 NAME = "op2_jaccard"
 WORDS = 5
-HOT = 12
+HOT = 16
 #: Lists of candidates are written in rows of about this many members.
 LIST_ROW = 200_000
 #: Of a set's long lists, the first so many tell whether another list has met the same pair.
@@ -228,25 +228,30 @@ def _match(rows: pa.Table) -> pa.Table:
         sig, node, flag, sure = sig[new], node[new], flag[new], sure[new]
     starts, lengths = runs(sig)
     out = {c: [] for c in _LISTS.names}
-    for hot in (False, True):
-        some = np.flatnonzero((lengths > HOT) if hot else (lengths > 1) & (lengths <= HOT))
-        if not hot and len(some):  # many signatures are shared by the same sets
-            inside = np.repeat(np.isin(np.arange(len(lengths)), some), lengths)
-            x, n = node[inside], lengths[some]
-            at = np.cumsum(n) - n
-            place = np.arange(len(x), dtype=np.uint64) - np.repeat(at, n).astype(np.uint64)
-            name = np.add.reduceat(mix(x + place * _U(0x9E3779B97F4A7C15)), at)
-            some = some[np.unique(name, return_index=True)[1]]
-        n = lengths[some]
-        cut = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + LIST_ROW, LIST_ROW)[1:], "left") + 1
-        for part in np.split(some, cut):
-            if len(part):
-                inside = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in part])
-                out["hot"].append(hot)
-                out["size"].append(lengths[part].astype("<i8").tobytes())
-                out["node"].append(node[inside].tobytes())
-                out["flag"].append(flag[inside].tobytes() if hot else b"")
-                out["sure"].append(sure[inside].tobytes() if hot else b"")
+    put = lambda hot, size, ids, flags, agree: [out[c].append(v) for c, v in zip(_LISTS.names, (hot, size, ids.tobytes(), flags.tobytes(), agree.tobytes()))]
+    pairs = []
+    for n in range(2, HOT + 1):
+        at = starts[lengths == n]
+        i, j = np.triu_indices(n, 1)
+        pairs.append(np.stack([(at[:, None] + i).ravel(), (at[:, None] + j).ravel()]))
+    i, j = np.concatenate(pairs, 1)
+    order = np.lexsort((flag[j], flag[i], node[j], node[i]))
+    i, j = i[order], j[order]
+    if len(i):
+        new = np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1]) | (flag[i][1:] != flag[i][:-1]) | (flag[j][1:] != flag[j][:-1])])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(i)))
+        i, j = i[first], j[first]
+        for lo in range(0, len(i), LIST_ROW):
+            p, q = i[lo : lo + LIST_ROW], j[lo : lo + LIST_ROW]
+            put(False, b"", np.stack([node[p], node[q]]), np.stack([flag[p], flag[q]]), np.stack([sure[p], sure[q], times[lo : lo + LIST_ROW].astype("<i4")]))
+    some = np.flatnonzero(lengths > HOT)
+    n = lengths[some]
+    cut = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + LIST_ROW, LIST_ROW)[1:], "left") + 1
+    for part in np.split(some, cut):
+        if len(part):
+            inside = np.concatenate([np.arange(starts[k], starts[k] + lengths[k]) for k in part])
+            put(True, lengths[part].astype("<i8").tobytes(), node[inside], flag[inside], sure[inside])
     return pa.Table.from_pydict(out, _LISTS)
 
 
@@ -266,14 +271,22 @@ def _hot_counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(flag[starts].astype(np.int32)), pa.array(n), pa.array(sure[starts].astype(np.int64))], ["node", "flag", "hot", "sure"])
 
 
+def _shared(batches):
+    """Pairs of sets and how many signatures they share of this bucket's that aren't hot, for each pair of bands."""
+    names = ["a", "b", "fa", "fb", "sa", "sb", "n"]
+    for batch in batches:
+        for hot, _, node, flag, sure in _lists(batch):
+            if not hot and len(node):
+                cols = [*node.reshape(2, -1), *flag.reshape(2, -1).astype(np.int32), *sure.reshape(3, -1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+
 def _kept_lists(batch, poor):
-    """Lists to be compared: those that aren't hot, and the poor sets of hot ones."""
+    """The poor sets of hot lists."""
     for hot, size, node, _, _ in _lists(batch):
-        which = np.repeat(np.arange(len(size)), size)
         if hot:
             keep = in_filter(poor, node)
-            which, node = which[keep], node[keep]
-        yield which, node
+            yield np.repeat(np.arange(len(size)), size)[keep], node[keep]
 
 
 def _neighbours(poor):
@@ -312,7 +325,7 @@ def _open_lists(poor, failed):
                     w, x = which[keep], node[keep].view(np.uint64)
                     starts, n = runs(w)
                     name = mix(np.add.reduceat(mix(x), starts) + n.astype(np.uint64)).view(np.int64)  # of equal lists one is enough
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)), pa.array(x.view(np.int64)), pa.array(np.repeat(n > HOT, n))], ["list", "node", "long"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)), pa.array(x.view(np.int64))], ["list", "node"])
 
     return run
 
@@ -426,21 +439,24 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     lists = stored(signed.groupBy("bucket").applyInArrow(_match, "hot boolean, size binary, node binary, flag binary, sure binary"), "lists")
     hot = lists.where("hot").mapInArrow(_hot_counts, "node bigint, flag int, hot bigint, sure bigint")
     hot = hot.groupBy("node", "flag").agg(F.sum("hot").alias("hot"), F.min("sure").alias("sure"))
+    hot = stored(hot, "hot")
     poor = sc.broadcast(hash_filter(hot.where("hot >= sure").select("node")))
-    pairs = stored(lists.mapInArrow(_neighbours(poor), "a bigint, b bigint").distinct(), "pairs")
+    # two similar sets share the signatures whose agreement is sure, but for hot ones
+    shared = lists.where("NOT hot").mapInArrow(_shared, "a bigint, b bigint, fa int, fb int, sa int, sb int, n int")
+    shared = shared.groupBy("a", "b", "fa", "fb").agg(F.sum("n").alias("n"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    for x in ("a", "b"):
+        shared = shared.join(hot.select(F.col("node").alias(x), F.col("flag").alias(f"f{x}"), F.col("hot").alias(f"h{x}")), [x, f"f{x}"], "left")
+        shared = shared.where(F.col("n") >= F.col(f"s{x}") - F.coalesce(f"h{x}", F.lit(0)))
+    some = lists.where("hot").mapInArrow(_neighbours(poor), "a bigint, b bigint")
+    pairs = stored(shared.select("a", "b").unionByName(some).distinct(), "pairs")
     one = stored(_one_each(sized), "sketches")
     first = _linked(_likely(pairs, one), rows)
     labels = components(first)
     failed = pairs.join(first, ["a", "b"], "left_anti")
     failed = sc.broadcast(hash_filter(failed.mapInArrow(_pair_hashes, "pair bigint")))
-    left = lists.mapInArrow(_open_lists(poor, failed), "list bigint, node bigint, long boolean").distinct()
-    left = left.join(labels.withColumnRenamed("id", "node"), "node", "left").select("list", "node", "long", F.coalesce("component", "node").alias("part"))
-    left = stored(left, "open")
-    short = left.where("NOT long")
-    other = short.select("list", F.col("node").alias("b"), F.col("part").alias("q"))
-    across = short.select("list", F.col("node").alias("a"), F.col("part").alias("p")).join(other, "list").where("p < q")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = _linked(_likely(across, one).unionByName(_in_long_lists(left.where("long"), one)).distinct(), rows)
+    left = lists.where("hot").mapInArrow(_open_lists(poor, failed), "list bigint, node bigint").distinct()
+    left = left.join(labels.withColumnRenamed("id", "node"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("part"))
+    second = _linked(_in_long_lists(stored(left, "open"), one), rows)
     part = components(first.unionByName(second)) if second.take(1) else labels
     known = sized.join(part.withColumnRenamed("id", "node"), "node", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
     least = known.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("component_id"))
