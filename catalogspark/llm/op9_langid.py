@@ -189,8 +189,9 @@ def _predictor(model, passed: list[str]):
                 data, offsets = text_buffers(batch.column("text"))
                 ascii_letter = LETTER.copy()
                 ascii_letter[128:] = False
-                seen = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-                plain = seen[offsets[1:]] > seen[offsets[:-1]]
+                for a, b in groups(offsets):
+                    hit = np.flatnonzero(ascii_letter[data[offsets[a] : offsets[b]]])
+                    plain[a:b] = np.diff(np.searchsorted(hit, offsets[a : b + 1] - offsets[a])) > 0
             for i in np.flatnonzero(~plain):
                 text = batch.column("text")[int(i)].as_py() if count[i] else None
                 if not (languages and text and any(c.isalpha() for c in text)):
