@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _col(c) -> Column:
@@ -55,7 +56,7 @@ def slug_ascii(c) -> Column:
     return F.when(t == "", "untitled").otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slugify(names: pd.Series) -> pd.Series:
     """Slug with accents taken off (NFKD); there is no built-in Unicode normalisation."""
 
@@ -68,7 +69,7 @@ def slugify(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_username(names: pd.Series) -> pd.Series:
     return names.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().lower())
 

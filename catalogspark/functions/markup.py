@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The named entities that feeds use.
 ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")]
@@ -24,7 +25,7 @@ def decode_named(c) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_numeric(texts: pd.Series) -> pd.Series:
     """Decimal, then hexadecimal character references; impossible ones stay as they are."""
 
