@@ -106,6 +106,19 @@ def from_us(text) -> Column:
     return F.when((m > 0) & d.between(1, 31), partial_date(at(3).try_cast("int"), m, d))
 
 
+def from_prose(text) -> Column:
+    """Partial date of "Oct 13, 2026", "October 2026", "2026-10-13", "2026-10" or "2026"; impossible or unknown parts are lost, other shapes are null."""
+    t = F.trim(_col(text))
+    dashed, worded = r"^(\d{4})-(\d{2})(?:-(\d{2}))?$", r"^([A-Za-z]+)\.?\s+(?:(\d{1,2})(?:st|nd|rd|th)?,?\s+)?(\d{4})$"
+    number = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
+    named = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(F.left(F.regexp_extract(t, worded, 1), F.lit(3)))).cast("int")
+    y = F.coalesce(number(dashed, 1), number(worded, 3), number(r"^(\d{4})$", 1))
+    m = F.coalesce(number(dashed, 2), named)
+    month = F.when(m.between(1, 12), m)
+    d = F.coalesce(number(dashed, 3), number(worded, 2))
+    return F.when(y.isNotNull(), partial_date(y, month, F.when(month.isNotNull() & d.between(1, 31), d)))
+
+
 def add_months(index, n: int) -> Column:
     """Struct (year, month) of ``year * 12 + month - 1`` moved by n months, also below zero."""
     i = _col(index) + n

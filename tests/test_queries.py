@@ -5,7 +5,7 @@ import pytest
 
 from catalogspark import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES = registry.oracle_sql()
 
 
