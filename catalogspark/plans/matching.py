@@ -66,18 +66,17 @@ def label_equality_join(spark, sf_dir):
     return a.join(b, "k").where("a < b").select("a", "b")
 
 
+#: Facts of the lines that ``{where}`` leaves. match_ladder's SQL takes five order keys in nine; match_ladder_all takes every line.
 _FACTS = f"""cat AS (SELECT r.id AS release_id, '978' || lpad(CAST(r.id AS VARCHAR), 10, '0') AS code, {NORM.format('s.title')} AS key, v.label AS label_key, r.publisher_id, r.format,
     n.n = 1 AS single, r.id % 23 = 0 AS locked FROM releases r JOIN coverage c ON c.release_id = r.id JOIN series s ON s.id = c.series_id AND s.status = 'active' JOIN volumes v ON v.id = c.volume_id
     JOIN (SELECT release_id, count(*) AS n FROM coverage GROUP BY 1) n ON n.release_id = r.id WHERE r.status = 'active'),
   facts AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS fact_id, CASE WHEN l_orderkey % 5 = 0 THEN '978' || lpad(CAST(l_orderkey AS VARCHAR), 10, '0') END AS code,
     {NORM.format("p_name || ' ' || p_brand || ' ' || lower(p_type)")} AS key, CAST(l_linenumber AS VARCHAR) AS label_key, min(l_suppkey) AS publisher_id,
     CASE WHEN l_orderkey % 2 = 0 THEN 'digital' ELSE 'physical' END AS format, l_orderkey % 7 = 0 AS multi
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 9 < 5 GROUP BY ALL)"""
+    FROM lineitem JOIN part ON p_partkey = l_partkey {{where}} GROUP BY ALL)"""
 
 
-@register(
-    "match_ladder",
-    sql("releases", "coverage", "series", "volumes") + f""", {_FACTS},
+_LADDER = """,
   code_hit AS (SELECT fact_id, min(release_id) AS release_id, arg_min(same, release_id) AS same FROM (
     SELECT f.fact_id, c.release_id, bool_or(c.key = f.key) AS same FROM facts f JOIN cat c ON c.code = f.code GROUP BY ALL) GROUP BY fact_id),
   walked AS (SELECT f.fact_id, c.release_id, bool_or(c.single AND f.publisher_id = c.publisher_id AND f.format = c.format) AS strict, bool_or(c.locked) AS locked
@@ -87,9 +86,10 @@ _FACTS = f"""cat AS (SELECT r.id AS release_id, '978' || lpad(CAST(r.id AS VARCH
     CASE WHEN h.fact_id IS NOT NULL AND h.same THEN 'match' WHEN h.fact_id IS NOT NULL THEN 'review' WHEN multi THEN 'create' WHEN ns = 1 AND NOT one_locked THEN 'match'
          WHEN coalesce(ns, 0) > 0 OR coalesce(nl, 0) > 0 THEN 'review' ELSE 'create' END AS outcome,
     CASE WHEN h.fact_id IS NOT NULL THEN h.release_id WHEN NOT multi AND ns = 1 THEN one END AS release_id
-  FROM facts f LEFT JOIN code_hit h ON h.fact_id = f.fact_id LEFT JOIN counts n ON n.fact_id = f.fact_id""",
-)
-def match_ladder(spark, sf_dir):
+  FROM facts f LEFT JOIN code_hit h ON h.fact_id = f.fact_id LEFT JOIN counts n ON n.fact_id = f.fact_id"""
+
+
+def _ladder(spark, sf_dir, lines):
     c = Catalog(spark, sf_dir)
     code = lambda x: F.concat(F.lit("978"), F.lpad(x.cast("string"), 10, "0"))
     size = c.coverage.groupBy("release_id").agg((F.count(F.lit(1)) == 1).alias("single"))
@@ -98,7 +98,7 @@ def match_ladder(spark, sf_dir):
     catalog = c.coverage.join(live, "release_id").join(series, "series_id").join(size, "release_id")
     catalog = catalog.select("release_id", code(F.col("release_id")).alias("code"), "key", F.col("position").cast("string").alias("label_key"), "publisher_id", "format", "single", (F.col("release_id") % 23 == 0).alias("locked"))
     part = c.raw("part").select(F.col("p_partkey").alias("l_partkey"), titles.normalize_title(F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type"))).alias("key"))
-    lines = c.raw("lineitem").where("l_orderkey % 9 < 5").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
+    lines = lines.groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
     facts = lines.join(part, "l_partkey").select(
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
         F.when(F.col("l_orderkey") % 5 == 0, code(F.col("l_orderkey"))).alias("code"),
@@ -111,6 +111,20 @@ def match_ladder(spark, sf_dir):
     return matching.match_ladder(facts, catalog)
 
 
+def _ladder_sql(where: str) -> str:
+    return sql("releases", "coverage", "series", "volumes") + ", " + _FACTS.replace("{where}", where) + _LADDER
+
+
+@register("match_ladder", _ladder_sql("WHERE l_orderkey % 9 < 5"))
+def match_ladder(spark, sf_dir):
+    return _ladder(spark, sf_dir, Catalog(spark, sf_dir).raw("lineitem").where("l_orderkey % 9 < 5"))
+
+
+@register("match_ladder_all", _ladder_sql(""))
+def match_ladder_all(spark, sf_dir):
+    return _ladder(spark, sf_dir, Catalog(spark, sf_dir).raw("lineitem"))
+
+
 @register(
     "sibling_editions",
     sql("coverage", "releases") + """, whole AS (SELECT c.release_id, any_value(r.publisher_id) AS publisher_id, string_agg(series_id || ':' || position, ',' ORDER BY series_id, position) AS covered
