@@ -10,7 +10,7 @@ from catalogspark.streaming import feeds
 
 @register("stream_daily_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
-    out = feeds.drain(feeds.counts(feeds.read(spark, f"{sf_dir}/events.parquet")), "counts", "complete")
+    out = feeds.drain(feeds.counts(feeds.read(spark, f"{sf_dir}/events.parquet")), "counts", "complete", bounded=True)
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 

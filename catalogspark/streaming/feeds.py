@@ -48,15 +48,29 @@ def alerts(events: DataFrame, limit: int = 3) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, streak int, alert boolean", "streak int", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows: written to the shared folder in append mode, in memory else (small results)."""
+def drain(stream: DataFrame, name: str, mode: str = "append", bounded: bool = False) -> DataFrame:
+    """Runs a stream over what is there and returns its rows, which executors write to the shared folder.
+
+    In complete mode each batch writes the whole result, and the last one's is read. A ``bounded`` result, whose rows
+    don't grow with users or events, goes to the driver's memory.
+    """
     import uuid
 
     spark = stream.sparkSession
     base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/catalogspark").rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
+    if bounded:
+        table = f"{name}_{uuid.uuid4().hex}"
+        out.format("memory").queryName(table).start().awaitTermination()
+        return spark.table(table)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        out.format("parquet").option("path", f"{base}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    table = f"{name}_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(table).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table)
+    written = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out-{batch}")
+        written.append(f"{base}/out-{batch}")
+
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
