@@ -4,8 +4,10 @@ Features are the distinct lower-case letter runs of a text and their six-byte pr
 hashed to ``DIMS``. The loss is the logistic loss, an L1 and a small L2 term, and the mean
 square of score changes over counterfactual pairs: each labelled sentence that names a group
 is paired with the same sentence naming another group of the same kind. For a linear score
-such a pair differs by the weights of the two terms only, so group names end with equal weights
-and a neutral mention doesn't move the score.
+such a pair differs by the weights of all features of the two terms, whole words and prefixes. What the
+penalty leaves of that difference is taken off the whole-word weights after the fit, so group names of a kind end
+with equal sums and a swap doesn't move the score. (Where another word of the text has a term's six-byte
+prefix, the text keeps that feature after a swap, and the prefix's weight remains as a difference.)
 
 The fit sees a bounded sample: ``SAMPLE`` labelled rows at most, picked by a hash of the id.
 Scoring reads every whole text. Null and empty texts get the score of a text without features.
@@ -53,9 +55,10 @@ def _hashed(data: np.ndarray, offsets: np.ndarray):
     return np.concatenate([word, stem >> _U(64 - BITS)]).astype(np.int64), np.concatenate([row, row[long]])
 
 
-def term_feature(term: str) -> int:
+def term_features(term: str) -> list[int]:
+    """The features of a term: its word first, then its prefix if it has one."""
     raw = np.frombuffer(term.encode(), np.uint8)
-    return int(_hashed(raw, np.array([0, len(raw)]))[0][0])
+    return _hashed(raw, np.array([0, len(raw)]))[0].tolist()
 
 
 def _distinct(column):
@@ -97,8 +100,8 @@ def _sampler(kinds: dict[str, str]):
     return run
 
 
-def train(examples: list[tuple[int, np.ndarray]], swaps: dict[tuple[int, int], float], l1: float = 3e-4, l2: float = 1e-4, fairness: float = 5.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and constant by accelerated proximal descent. swaps: weight of each pair of term features."""
+def train(examples: list[tuple[int, np.ndarray]], swaps: list[tuple[str, str, float]], l1: float = 3e-4, l2: float = 1e-4, fairness: float = 5.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and constant by accelerated proximal descent. swaps: pairs of terms with their weights."""
     w_full = np.zeros(DIMS, np.float32)
     y = np.array([t for t, _ in examples], float)
     if not len(y) or y.min() == y.max():
@@ -106,16 +109,18 @@ def train(examples: list[tuple[int, np.ndarray]], swaps: dict[tuple[int, int], f
     size = np.array([len(x) for _, x in examples])
     flat = np.concatenate([x for _, x in examples]).astype(np.int64)
     seen = np.bincount(flat, minlength=DIMS)
-    pairs = np.array([p for p in swaps], np.int64).reshape(-1, 2)
-    weight = np.array([swaps[tuple(p)] for p in pairs.tolist()], float)
+    weight = np.array([n for _, _, n in swaps], float)
     weight = weight / weight.sum() if len(weight) else weight
-    used = np.flatnonzero((seen >= min(3, max(1, len(y) // 50))) | (np.bincount(pairs.ravel(), minlength=DIMS) > 0))
+    # a pair's gap is the sum of its entries' signs times the weights: what either text has and the other has not
+    entries = [(i, f, sign) for i, (a, b, _) in enumerate(swaps) for x, y_, sign in ((a, b, 1.0), (b, a, -1.0)) for f in {*term_features(x)} - {*term_features(y_)}]
+    pair, term, sign = (np.array(c, t) for c, t in zip(zip(*entries) if entries else ((), (), ()), (np.int64, np.int64, float)))
+    used = np.flatnonzero((seen >= min(3, max(1, len(y) // 50))) | (np.bincount(term, minlength=DIMS) > 0))
     at = np.full(DIMS, -1)
     at[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(y)), size)
     col = at[flat]
     row, col = row[col >= 0], col[col >= 0]
-    pairs = at[pairs]
+    term = at[term]
     sample = np.where(y == 1, 0.5 / max(y.mean(), 0.05), 1.0) / len(y)
     dot = lambda w, b: np.bincount(row, w[col], len(y)) + b
     z, w, b, zb, t = np.zeros(len(used)), np.zeros(len(used)), -2.0, -2.0, 1.0
@@ -124,7 +129,7 @@ def train(examples: list[tuple[int, np.ndarray]], swaps: dict[tuple[int, int], f
     def smooth(v, c):
         m = dot(v, c)
         value = (sample * (np.logaddexp(0, m) - y * m)).sum() + l2 / 2 * (v @ v)
-        gap = v[pairs[:, 0]] - v[pairs[:, 1]] if len(pairs) else np.zeros(0)
+        gap = np.bincount(pair, sign * v[term], len(weight)) if len(weight) else np.zeros(0)
         return value + fairness / 2 * (weight * gap * gap).sum(), m, gap
 
     for _ in range(rounds):
@@ -132,7 +137,7 @@ def train(examples: list[tuple[int, np.ndarray]], swaps: dict[tuple[int, int], f
         r = sample * (1 / (1 + np.exp(-np.clip(m, -40, 40))) - y)
         g = np.bincount(col, r[row], len(used)) + l2 * z
         if len(gap):
-            g += fairness * (np.bincount(pairs[:, 0], weight * gap, len(used)) - np.bincount(pairs[:, 1], weight * gap, len(used)))
+            g += fairness * np.bincount(term, sign * (weight * gap)[pair], len(used))
         gb = r.sum()
         while True:
             new = z - step * g
@@ -161,15 +166,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity: dict
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
     got = rows.mapInArrow(_sampler(kinds), "y int, x binary, named array<string>").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["x"])))
-    swaps: dict[tuple[int, int], float] = {}
     count = {w: 1.0 for w in kinds}
     for r in got:
         for w in r["named"] or []:
             count[w] += 1
-    for ws in identity.values():
-        for a, b in permutations(ws, 2):
-            swaps[term_feature(a), term_feature(b)] = count[a]
-    return train([(r["y"], np.frombuffer(r["x"], "<i4")) for r in got], swaps)
+    swaps = [(a, b, count[a]) for ws in identity.values() for a, b in permutations(ws, 2)]
+    weights, bias = train([(r["y"], np.frombuffer(r["x"], "<i4")) for r in got], swaps)
+    return level(weights, identity), bias
+
+
+def level(weights: np.ndarray, identity: dict) -> np.ndarray:
+    """``weights`` with the sums of each kind's terms made equal, by their whole-word features.
+
+    A term may be another kind's prefix ("muslim" of "muslime"), so that a pass can undo what an earlier one made.
+    """
+    weights = weights.astype(np.float64)
+    for _ in range(8):
+        off = 0.0
+        for ws in identity.values():
+            total = [weights[[*{*term_features(w)}]].sum() for w in ws]
+            for w, n in zip(ws, total):
+                weights[term_features(w)[0]] += np.mean(total) - n
+            off = max(off, np.ptp(total)) if ws else off
+        if off < 1e-9:
+            break
+    return weights
 
 
 def _scores(column, weights: np.ndarray, bias: float) -> np.ndarray:
