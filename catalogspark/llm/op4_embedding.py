@@ -4,8 +4,11 @@ Equal vectors are one node with a weight. The neighbour graph starts from random
 same signs meet in blocks, and each keeps its nearest. Each round joins neighbours of neighbours: a
 node's neighbours, forward and reverse, are compared with each other, and what is nearer than a
 list's last entry goes in. A list whose entries are all links is saturated and is enlarged to twice its links.
-Rounds end when they find no more links. A sample of nodes is then compared with all nodes; if
-recall is below ``RECALL``, new tables and rounds follow.
+Rounds end when hardly any node finds another link (a node's links count up to K, so that a hot group doesn't decide). A sample of
+nodes is then compared with all nodes. Recall is the share of them with all of their links found, the nodes of a
+component together counted once; while it is below ``RECALL``, twice as many new tables and more rounds follow, up to about
+the tables in which a pair at the threshold would meet by itself. If that is not enough either, all nodes are compared in
+blocks, which takes time (not rows) with the square of their number.
 
 Edges at or above the threshold make components. In each component, block by block, all members are compared in
 double precision, so that links within saturated lists are counted whole; only counts leave a block.
@@ -27,8 +30,12 @@ from .common import components, shuffle_partitions, stored, table
 NAME = "op4_embedding"
 THRESHOLD = 0.9
 K, TABLES, ROUNDS = 8, 6, 4
-#: Nodes to a block, nodes that audit recall, least recall, and how often tables may be added.
+#: Nodes to a block, nodes that audit recall, least recall, and how often tables may be added at least.
 BLOCK, AUDIT, RECALL, RETRIES = 512, 400, 0.97, 3
+#: Components with links that an audit should meet, and the most nodes it takes to meet them.
+GROUPS, AUDIT_MOST = 100, 6400
+#: Nodes to a block where all nodes are compared.
+WHOLE = 4096
 _LIST = "u bigint, v bigint, sim double"
 
 
@@ -79,9 +86,20 @@ def _nodes(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFrame,
     return rows.select("key", "node"), stored(one.mapInArrow(run, "node bigint, weight bigint, dim int, raw binary"), "nodes"), kind
 
 
+def _bits(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(n, 1) / 100))))
+
+
+def _attempts(n: int) -> int:
+    """How often tables are added: TABLES, then twice as many each time, until a pair at the threshold meets with a chance of RECALL."""
+    meet = (1 - np.arccos(THRESHOLD) / np.pi) ** _bits(n)
+    need = np.log(1 - RECALL) / np.log1p(-meet) if meet < 1 else 1
+    return max(RETRIES, int(np.ceil(np.log2(need / TABLES + 1))))
+
+
 def _tables(nodes: DataFrame, n: int, kind, seed: int, k: int = K, tables: int = TABLES) -> DataFrame:
     """First neighbour lists, from blocks of nodes with equal signs on random hyperplanes."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / 100))))
+    bits = _bits(n)
 
     def codes(batches):
         for batch in batches:
@@ -93,12 +111,12 @@ def _tables(nodes: DataFrame, n: int, kind, seed: int, k: int = K, tables: int =
                 sign = (x @ plane > 0)[:, : tables * bits].reshape(len(at), tables, bits)
                 code = sign.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 for t in range(tables):
-                    name = (code[:, t] * 64 + t) * 65536 + dim
+                    name = (code[:, t] * 4096 + t) * 65536 + dim
                     yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(name)], ["node", "cell"])
 
     cells = stored(nodes.mapInArrow(codes, "node bigint, cell bigint"), "cells")
     size = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
-    cells = cells.join(size, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    cells = cells.join(size, "cell").withColumn("part", F.pmod(F.xxhash64("node", "cell"), "parts"))
 
     def block(rows: pa.Table) -> pa.Table:
         return _flat(*_nearest(rows.column("node").to_numpy(), _unit(rows.column("raw").to_pylist(), kind), k))
@@ -164,22 +182,53 @@ def _round(lists: DataFrame, nodes: DataFrame, buckets: int, kind, number: int)
     return stored(_merge(lists.withColumn("old", F.lit(True)).unionByName(found), buckets), "lists")
 
 
-def _links_in(lists: DataFrame) -> int:
-    return lists.where(F.col("sim") >= THRESHOLD).count()
+def _links_in(lists: DataFrame) -> tuple[int, int]:
+    """Links known, up to K of each node, and the nodes that have some."""
+    each = lists.where(F.col("sim") >= THRESHOLD).groupBy("u").agg(F.least(F.count(F.lit(1)), F.lit(K)).alias("n"))
+    return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, buckets: int, kind) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, buckets: int, kind, rounds: int) -> DataFrame:
     lists = stored(_merge(lists.withColumn("old", F.lit(False)), buckets), "lists")
-    known = _links_in(lists)
-    for number in range(ROUNDS):
+    known, _ = _links_in(lists)
+    for number in range(rounds):
         lists = _round(lists, nodes, buckets, kind, number)
-        now = _links_in(lists)
-        if now <= 1.02 * known:
+        now, having = _links_in(lists)
+        if now - known <= 0.001 * having:
             break
         known = now
     return lists
 
 
+def _all_pairs(nodes: DataFrame, n: int, kind) -> DataFrame:
+    """Edges (a, b) that join all nodes with a path of links: every pair is compared, block by block, and a block's
+    links go to the least node of their group there, so that rows don't grow with links."""
+    blocks = -(-n // WHOLE)
+    rows = nodes.select("node", "dim", "raw").withColumn("k", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("node", "dim", "raw", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+
+    def join(rows: pa.Table) -> pa.Table:
+        node, raw = rows.column("node").to_numpy(), rows.column("raw").to_pylist()
+        x = _unit(raw, kind)
+        link = np.concatenate([x[lo : lo + BLOCK] @ x.T >= THRESHOLD for lo in range(0, len(x), BLOCK)])
+        least = node.copy()
+        fresh = link.sum(1) > 1
+        for first in np.flatnonzero(fresh):
+            group, front = [], np.array([first] if fresh[first] else [], np.int64)
+            while len(front):
+                fresh[front] = False
+                group.append(front)
+                front = np.flatnonzero(link[front].any(0) & fresh)
+            if group:
+                members = np.concatenate(group)
+                least[members] = node[members].min()
+        off = least != node
+        return pa.table({"a": pa.array(node[off], pa.int64()), "b": pa.array(least[off], pa.int64())})
+
+    return rows.groupBy("dim", "i", "j").applyInArrow(join, "a bigint, b bigint").distinct()
+
+
 def _count_links(parts: DataFrame, nodes: DataFrame, buckets: int, kind) -> DataFrame:
     """(node, linked): weight of the other nodes of its component that a node links with."""
     size = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -215,13 +264,15 @@ def _count_links(parts: DataFrame, nodes: DataFrame, buckets: int, kind) -> Data
     return rows.groupBy("grp", "many", "i", "j").applyInArrow(count, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def audit_recall(nodes: DataFrame, linked: DataFrame, kind, n: int, sample: int = AUDIT) -> float:
-    """Links found over links there are, for about ``sample`` nodes, each compared with all nodes."""
+def audit_recall(nodes: DataFrame, linked: DataFrame, parts: DataFrame, kind, n: int, sample: int = AUDIT) -> float:
+    """Share of about ``sample`` nodes, each compared with all nodes, whose links are all found; nodes without links don't
+    count, and those of one component count as one together. The sample grows while it meets few components."""
     share = min(1.0, sample / max(n, 1))
     some = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    queries = some.join(linked, "node", "left").select("node", "raw", F.coalesce("linked", F.lit(0)).alias("linked")).collect()
+    some = some.join(linked, "node", "left").join(parts, "node", "left")
+    queries = some.select("node", "raw", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "node").alias("component")).collect()
     if not queries:
-        return 1.0
+        return 1.0 if share == 1 or sample >= AUDIT_MOST else audit_recall(nodes, linked, parts, kind, n, sample * 4)
     shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["raw"])) for r in queries])
 
     def compare(batches):
@@ -230,16 +281,24 @@ def audit_recall(nodes: DataFrame, linked: DataFrame, kind, n: int, sample: int
         for batch in batches:
             node, weight, raw = batch.column("node").to_numpy(), batch.column("weight").to_numpy(), batch.column("raw").to_pylist()
             size = np.array([len(b) for b in raw])
-            total = 0
+            total = np.zeros(len(ids), np.int64)
             for dim in set(dims.tolist()):
                 q, at = np.flatnonzero(dims == dim), np.flatnonzero(size == dim)
                 if len(at):
-                    link = (_unit([shared.value[i][1] for i in q], kind) @ _unit([raw[i] for i in at], kind).T >= THRESHOLD) & (ids[q][:, None] != node[at][None, :])
-                    total += int((link @ weight[at]).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
-
-    there = nodes.select("node", "weight", "raw").mapInArrow(compare, "n bigint").agg(F.sum("n")).first()[0] or 0
-    return 1.0 if not there else sum(r["linked"] for r in queries) / there
+                    # what rounding may have on either side is no miss
+                    sim = _unit([shared.value[i][1] for i in q], kind) @ _unit([raw[i] for i in at], kind).T
+                    total[q] += ((sim >= THRESHOLD + 1e-12) & (ids[q][:, None] != node[at][None, :])) @ weight[at]
+            hit = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(total[hit], pa.int64())], ["node", "n"])
+
+    there = {r["node"]: r["n"] for r in nodes.select("node", "weight", "raw").mapInArrow(compare, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).collect()}
+    whole: dict[int, list[bool]] = {}
+    for r in queries:
+        if r["node"] in there:
+            whole.setdefault(r["component"], []).append(r["linked"] >= there[r["node"]])
+    if len(whole) < GROUPS and share < 1 and sample < AUDIT_MOST:
+        return audit_recall(nodes, linked, parts, kind, n, sample * 4)
+    return float(np.mean([np.mean(x) for x in whole.values()])) if whole else 1.0
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -249,13 +308,17 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     rows, nodes, kind = _nodes(vectors, id_column, column)
     n = nodes.count()
     lists = None
-    for attempt in range(RETRIES):
-        start = _tables(nodes, n, kind, attempt)
-        lists = _descend(start if lists is None else start.unionByName(lists.select("u", "v", "sim")), nodes, buckets, kind)
-        edges = lists.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    most = _attempts(n)
+    for attempt in range(most + 1):
+        if attempt < most:
+            start = _tables(nodes, n, kind, attempt, tables=TABLES << attempt)
+            lists = _descend(start if lists is None else start.unionByName(lists.select("u", "v", "sim")), nodes, buckets, kind, ROUNDS + _bits(n) // 2 + attempt)
+            edges = lists.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        else:
+            edges = _all_pairs(nodes, n, kind)
         parts = stored(components(edges).withColumnRenamed("id", "node"), "components")
         linked = stored(_count_links(parts, nodes, buckets, kind), "links")
-        if audit_recall(nodes, linked, kind, n) >= RECALL:
+        if attempt == most or audit_recall(nodes, linked, parts, kind, n) >= RECALL:
             break
     whole = rows.join(parts.join(linked, "node", "left").join(nodes.select("node", "weight"), "node", "right"), "node", "left")
     whole = stored(whole.select("key", "node", F.coalesce("component", "node").alias("part"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n")), "result")

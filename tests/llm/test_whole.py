@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from catalogspark.llm import op3_toxicity
+from catalogspark.llm import op3_toxicity, op4_embedding
 
 from .conftest import prose
 
@@ -22,3 +22,27 @@ def test_no_swap_moves_the_score(spark):
     assert np.abs(score[:, 0] - score[:, 1]).max() < 1e-6
     toxic, plain = op3_toxicity._scores(pa.array(["the christian people are vermin", "the christian people are here"]), weights, bias)
     assert plain < toxic
+
+
+def _pairs_and_a_hot_group(spark):
+    """400 vectors around one, 100 pairs elsewhere."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 24))
+    x[:400] = x[0] + rng.standard_normal((400, 24)) * 0.1
+    x[500:] = x[400:500] + rng.standard_normal((100, 24)) * 0.25
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= op4_embedding.THRESHOLD
+    np.fill_diagonal(link, False)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), link
+
+
+def test_a_hot_group_hides_no_missing_pairs(spark, monkeypatch):
+    df, link = _pairs_and_a_hot_group(spark)
+    assert link[:400].sum() > 0.97 * link.sum() and link[400:].any(1).sum() > 100
+    first = op4_embedding._descend
+    # the search sees the hot group only
+    rows, nodes, kind = op4_embedding._nodes(df, "vec_id", "embedding")
+    hot = {r["node"] for r in rows.where("key < 400").collect()}
+    monkeypatch.setattr(op4_embedding, "_descend", lambda *a: first(*a).where(f"u IN ({','.join(map(str, hot))})"))
+    got = {r["vec_id"]: r["n_links"] for r in op4_embedding.near_duplicates(df).collect()}
+    assert [got[i] for i in range(600)] == link.sum(1).tolist()
