@@ -7,9 +7,12 @@ back, and a paragraph whose calibrated probability is below ``KNOWN`` is of the
 A prediction is confirmed where the paragraph holds ``CONFIRM`` of the word triples of some template of
 the family, weighted alike; only confirmed predictions count as licences.
 
-A paragraph is a line; whole texts are read. Paragraphs without any word that templates use more than ordinary
+A paragraph is a block of lines between blank lines; comment marks at the lines' ends are not words. A block is read in two ways:
+line by line, since a notice may be a line of its own, in overlapping windows of ``WINDOW`` words where a line is longer; and with its lines
+joined, where runs of words that hold ``CONFIRM`` of a template across a line's end are classified as wrapped notices. Lines
+that lie in a wrapped notice don't count beside it. Whole texts are read. Paragraphs without any word that templates use more than ordinary
 language does can't be confirmed and are passed over. Null and empty texts have no paragraph. Repeated
-rows are rows of their own. Training reads ``SAMPLE`` ordinary documents at most, picked by a hash.
+rows are rows of their own. Training reads all windows and lines of ``SAMPLE`` ordinary documents at most, picked by a hash.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ NAME = "op6_license"
 DIMS = 1 << 15
 SAMPLE = 300
 KNOWN, CONFIRM = 0.6, 0.7
+#: Words of a window, and from one window's start to the next one's.
+WINDOW, STEP = 60, 40
 #: Notices by which licences are declared.
 TEMPLATES = {
     "mit": [
@@ -152,30 +157,111 @@ def classify(words: list[str], model: dict) -> tuple[str, float]:
     return (FAMILIES[k] if p[k] >= KNOWN else "unknown"), float(p[k])
 
 
+_BLANK = re.compile(r"[\s/*#;%|!>-]*$")
+#: Words by which comments begin; other marks are no words anyway.
+_MARK = re.compile(r"\s*(?:rem|dnl)\b", re.I)
+_AT: dict[tuple, list[tuple[str, int]]] = {}
+for _f, _made in _MADE.items():
+    for _k, _t in enumerate(_made):
+        for _x in _t:
+            _AT.setdefault(_x, []).append((_f, _k))
+
+
+def _blocks(text: str):
+    """Blocks of lines between blank ones, comment marks or not: (start, line) for each line."""
+    block, at = [], 0
+    for line in text.split("\n"):
+        if _BLANK.match(line):
+            if block:
+                yield block
+            block = []
+        else:
+            block.append((at, line))
+        at += len(line) + 1
+    if block:
+        yield block
+
+
+def _windows(words: list[str]) -> list[list[str]]:
+    return [words[lo : lo + WINDOW] for lo in range(0, max(1, len(words)), STEP)] if len(words) > WINDOW else [words]
+
+
+def _wrapped(block: list[tuple[int, str]]) -> list[tuple[int, int, list[str], str]]:
+    """(first line, last line, words, family) of the runs in the joined lines that hold ``CONFIRM`` of a template and cross a line's end."""
+    words, of = [], []
+    for i, (_, line) in enumerate(block):
+        mark = _MARK.match(line)
+        own = _words(line[mark.end() :] if mark else line)
+        words += own
+        of += [i] * len(own)
+    hits: dict[tuple[str, int], list[int]] = {}
+    for i in range(len(words) - 2):
+        for template in _AT.get(tuple(words[i : i + 3]), ()):
+            hits.setdefault(template, []).append(i)
+    found = []
+    for (family, k), at in hits.items():
+        need, reach = CONFIRM * len(_MADE[family][k]), len(_MADE[family][k]) + 8
+        lo = 0
+        while lo < len(at):
+            hi = lo
+            while hi + 1 < len(at) and at[hi + 1] - at[lo] < reach:
+                hi += 1
+            if len({tuple(words[i : i + 3]) for i in at[lo : hi + 1]}) < need:
+                lo += 1
+                continue
+            a, b = at[lo], at[hi] + 3
+            if of[a] != of[b - 1]:
+                found.append((of[a], of[b - 1], words[a:b], family))
+            lo = hi + 1
+    return sorted(found, key=lambda x: (x[0], x[1], x[3]))
+
+
 def _scan(text: str | None, model: dict) -> list[tuple[int, str, float, float]]:
     found = []
-    at = 0
     text = text or ""
-    if not _CUE.search(text):
+    if not _CUE.search(text) and not _CUE.search(" ".join(text.split())):
         return found
-    for line in text.split("\n"):
-        if _CUE.search(line):
-            words = _words(line)
-            for lo in range(0, max(1, len(words)), 40) if len(words) > 60 else (0,):
-                part = words[lo : lo + 60] if len(words) > 60 else words
-                family, p = classify(part, model)
-                if family != "none":
-                    found.append((at, family, p, confirmed(part, family)))
-        at += len(line) + 1
-    return found
+    for block in _blocks(text):
+        inside: set[int] = set()
+        if len(block) > 1:
+            seen: set[tuple[str, int]] = set()
+            for first, last, words, family in _wrapped(block):
+                said, p = classify(words, model)
+                lines = {(family, i) for i in range(first, last + 1)}
+                if said == family and not seen & lines:
+                    found.append((block[first][0], family, p, confirmed(words, family)))
+                    seen |= lines
+                    inside |= set(range(first, last + 1))
+        for i, (at, line) in enumerate(block):
+            if _CUE.search(line):
+                for part in _windows(_words(line)):
+                    family, p = classify(part, model)
+                    sure = confirmed(part, family)
+                    # of a wrapped notice's lines only what confirms another family counts
+                    if family != "none" and not (i in inside and (sure < CONFIRM or (family, i) in seen)):
+                        found.append((at, family, p, sure))
+    return sorted(found, key=lambda x: x[0])
+
+
+def _ordinary(text: str | None) -> list[str]:
+    """Passages to learn "none" from: the windows of each line, and of each block's joined lines, that hold no cue."""
+    out = []
+    for block in _blocks(text or ""):
+        for line in [*(x for _, x in block), *([" ".join(x for _, x in block)] if len(block) > 1 else [])]:
+            out += [" ".join(w) for w in _windows(_words(line)) if w]
+    return [x for x in out if not _CUE.search(x)]
 
 
 def fit(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", sample: int = SAMPLE) -> dict:
     n = docs.count()
     share = min(1.0, sample / max(n, 1))
     some = docs.where(F.pmod(F.xxhash64(id_column, F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    lines = some.select(F.explode(F.slice(F.split(text_column, "\n"), 1, 8)).alias("x")).select(F.substring("x", 1, 400).alias("x"))
-    return train([r["x"] for r in lines.collect() if not _CUE.search(r["x"])])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x for t in batch.column("text") for x in _ordinary(t.as_py())], pa.string())], ["x"])
+
+    return train([r["x"] for r in some.select(F.col(text_column).alias("text")).mapInArrow(run, "x string").collect()])
 
 
 def scan(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

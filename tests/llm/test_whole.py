@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from catalogspark.llm import op3_toxicity, op4_embedding
+from catalogspark.llm import op3_toxicity, op4_embedding, op6_license
 
 from .conftest import prose
 
@@ -46,3 +46,29 @@ def test_a_hot_group_hides_no_missing_pairs(spark, monkeypatch):
     monkeypatch.setattr(op4_embedding, "_descend", lambda *a: first(*a).where(f"u IN ({','.join(map(str, hot))})"))
     got = {r["vec_id"]: r["n_links"] for r in op4_embedding.near_duplicates(df).collect()}
     assert [got[i] for i in range(600)] == link.sum(1).tolist()
+
+
+def test_wrapped_notices(spark):
+    mit = """/*
+ * Copyright (c) 2020 Foo
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ */"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or later."""
+    short = prose(1, 14) + " is released under the\nMIT License and " + prose(2, 12)
+    rows = [(1, mit), (2, bsd), (3, gpl), (4, short), (5, prose(3, 400)), (6, "one\n\n" + bsd), (7, "a driving license\nis needed to drive")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: [(s["family"], s["start"]) for s in r["spans"] if s["family"] != "unknown" and s["matched"] >= op6_license.CONFIRM] for r in op6_license.scan(docs, op6_license.fit(docs)).collect()}
+    assert out == {1: [("mit", mit.index(" * Permission"))], 2: [("bsd", 0)], 3: [("gpl", 0)], 4: [("mit", 0)], 5: [], 6: [("bsd", 5)], 7: []}
+
+
+def test_ordinary_text_is_learned_whole():
+    text = "\n".join(prose(i, 90) for i in range(12))
+    got = {w for x in op6_license._ordinary(text) for w in x.split()}
+    assert got == set(text.lower().split())
