@@ -34,14 +34,13 @@ NAME = "op1_bpe"
 BATCH_CHARS = 4_000_000
 #: Bytes of a word, and sum of squared bytes of words, up to which the recursive query is used at once.
 LONG_WORD, BATCH_SQUARES = 1500, 5_000_000
-KEPT_BYTES = 60_000_000
+KEPT_BYTES = 300_000_000
 
-_RECURSION = """
+_FIXPOINT = """
+CREATE OR REPLACE TEMP TABLE fixed AS
 WITH RECURSIVE st(it, w, pos, tok, nxt, npos, m) AS (
   SELECT 0, i.w, i.pos, i.tok, i.nxt, i.npos, g.m
-  FROM (SELECT w, pos, tok, lead(tok) OVER win AS nxt, lead(pos) OVER win AS npos
-        FROM init WINDOW win AS (PARTITION BY w ORDER BY pos)) i
-  LEFT JOIN merges g ON g.k = i.tok::INT8 * 16777216 + i.nxt
+  FROM init i LEFT JOIN merges g ON g.k = i.tok::INT8 * 16777216 + i.nxt
   UNION ALL
   SELECT u.it, u.w, u.pos, u.tok, u.nxt, u.npos, CASE WHEN u.changed THEN g.m ELSE u.m END
   FROM (
@@ -50,22 +49,18 @@ WITH RECURSIVE st(it, w, pos, tok, nxt, npos, m) AS (
       CASE WHEN s.pos = b.pos THEN b.next_tok WHEN s.npos = b.pos THEN b.m ELSE s.nxt END AS nxt,
       CASE WHEN s.pos = b.pos THEN b.next_pos ELSE s.npos END AS npos
     FROM st s JOIN (
-      SELECT p.w, p.pos, p.m, p.npos, n.nxt AS next_tok, n.npos AS next_pos
-      FROM (SELECT w, min(m::INT8 * 4294967296 + pos) % 4294967296 AS pos, min(m) AS m,
-                   arg_min(npos, m::INT8 * 4294967296 + pos) AS npos
+      SELECT p.w, (p.k & 4294967295)::INT AS pos, (p.k >> 32)::INT AS m, p.npos, n.nxt AS next_tok, n.npos AS next_pos
+      FROM (SELECT w, min(m::INT8 << 32 | pos) AS k, arg_min(npos, m::INT8 << 32 | pos) AS npos
             FROM st WHERE m IS NOT NULL GROUP BY w) p
-      JOIN st n ON n.w = p.w AND n.pos = p.npos
+      JOIN st n ON n.pos = p.npos
     ) b ON s.w = b.w AND s.pos <> b.npos
-  ) u LEFT JOIN merges g ON u.changed AND g.k = u.tok::INT8 * 16777216 + u.nxt
+  ) u LEFT JOIN merges g ON g.k = CASE WHEN u.changed THEN u.tok::INT8 * 16777216 + u.nxt END
 )
+SELECT st.w, st.pos, st.tok FROM st JOIN (SELECT w, max(it) AS it FROM st GROUP BY w) z ON st.w = z.w AND st.it = z.it
 """
-_FIXPOINT = (
-    "CREATE OR REPLACE TEMP TABLE fixed AS "
-    + _RECURSION
-    + "SELECT st.w, st.pos, st.tok FROM st JOIN (SELECT w, max(it) AS it FROM st GROUP BY w) z ON st.w = z.w AND st.it = z.it"
+_DECODED = (
+    "SELECT w, list(tok ORDER BY pos) AS ids, list(piece ORDER BY pos) AS pieces FROM fixed JOIN vocab USING (tok) GROUP BY w ORDER BY w"
 )
-_IDS = "SELECT w, list(tok ORDER BY pos) AS ids FROM fixed GROUP BY w ORDER BY w"
-_BYTES = "SELECT w, string_agg(piece, '' ORDER BY pos) AS hex FROM fixed JOIN vocab USING (tok) GROUP BY w ORDER BY w"
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -93,10 +88,10 @@ class Codec:
         keys, merged = zip(*pairs) if pairs else ((), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", {"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int32())})
-        self._load("vocab", {"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in ranks])})
+        self._load("vocab", {"tok": pa.array(ranks.values(), pa.int32()), "piece": pa.array(ranks, pa.binary())})
         self.piece = {r: t for t, r in ranks.items()}
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[bytes, bytes] = {}
+        #: word, or segment of words -> (ids, bytes decoded from them), and about how many bytes these take
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.kept = 0
 
     def _load(self, name: str, columns: dict) -> None:
@@ -127,16 +122,27 @@ class Codec:
                     heappush(heap, (n, k, tok[k], tok[after[k]]))
         return [t for t in tok if t >= 0]
 
+    def _keep(self, word: str, ids: bytes, text: bytes) -> None:
+        self.known[word] = (ids, text)
+        self.kept += 300 + len(ids) + 2 * len(text)
+
     def learn(self, words: list[str]) -> None:
-        """Runs the recursion on new words."""
+        """Ids of new words: those that are entries themselves by a join to the vocabulary, the others by the recursion."""
         raw_words = [(w, w.encode()) for w in words]
         for w, raw in raw_words:
             if len(raw) > LONG_WORD:
                 ids = self.contract(raw)
-                self.ids[w] = x = np.array(ids, "<u4").tobytes()
-                self.text[x] = b"".join([self.piece[i] for i in ids])
-                self.kept += len(raw) * 3 + 150
+                self._keep(w, np.array(ids, "<u4").tobytes(), b"".join([self.piece[i] for i in ids]))
         short = [x for x in raw_words if len(x[1]) <= LONG_WORD]
+        if not short:
+            return
+        self.db.register("words", pa.table({"i": pa.array(range(len(short)), pa.int32()), "piece": pa.array([r for _, r in short], pa.binary())}))
+        whole = self.db.sql("SELECT i, tok FROM words JOIN vocab USING (piece)").to_arrow_table()
+        self.db.unregister("words")
+        entries = dict(zip(whole["i"].to_pylist(), whole["tok"].to_pylist()))
+        for i, tok in entries.items():
+            self._keep(short[i][0], np.array([tok], "<u4").tobytes(), self.piece[tok])
+        short = [x for i, x in enumerate(short) if i not in entries]
         if not short:
             return
         square = np.cumsum([len(r) ** 2 for _, r in short]) // BATCH_SQUARES
@@ -145,27 +151,45 @@ class Codec:
             part = [short[i][0] for i in part]
             n = np.array([len(x) for x in raw])
             flat = np.frombuffer(b"".join(raw), np.uint8)
-            init = pa.table({"w": np.repeat(np.arange(len(raw), dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int32), "tok": self.first[flat]})
-            self.db.register("init", init)
+            at = np.arange(1, len(flat) + 1, dtype=np.int32)
+            last = np.zeros(len(flat), bool)
+            last[np.cumsum(n) - 1] = True
+            tok = self.first[flat]
+            init = {
+                "w": np.repeat(np.arange(len(raw), dtype=np.int32), n), "pos": at - 1, "tok": tok,
+                "nxt": pa.array(np.append(tok[1:], tok[:1]), mask=last), "npos": pa.array(at, mask=last),
+            }
+            self.db.register("init", pa.table(init))
             self.db.execute(_FIXPOINT)
-            ids = self.db.sql(_IDS).to_arrow_table()["ids"].combine_chunks()
-            pieces = self.db.sql(_BYTES).to_arrow_table()["hex"].to_pylist()
+            out = self.db.sql(_DECODED).to_arrow_table().combine_chunks()
             self.db.unregister("init")
-            at = ids.offsets.to_numpy() * 4
-            flat_ids = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            at = at - at[0]
+            ids, pieces = (out[c].chunk(0) if isinstance(out[c], pa.ChunkedArray) else out[c] for c in ("ids", "pieces"))
+            code, flat = ids.flatten().to_numpy().astype("<u4").tobytes(), pieces.flatten().to_numpy(zero_copy_only=False)
+            at = np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+            to = np.append(0, np.cumsum([len(x) for x in flat]))[at].tolist()
+            at, text = (at * 4).tolist(), b"".join(flat)
             for i, w in enumerate(part):
-                self.ids[w] = x = flat_ids[at[i] : at[i + 1]]
-                self.text[x] = bytes.fromhex(pieces[i])
-            self.kept += len(flat) * 3 + 150 * len(part)
+                self._keep(w, code[at[i] : at[i + 1]], text[to[i] : to[i + 1]])
+
+    def look_up(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each segment; a segment's matches are looked for once."""
+        known = self.known
+        words = {s: [s] if s.isascii() and s[s[0] == " " :].isalpha() else self.find(s) for s in segments if s and s not in known}
+        self.learn(list({w for ws in words.values() for w in ws if w not in known}))
+        for s, ws in words.items():
+            if s not in known:
+                parts = [known[w] for w in ws]
+                self._keep(s, b"".join([x for x, _ in parts]), b"".join([x for _, x in parts]))
+        return [known[s] if s else (b"", b"") for s in segments]
 
     def forget(self) -> None:
-        if self.kept > KEPT_BYTES * 3:
-            self.ids, self.text, self.kept = {}, {}, 0
+        if self.kept > KEPT_BYTES:
+            self.known, self.kept = {}, 0
 
 
 _codecs: dict[tuple, Codec] = {}
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+#: A blank between two characters that aren't blanks starts a match of the pattern, so a text can be cut there.
+_CUT = re.compile(r" (?=\S)(?<=\S )")
 
 
 def _codec(raw: bytes, pattern: str) -> Codec:
@@ -176,33 +200,22 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _segments(text: str, codec: Codec) -> list[str]:
-    """The text in parts between which no match of the pattern lies: cut before single blanks where that is sure."""
-    if _ODD_SPACE.search(text):
-        return codec.find(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-def encode_texts(texts: list[str | None], codec: Codec) -> list[tuple[list[bytes], list[bytes]]]:
-    """For each text the ids, and the decoded bytes, of its segments."""
-    cut = [_segments(t, codec) if t else [] for t in texts]
-    words: dict[str, list[str]] = {}
-    for segment in {s for c in cut for s in c}:
-        if segment not in codec.ids:
-            words[segment] = codec.find(segment)
-    codec.learn(list({w for ws in words.values() for w in ws if w not in codec.ids}))
-    ids = codec.ids
-    for segment, ws in words.items():
-        if segment not in ids:
-            ids[segment] = x = b"".join([ids[w] for w in ws])
-            codec.text[x] = b"".join([codec.text[ids[w]] for w in ws])
-            codec.kept += 5 * len(segment) + 250
-    out = []
-    for c in cut:
-        a = [ids[s] for s in c]
-        out.append((a, [codec.text[x] for x in a]))
-    return out
+def encode_texts(texts: list[str | None], codec: Codec) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(ids, decoded bytes) of all segments of the texts in order, and where each text's segments start."""
+    cut = [_CUT.split(t or "") for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+    coded = pa.array([s for c in cut for s in c], pa.large_string()).dictionary_encode()
+    code, later = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    heads = list({c[0] for c in cut})
+    head = {s: len(later) + i for i, s in enumerate(heads)}
+    code[at[:-1]] = [head[c[0]] for c in cut]
+    # all segments but a text's first begin with the blank it was cut at; some of the dictionary are first ones only
+    used = np.zeros(len(later) + len(heads), bool)
+    used[code] = True
+    rank = np.cumsum(used) - 1
+    found = codec.look_up([s for s, u in zip([*(" " + s for s in later), *heads], used.tolist()) if u])
+    code = pa.array(rank[code])
+    return *(pa.array([x[i] for x in found], pa.large_binary()).take(code) for i in (0, 1)), at
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[int]]:
@@ -217,8 +230,8 @@ def _slices(texts: list[str | None]) -> Iterator[list[int]]:
         yield part
 
 
-def _long(text: str, codec: Codec) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """A text over BATCH_CHARS, by parts that end between matches."""
+def _long(text: str, codec: Codec) -> Iterator[tuple[bytes, bytes]]:
+    """(ids, decoded bytes) of a text over BATCH_CHARS, by parts that end between matches."""
     part, n = [], 0
     for m in codec.iterate(text):
         part.append(m[0])
@@ -230,10 +243,19 @@ def _long(text: str, codec: Codec) -> Iterator[tuple[list[bytes], list[bytes]]]:
         yield _joined(part, codec)
 
 
-def _joined(words: list[str], codec: Codec) -> tuple[list[bytes], list[bytes]]:
-    codec.learn(list({w for w in words if w not in codec.ids}))
-    a = [codec.ids[w] for w in words]
-    return a, [codec.text[x] for x in a]
+def _joined(words: list[str], codec: Codec) -> tuple[bytes, bytes]:
+    codec.forget()
+    codec.learn(list({w for w in words if w not in codec.known}))
+    found = [codec.known[w] for w in words]
+    return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+
+
+def _parts(array: pa.Array, at: np.ndarray) -> Iterator[memoryview]:
+    """The joined bytes of each run of elements."""
+    _, offsets, data = array.buffers()
+    data = memoryview(data) if data is not None else memoryview(b"")
+    edge = np.frombuffer(offsets, np.int64, len(array) + 1)[at].tolist()
+    yield from (data[a:b] for a, b in zip(edge, edge[1:]))
 
 
 def _mapper(vocabulary, pattern: str, id_column: str, text_column: str, keep_ids: bool):
@@ -246,18 +268,17 @@ def _mapper(vocabulary, pattern: str, id_column: str, text_column: str, keep_ids
                 for part in _slices(some):
                     codec.forget()
                     big = [len(some[i] or "") > BATCH_CHARS for i in part]
-                    short = iter(encode_texts([some[i] for i, b in zip(part, big) if not b], codec))
+                    ids, plain, at = encode_texts([None if b else some[i] for i, b in zip(part, big)], codec)
                     rows = []
-                    for i, b in zip(part, big):
-                        sha, plain, n, ids = hashlib.sha256(), hashlib.sha256(), 0, []
-                        for a, d in _long(some[i], codec) if b else (next(short),):
-                            joined = b"".join(a)
-                            n += len(joined) // 4
-                            sha.update(joined)
-                            plain.update(b"".join(d))
+                    for i, b, x, y in zip(part, big, _parts(ids, at), _parts(plain, at)):
+                        sha, whole, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+                        for a, d in _long(some[i], codec) if b else ((x, y),):
+                            n += len(a) // 4
+                            sha.update(a)
+                            whole.update(d)
                             if keep_ids:
-                                ids.append(np.frombuffer(joined, "<u4").astype(np.int32))
-                        rows.append((n, sha.hexdigest(), plain.hexdigest(), np.concatenate(ids) if ids else []))
+                                kept.append(np.frombuffer(a, "<u4").astype(np.int32))
+                        rows.append((n, sha.hexdigest(), whole.hexdigest(), np.concatenate(kept) if kept else []))
                     cols = list(zip(*rows))
                     arrays = [keys.slice(lo + part[0], len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
                     names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -299,12 +320,12 @@ def decode(encoded: DataFrame, vocabulary: bytes, id_column: str = "doc_id", ids
                 rows = pa.table({"r": pa.array(range(part.num_rows), pa.int32()), "ids": part.column(ids_column)})
                 codec.db.register("encoded", rows)
                 out = codec.db.execute(
-                    "SELECT e.r, CASE WHEN any_value(e.ids) IS NULL THEN NULL ELSE coalesce(string_agg(v.piece, '' ORDER BY u.pos), '') END AS hex "
+                    "SELECT e.r, CASE WHEN any_value(e.ids) IS NULL THEN NULL ELSE list(v.piece ORDER BY u.pos) END AS pieces "
                     "FROM encoded e LEFT JOIN (SELECT r, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM encoded) u ON u.r = e.r "
                     "LEFT JOIN vocab v ON v.tok = u.tok GROUP BY e.r ORDER BY e.r"
                 ).fetchall()
                 codec.db.unregister("encoded")
-                yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array([None if h is None else bytes.fromhex(h) for _, h in out], pa.binary())], [id_column, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array([None if x is None else b"".join([p for p in x if p is not None]) for _, x in out], pa.binary())], [id_column, "decoded"])
 
     return encoded.select(id_column, ids_column).mapInArrow(run, f"`{id_column}` {kind}, decoded binary")
 

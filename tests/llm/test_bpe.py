@@ -33,11 +33,12 @@ def test_long_words(coder):
     words = ["x" * 5000, "supercalifragilistic" * 100, "中文字" * 400, "a" * 1400, "!?" * 900]
     codec.learn(words)
     for w in words:
-        assert np.frombuffer(codec.ids[w], "<u4").tolist() == coder.encode_ordinary(w)
+        assert np.frombuffer(codec.known[w][0], "<u4").tolist() == coder.encode_ordinary(w)
 
 
 def test_decode(spark):
     raw, pattern = op1_bpe.read_vocabulary()
+    assert [r["decoded"] for r in op1_bpe.decode(spark.createDataFrame([(1, None)], "doc_id int, ids array<int>"), raw).collect()] == [None]
     texts = ["Hello  world\n\n café", "", None, "\U0001f600 x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     out = op1_bpe.decode(op1_bpe.encode(docs, raw, pattern), raw).collect()
