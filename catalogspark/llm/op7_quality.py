@@ -31,7 +31,8 @@ _WORD = r"([^\\x20\\x09-\\x0D]+)"
 _BLANKS = " \t\n\x0b\x0c\r"
 FEATURES = ["n_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "marks"]
 
-#: Sorted (window hash, position) numbers; equal neighbours are repeated windows; the words that these cover.
+#: Sorted (part of a window's hash, position) numbers: only windows with an equal neighbour can be repeats. These are sorted by their
+#: words (which hold no blank), and equal neighbours are repeated windows; then the words that these cover.
 _REPEATS = f"""
 transform(array(regexp_extract_all(t, '{_WORD}', 1)), w -> if(size(w) < 4, 0L,
   transform(array(length(bin(size(w)))), bits ->
@@ -40,9 +41,14 @@ transform(array(regexp_extract_all(t, '{_WORD}', 1)), w -> if(size(w) < 4, 0L,
         filter(keys, (k, j) ->
           (j > 0 AND shiftright(k, bits) = shiftright(keys[if(j > 0, j - 1, 0)], bits))
           OR (j < size(keys) - 1 AND shiftright(k, bits) = shiftright(keys[if(j < size(keys) - 1, j + 1, j)], bits))),
-        k -> k & (shiftleft(1L, bits) - 1)))), pos ->
-        aggregate(transform(pos, (p, j) -> if(j < size(pos) - 1, least(3L, pos[if(j < size(pos) - 1, j + 1, j)] - p), 3L)), 0L, (a, x) -> a + x)
-      )[0])[0])[0]))[0]
+        k -> transform(array(cast(k & (shiftleft(1L, bits) - 1) AS int)), p -> named_struct('s', concat_ws(' ', w[p], w[p + 1], w[p + 2]), 'p', cast(p AS bigint)))[0]))), full ->
+        transform(array(sort_array(transform(
+          filter(full, (x, j) ->
+            (j > 0 AND x.s = full[if(j > 0, j - 1, 0)].s)
+            OR (j < size(full) - 1 AND x.s = full[if(j < size(full) - 1, j + 1, j)].s)),
+          x -> x.p))), pos ->
+          aggregate(transform(pos, (p, j) -> if(j < size(pos) - 1, least(3L, pos[if(j < size(pos) - 1, j + 1, j)] - p), 3L)), 0L, (a, x) -> a + x)
+        )[0])[0])[0])[0]))[0]
 """
 
 
