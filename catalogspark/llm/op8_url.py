@@ -1,9 +1,11 @@
 """URL filter by association rules, with DataFrame functions only.
 
-A page's tokens are the parts of its host, the words of its path and the keys of its query. FP-growth mines
-the token combinations of labelled pages together with the label; combinations that come with the label
-"poor" with enough support and confidence, and that no shorter rule of the same confidence covers, become rules. A
-rule is filed under its rarest token; a page's tokens look up the rules, which are then compared whole.
+A page's tokens are the parts of its host, the words of its path and the keys of its query. Tokens that the labelled pages
+hold on the very same pages are one item (a template's query keys, say), and a labelled page gives the miner its
+``MOST_ITEMS`` items that tell most, so that a page has a bounded number of combinations. FP-growth mines these together with
+the label; combinations that come with the label "poor" with enough support and confidence, and that no shorter rule of the
+same confidence covers, become rules. A rule's item stands for any of its tokens. A rule is filed under its rarest item's
+tokens; a page's tokens look up the rules, which are then compared whole.
 
 A list of host and path rules comes before the mined ones: a rule fits its host and all subdomains if the path
 starts with the rule's path; the longest rule wins.
@@ -24,6 +26,8 @@ NAME = "op8_url"
 SAMPLE = 50_000
 #: Least pages of a rule, least share of them that are poor, and most tokens of a rule.
 LEAST, CONFIDENCE, MOST_TOKENS = 20, 0.7, 4
+#: Items of a labelled page that the miner sees.
+MOST_ITEMS = 12
 _POOR = "label=poor"
 #: Fixed values: (host, path, verdict).
 LISTED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -57,41 +61,55 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def mine(pages: DataFrame, labels: DataFrame, page_column: str = "page_id", sample: int = SAMPLE, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, index, confidence): rules from ``pages (page_column, url)`` and ``labels (doc_id, quality)``."""
+    """(items, index, confidence): rules from ``pages (page_column, url)`` and ``labels (doc_id, quality)``.
+
+    ``items`` holds for each item its tokens, ``index`` the tokens of the rarest one. All that is gathered here is bounded by the sample.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("poor"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
     rows = pages.select(F.col(page_column).alias("doc_id"), tokens(F.col("url")).alias("tokens")).where(F.size("tokens") > 0)
-    rows = rows.join(known.where(draw), "doc_id")
-    seen = stored(rows.select(F.when(F.col("poor"), F.array_append("tokens", F.lit(_POOR))).otherwise(F.col("tokens")).alias("items"), "poor"), "labelled")
-    n = seen.count()
-    kind = "tokens array<string>, index string, confidence double"
-    if not n or not seen.where("poor").take(1):
-        return pages.sparkSession.createDataFrame([], kind)
-    # tokens that few poor pages have can't be part of a rule
-    usual = seen.where("poor").select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {int(least * confidence)}")
-    usual = [r["item"] for r in usual.orderBy(F.desc("n"), "item").collect()]  # at most: tokens of the sample over least
-    keep = F.array(*[F.lit(x) for x in usual]) if usual else F.array().cast("array<string>")
-    sets = seen.select(F.array_intersect("items", keep).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least * confidence / n), minConfidence=confidence).fit(sets)
-    rules = found.associationRules.where(F.array_contains("consequent", _POOR) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") > 1) & (F.col("support") * n >= least * confidence))
-    often = seen.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence")
-    rules = rules.select("*", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("often", "token")).alias("index"))
-    rules = stored(rules.select("tokens", "index", "confidence"), "rules")
-    short = rules.select(F.col("tokens").alias("few"), "index", F.col("confidence").alias("sure"))
-    long = rules.select("tokens", "confidence", F.explode("tokens").alias("index"))
-    covered = long.join(short, "index").where((F.size("few") < F.size("tokens")) & (F.size(F.array_except("few", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")))
-    return stored(rules.join(covered.select("tokens").distinct(), "tokens", "left_anti").select("tokens", "index", "confidence"), "rules")
+    seen = stored(rows.join(known.where(draw), "doc_id").select(F.expr("uuid()").alias("row"), "tokens", "poor"), "labelled")
+    n, bad = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("poor").cast("int")), F.lit(0))).first()
+    if not bad:
+        return pages.sparkSession.createDataFrame([], "items array<array<string>>, index array<string>, confidence double")
+    by_token = seen.select("row", "poor", F.explode("tokens").alias("token"))
+    exact = lambda k: F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}")
+    of = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("int")).alias("p"), exact(1), exact(2))
+    # items that few poor pages have can't be part of a rule
+    items = of.where(F.col("p") >= int(least * confidence)).groupBy("n", "p", "h1", "h2").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    items = stored(items.select(F.col("tokens")[0].alias("item"), "tokens", "n", (F.abs(F.col("p") - F.col("n") * bad / n)).alias("tells")), "items")
+    has = seen.select("row", "poor", F.explode("tokens").alias("item")).join(F.broadcast(items), "item")
+    most = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("tells"), "item"))), 1, MOST_ITEMS)["item"]
+    sets = has.groupBy("row", "poor").agg(most.alias("items"))
+    sets = sets.select(F.when(F.col("poor"), F.array_append("items", F.lit(_POOR))).otherwise(F.col("items")).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least * confidence / n), minConfidence=confidence).fit(stored(sets, "sets"))
+    rules = found.associationRules.where(F.array_contains("consequent", _POOR) & (F.size("antecedent") <= MOST_TOKENS))
+    rules = stored(rules.select(F.sort_array("antecedent").alias("names")), "names")
+    # support and confidence over all labelled pages and all their items
+    held = has.groupBy("row", "poor").agg(F.collect_set("item").alias("own"))
+    first = rules.select("names", F.explode("names").alias("item")).join(F.broadcast(items.select("item", "n")), "item").groupBy("names").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    hits = held.select("own", "poor", F.explode("own").alias("item")).join(F.broadcast(first), "item").where(F.size(F.array_except("names", "own")) == 0)
+    counts = hits.groupBy("names").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("int")).alias("p"))
+    sure = F.col("p") / F.col("n")
+    rules = stored(counts.where((F.col("p") >= least * confidence) & (sure >= confidence) & (sure > bad / n)).join(first, "names").select("names", "item", sure.alias("confidence")), "rules")
+    short = rules.select(F.col("names").alias("few"), "item", F.col("confidence").alias("sure"))
+    covered = rules.select("names", "confidence", F.explode("names").alias("item")).join(short, "item")
+    covered = covered.where((F.size("few") < F.size("names")) & (F.size(F.array_except("few", "names")) == 0) & (F.col("sure") >= F.col("confidence")))
+    rules = rules.join(covered.select("names").distinct(), "names", "left_anti").withColumnRenamed("item", "rare")
+    whole = rules.select("*", F.explode("names").alias("item")).join(F.broadcast(items.select("item", "tokens")), "item")
+    whole = whole.groupBy("names", "rare", "confidence").agg(F.sort_array(F.collect_list("tokens")).alias("items"), F.max(F.when(F.col("item") == F.col("rare"), F.col("tokens"))).alias("index"))
+    return stored(whole.select("items", "index", "confidence"), "rules")
 
 
 def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls that some rule covers."""
+    """Distinct urls that some rule covers: a token of each of the rule's items."""
     own = urls.where("url IS NOT NULL").select("url").distinct().select("url", tokens(F.col("url")).alias("own"))
-    hits = own.select("*", F.explode("own").alias("index")).join(rules.select("tokens", "index"), "index")
-    return hits.where(F.size(F.array_except("tokens", "own")) == 0).select("url").distinct()
+    filed = rules.select("items", F.explode("index").alias("token"))
+    hits = own.select("*", F.explode("own").alias("token")).join(filed, "token")
+    return hits.where(F.forall("items", lambda item: F.arrays_overlap(item, F.col("own")))).select("url").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: list[tuple[str, str, str]]) -> DataFrame:
