@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, _U, ascii_lower, by_bucket, groups, mix, runs, shuffle_partitions, table, text_buffers, word_hashes
+from .common import GROUP_BYTES, SPACE, _U, ascii_lower, by_bucket, groups, mix, runs, shuffle_partitions, table, text_buffers, word_hashes
 
 NAME = "op10_lm"
 SMOOTHING = 0.1
-#: Target ids up to which they are sent to every task.
-BROADCAST_IDS = 500_000
+#: Bytes of target ids up to which they are sent to every task.
+BROADCAST_BYTES = 8_000_000
+#: Words of the corpus for each bucket, so that a bucket's size does not follow the corpus.
+BUCKET = 1_500_000
 _WORD = ~SPACE
 _START = _U(0x51ED270B27A1C9F3)
 _MOST_ROWS = 50_000
@@ -37,23 +39,24 @@ _MOST_ROWS = 50_000
 
 def _blocks(batch):
     data, offsets = text_buffers(batch.column("text"))
-    for a, b in groups(offsets):
+    for a, b in groups(offsets, 2 * GROUP_BYTES):
         for lo in range(a, b, _MOST_ROWS):
             hi = min(b, lo + _MOST_ROWS)
             yield lo, hi, *word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _WORD, ascii_lower)
 
 
 def _vocabulary(batches):
-    """Distinct words of each block, most of those that the task has met before left out."""
+    """Distinct words of each block, most of those that the task has met before left out, and in a row without a word how many words it has."""
     met = np.zeros(1 << 20, np.uint64)
     for batch in batches:
         for _, _, word, _ in _blocks(batch):
+            total = len(word)
             word = np.unique(word)
             slot = (word & _U(len(met) - 1)).astype(np.int64)
             new = met[slot] != word
             met[slot] = word
-            if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64))], ["word"])
+            new = word[new].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(new, 0), mask=np.append(np.zeros(len(new), bool), True)), pa.array(np.append(np.zeros(len(new), np.int64), total))], ["word", "n"])
 
 
 def _entries(word: np.ndarray, row: np.ndarray):
@@ -89,9 +92,9 @@ def _sender(buckets: int, kind):
                 marks = np.packbits(good[a:b]).tobytes()
                 for s, m in zip(starts.tolist(), lengths.tolist()):
                     first, times = runs(key[s : s + m])
-                    # within a bucket 40 bits tell keys apart; by bytes of equal weight, as rising keys share their first
-                    short = (key[s : s + m][first] >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
-                    row_blob = (int(bucket[s]), block, short.tobytes(), times.astype("<u2").tobytes(), at[s : s + m].astype("<u2").tobytes(), n[s : s + m].astype("<u4").tobytes(), marks, None, None)
+                    # by bytes of equal weight, as rising keys share their first; they pack better so
+                    planes = key[s : s + m][first].astype("<u8").view(np.uint8).reshape(-1, 8).T
+                    row_blob = (int(bucket[s]), block, planes.tobytes(), times.astype("<u2").tobytes(), at[s : s + m].astype("<u2").tobytes(), n[s : s + m].astype("<u4").tobytes(), marks, None, None)
                     for c, v in zip(schema.names, row_blob):
                         out[c].append(v)
                 head = (k % buckets, block, None, None, None, None, None, batch.column("key").slice(a, b - a).to_pylist(), np.bincount(row, minlength=b - a).tolist())
@@ -111,9 +114,7 @@ def _adder(total_words: int, kind):
         rows_of, n_of = read("row", "<u2"), read("n", "<u4")
         keys = []
         for u, t in zip(read("uniq", np.uint8), read("times", "<u2")):
-            wide = np.zeros((len(u) // 5, 8), np.uint8)
-            wide[:, :5] = u.reshape(5, -1).T
-            keys.append(np.repeat(wide.reshape(-1).view("<u8"), t))
+            keys.append(np.repeat(np.ascontiguousarray(u.reshape(8, -1).T).view("<u8").ravel(), t))
         out = {"block": list(heads.column("block").to_pylist()), "row": [None] * len(heads), "loss": [None] * len(heads), "keys": heads.column("keys").to_pylist(), "tokens": heads.column("tokens").to_pylist()}
         if sent:
             key, n = np.concatenate(keys), np.concatenate(n_of)
@@ -122,7 +123,7 @@ def _adder(total_words: int, kind):
             del key, keys
             every = np.bincount(at, n)
             good = np.bincount(at, n * marked, len(uniq))
-            context = uniq >> _U(39) == 1
+            context = uniq >> _U(63) == 1
             room = np.where(context, SMOOTHING * max(total_words, 1), SMOOTHING)
             loss = np.where(context, 1.0, -1.0) * (np.log(good + room) - np.log(every + room))
             share = loss[at] * n
@@ -157,10 +158,11 @@ def score(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_co
     spark = docs.sparkSession
     kind = dict(docs.select(id_column).dtypes)[id_column]
     arrow = to_arrow_type(docs.schema[id_column].dataType)
-    buckets = 2 * shuffle_partitions(spark)
-    words = docs.select(F.col(text_column).alias("text")).mapInArrow(_vocabulary, "word bigint").distinct().count()
+    seen = docs.select(F.col(text_column).alias("text")).mapInArrow(_vocabulary, "word bigint, n bigint")
+    words, tokens = seen.groupBy("word").agg(F.sum("n").alias("n")).agg(F.count("word"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(2 * shuffle_partitions(spark), tokens // BUCKET)
     good = target.select(F.col(id_column).alias("key")).where("key IS NOT NULL").distinct().withColumn("good", F.lit(True))
-    if good.count() <= BROADCAST_IDS:
+    if (good.agg(F.sum(F.octet_length(F.col("key").cast("string")) + 8)).first()[0] or 0) <= BROADCAST_BYTES:
         good = F.broadcast(good)  # else the texts are shuffled to meet their marks
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     sent = rows.mapInArrow(_sender(buckets, arrow), ", ".join(_SENT).format(kind))
