@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 2 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_PLACE = _U(0xD1342543DE82EF95)
+#: mask of the first 0 to 8 bytes of a little-endian word
+_LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 #: word = maximal run without \x20, \x09-\x0D
 SPACE = np.zeros(256, bool)
@@ -89,27 +90,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-_powers: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _pow(n: int):
-    if len(_powers[0]) < n:
-        n = max(n, GROUP_BYTES + 1)
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes."""
+    """64-bit hash of each span's bytes: its words of eight bytes are mixed with their place before they are added up."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    pw, inv = _pow(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * pw[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    pieces = np.maximum((size + 7) // 8, 1)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    of = np.repeat(np.arange(len(starts)), pieces)
+    place = np.arange(len(of)) - first[of]
+    at = starts[of] + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    left = np.minimum(size[of] - 8 * place, 8)
+    eight &= _LEFT[left]
+    total = np.add.reduceat(mix(eight + mix(place.astype(np.uint64) + _PLACE)), first)
+    return mix(total + size.astype(np.uint64) * _BASE)
 
 
 def word_hashes(data, offsets, inside, fold):

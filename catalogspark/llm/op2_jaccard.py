@@ -36,6 +36,10 @@ WORDS = 5
 HOT = 16
 #: Lists of candidates are written in rows of about this many members.
 LIST_ROW = 200_000
+#: Shingles, and so about as many signatures, that meet in one task: there are more buckets than shuffle partitions if need be.
+BUCKET = 5_000_000
+#: Members of short lists that are compared in one task.
+MEMBERS = 50_000
 #: Of a set's long lists, the first so many tell whether another list has met the same pair.
 LOW = 6
 _WORD = ~SPACE
@@ -260,15 +264,35 @@ def _lists(batch):
         yield hot.as_py(), np.frombuffer(size.as_py(), "<i8"), np.frombuffer(node.as_py(), np.int64), np.frombuffer(flag.as_py(), np.uint8), np.frombuffer(sure.as_py(), "<i4")
 
 
-def _hot_counts(batches):
-    for batch in batches:
-        for hot, _, node, flag, sure in _lists(batch):
-            if hot:
-                order = np.lexsort((flag, node))
-                node, flag, sure = node[order], flag[order], sure[order]
-                starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (flag[1:] != flag[:-1])]))
-                n = np.diff(np.append(starts, len(node)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(flag[starts].astype(np.int32)), pa.array(n), pa.array(sure[starts].astype(np.int64))], ["node", "flag", "hot", "sure"])
+def _hot_parts(buckets: int):
+    """For each part of the nodes, one packed row of (node, flag) and how many hot signatures of a list row they have."""
+
+    def run(batches):
+        for batch in batches:
+            for hot, _, node, flag, sure in _lists(batch):
+                if hot and len(node):
+                    order = np.lexsort((flag, node, node.view(np.uint64) % _U(buckets)))
+                    node, flag, sure = node[order], flag[order], sure[order]
+                    starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (flag[1:] != flag[:-1])]))
+                    n = np.diff(np.append(starts, len(node)))
+                    node, flag, sure = node[starts], flag[starts], sure[starts]
+                    part = (node.view(np.uint64) % _U(buckets)).astype(np.int32)
+                    first, length = runs(part)
+                    cut = lambda x: [x[a : a + b].tobytes() for a, b in zip(first.tolist(), length.tolist())]
+                    cols = [pa.array(part[first]), *(pa.array(cut(x), pa.binary()) for x in (node, flag, n.astype("<i4"), sure))]
+                    yield pa.RecordBatch.from_arrays(cols, ["part", "node", "flag", "hot", "sure"])
+
+    return run
+
+
+def _hot_counts(rows: pa.Table) -> pa.Table:
+    """How many hot signatures each set has: one row for each (node, flag)."""
+    node, flag, hot, sure = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("node", np.int64), ("flag", np.uint8), ("hot", "<i4"), ("sure", "<i4")))
+    order = np.lexsort((flag, node))
+    node, flag, hot, sure = node[order], flag[order], hot[order], sure[order]
+    starts = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (flag[1:] != flag[:-1])]))
+    cols = node[starts], flag[starts].astype(np.int32), np.add.reduceat(hot.astype(np.int64), starts), sure[starts].astype(np.int64)
+    return pa.table(dict(zip(("node", "flag", "hot", "sure"), cols)))
 
 
 def _shared(batches):
@@ -366,38 +390,71 @@ def _fold(sketches: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, least), axis=0) for x in sketches])
 
 
+def _block(rows: pa.Table) -> pa.Table:
+    """A block of a long list as one row."""
+    sink = pa.BufferOutputStream()
+    members = rows.select(["node", "part", "n", "sketch", "low"]).combine_chunks()
+    with pa.ipc.new_stream(sink, members.schema) as writer:
+        writer.write_table(members)
+    one = {c: rows.column(c)[:1] for c in ("list", "k", "blocks")}
+    return pa.table({**one, "members": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _within(rows: pa.Table) -> pa.Table:
+    """Likely pairs of each list of one block."""
+    rows = rows.sort_by("list").combine_chunks()
+    starts, size = runs(rows.column("list").to_numpy())
+    some = [_compare(rows.column("list")[a].as_py(), [rows.slice(a, n)]) for a, n in zip(starts.tolist(), size.tolist()) if n > 1]
+    return pa.concat_tables(some) if some else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def _across(rows: pa.Table) -> pa.Table:
-    """Pairs of a block of a long list that lie in different components and that sketches don't refuse."""
-    node, part, n, left = (rows.column(c).to_numpy() for c in ("node", "part", "n", "left"))
+    """Likely pairs of two blocks of a long list, or of a block and itself."""
+    return _compare(rows.column("list")[0].as_py(), [pa.ipc.open_stream(x).read_all() for x in rows.column("members").to_pylist()])
+
+
+def _compare(name: int, blocks: list[pa.Table]) -> pa.Table:
+    """Pairs that lie in different components and that sketches don't refuse."""
+    one_block = len(blocks) == 1
+    left = np.repeat([True, False][: len(blocks)], [b.num_rows for b in blocks])
+    rows = pa.concat_tables(blocks)
+    node, part, n = (rows.column(c).to_numpy() for c in ("node", "part", "n"))
     bits = _fold(rows.column("sketch").to_pylist())
     bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
     spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-    name = rows.column("list")[0].as_py()
     low = rows.column("low").to_pylist()
     low = np.array([x + [name] * (LOW - len(x)) for x in low])
-    one_block = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
     mine, other = np.flatnonzero(left), np.arange(len(node)) if one_block else np.flatnonzero(~left)
     a, b = [], []
-    for i in mine.tolist():
-        most = np.bitwise_count(bits[i] & bits[other]).sum(1, dtype=np.int64) + np.minimum(spare[i], spare[other])
-        hit = other[(100 * most >= 75 * (n[i] + n[other] - most)) & (part[other] != part[i])]
-        hit = hit[node[hit] > node[i]] if one_block else hit
+    step = max(1, 2_000_000 // (bits.shape[1] * len(other)))
+    for lo in range(0, len(mine), step):
+        i = mine[lo : lo + step]
+        most = np.bitwise_count(bits[i][:, None] & bits[other]).sum(2, dtype=np.int64) + np.minimum(spare[i][:, None], spare[other])
+        hit = (100 * most >= 75 * (n[i][:, None] + n[other] - most)) & (part[i][:, None] != part[other])
+        if one_block:
+            hit &= node[i][:, None] < node[other]
+        x, y = np.nonzero(hit)
+        x, y = i[x], other[y]
         # another list holds both, and comes first
-        hit = hit[~((low[hit][:, :, None] == low[i]) & (low[i] < name)).any((1, 2))]
-        a.append(np.full(len(hit), node[i]))
-        b.append(node[hit])
+        new = ~((low[y][:, :, None] == low[x][:, None]) & (low[x] < name)[:, None]).any((1, 2))
+        a.append(node[x[new]])
+        b.append(node[y[new]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _in_long_lists(left: DataFrame, one: DataFrame, block: int = 1024) -> DataFrame:
-    """Likely pairs across components in lists of any length: blocks of about ``block`` members meet each other, and no pair leaves a block but a likely one."""
+    """Likely pairs across components in lists of any length: blocks of about ``block`` members, a row each, meet each other, and no pair leaves a block but a likely one."""
     low = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("list")), 1, LOW).alias("low"))
     size = left.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = left.join(size, "list").join(one.join(low, "node"), "node").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    rows = rows.select("list", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("left"), "node", "part", "n", "sketch", "low")
-    return rows.groupBy("list", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
+    rows = stored(rows.select("list", "k", "blocks", "node", "part", "n", "sketch", "low"), "members")
+    tasks = max(shuffle_partitions(rows.sparkSession), rows.count() // MEMBERS)
+    short = rows.where("blocks = 1").groupBy(F.pmod(F.xxhash64("list"), F.lit(tasks))).applyInArrow(_within, "a bigint, b bigint")
+    packed = rows.where("blocks > 1").groupBy("list", "k").applyInArrow(_block, "list bigint, k int, blocks int, members binary")
+    packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    packed = packed.select("list", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "members")
+    return short.unionByName(packed.groupBy("list", "i", "j").applyInArrow(_across, "a bigint, b bigint")).distinct()
 
 
 def _one_each(sized: DataFrame) -> DataFrame:
@@ -432,14 +489,13 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     spark = docs.sparkSession
     sc = spark.sparkContext
     kind = dict(docs.select(id_column).dtypes)[id_column]
-    buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
     sized = stored(rows.mapInArrow(_describe, f"key {kind}, n bigint, node bigint, sketch binary"), "sizes")
+    buckets = max(shuffle_partitions(spark), (sized.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     signed = rows.select("text").mapInArrow(_sign(buckets), "bucket int, sig binary, node binary, run binary, sure binary")
     lists = stored(signed.groupBy("bucket").applyInArrow(_match, "hot boolean, size binary, node binary, flag binary, sure binary"), "lists")
-    hot = lists.where("hot").mapInArrow(_hot_counts, "node bigint, flag int, hot bigint, sure bigint")
-    hot = hot.groupBy("node", "flag").agg(F.sum("hot").alias("hot"), F.min("sure").alias("sure"))
-    hot = stored(hot, "hot")
+    hot = lists.where("hot").mapInArrow(_hot_parts(buckets), "part int, node binary, flag binary, hot binary, sure binary")
+    hot = stored(hot.groupBy("part").applyInArrow(_hot_counts, "node bigint, flag int, hot bigint, sure bigint"), "hot")
     poor = sc.broadcast(hash_filter(hot.where("hot >= sure").select("node")))
     # two similar sets share the signatures whose agreement is sure, but for hot ones
     shared = lists.where("NOT hot").mapInArrow(_shared, "a bigint, b bigint, fa int, fb int, sa int, sb int, n int")
@@ -459,16 +515,29 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     second = _linked(_in_long_lists(stored(left, "open"), one), rows)
     part = components(first.unionByName(second)) if second.take(1) else labels
     known = sized.join(part.withColumnRenamed("id", "node"), "node", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("part"))
-    least = known.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("component_id"))
+    known = stored(known, "known")
+    least = stored(known.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("component_id")), "least")
     out = known.join(least, "part", "left")
     return out.select(F.col("key").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs``, unchanged, without those that a similar row with a smaller id stands for."""
-    parts = similar_components(docs, id_column, text_column)
-    gone = parts.where(F.col("component_id") < F.col(id_column)).select(id_column)
-    return docs.join(gone, id_column, "left_anti")
+    """One row, unchanged, for each group of similar rows: that of least id, null ids last.
+
+    Rows are told apart by id and text; of rows equal in both, one stays (the least by a hash of all columns).
+    Rows without words are similar to nothing, and all stay.
+    """
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"))
+    parts = stored(similar_components(docs.select(key.alias("key"), F.col(text_column).alias("text")), "key", "text"), "parts")
+    same = key == F.col("key")
+    gone = parts.where("component_id <> key").select("key").distinct()
+    out = docs.join(gone, same, "left_anti")
+    many = parts.where("component_id = key AND n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    if not many.take(1):
+        return out
+    whole, columns = F.struct(*docs.columns), docs.columns
+    one = out.join(many, same, "left_semi").groupBy(key.alias("key")).agg(F.min_by(whole, F.xxhash64(*columns)).alias("row"))
+    return out.join(many, same, "left_anti").unionByName(one.select([F.col("row")[c].alias(c) for c in columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,38 @@ def test_jaccard(spark):
     assert kept == {c for _, c in want.values()}
 
 
+def _swapped(n: int) -> str:
+    """The first 2 ** n letters of the sequence of Thue and Morse over a and b."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+
+
+def test_jaccard_of_words_that_polynomials_confuse(spark):
+    w = _swapped(11)
+    docs = spark.createDataFrame([(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w + " x")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in op2_jaccard.similar_components(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_keep_one_tells_rows_apart(spark):
+    t, u = prose(11, 60), prose(12, 60)
+    rows = [(2, t, "a"), (6, t, "b"), (6, u, "c"), (7, u + " x", "d"), (8, u, "e"), (8, u, "e"), (None, t, "f"), (9, "", "g"), (9, "", "g"), (10, None, "h"), (11, prose(13, 60), "i"), (11, prose(13, 60), "j")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
+    got = [(r["doc_id"], r["h"]) for r in op2_jaccard.keep_one(docs).collect()]
+    assert sorted(x for x in got if x[0] != 11) == [(2, "a"), (6, "c"), (9, "g"), (9, "g"), (10, "h")] and sum(x[0] == 11 for x in got) == 1
+
+
+def test_long_lists_in_blocks(spark):
+    """Members of a long list meet across blocks, and each pair once."""
+    import numpy as np
+
+    sets = [list(range(k, k + 40)) for k in range(0, 60, 1)]
+    one = spark.createDataFrame([(i, len(s), bytearray(op2_jaccard._sketches(np.array(s, np.uint64), np.array([0, len(s)]))[0])) for i, s in enumerate(sets)], "node bigint, n bigint, sketch binary")
+    left = spark.createDataFrame([(7, i, i) for i in range(len(sets))] + [(9, 0, 0), (9, 1, 1)], "list bigint, node bigint, part bigint")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (40 - (j - i)) >= 75 * (40 + (j - i))}
+    for block in (8, 1024):
+        got = [(r["a"], r["b"]) for r in op2_jaccard._in_long_lists(left, one, block).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16))
@@ -127,6 +159,13 @@ def test_quality_statistics(spark, sf_dir):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered))
 
 
+def test_quality_windows_are_compared_by_words(spark, monkeypatch):
+    """With a hash that gives all windows one number, repeats are still found by their words."""
+    monkeypatch.setattr(op7_quality, "_REPEATS", op7_quality._REPEATS.replace("xxhash64(w[i], w[i + 1], w[i + 2])", "cast(7 AS bigint)"))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c x a b c y z a b c")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_repeat_words"] for r in op7_quality.statistics(docs).collect()} == {1: 0, 2: 9}
+
+
 def test_quality_list(spark):
     r = random.Random(4)
     rows = [(i, " ".join(prose(i, 80).split() + ["#", "$"] * (r.randint(8, 20) if i % 4 == 0 else 0))) for i in range(400)]
@@ -146,11 +185,21 @@ def test_url_rules(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     labels = spark.createDataFrame([(i, int(not poor(u))) for i, u in rows], "doc_id bigint, quality int")
     rules = op8_url.mine(pages, labels)
-    assert [sorted(x["tokens"]) for x in rules.collect()] == [["h:a", "p:y"]]
+    assert [sorted(x["items"]) for x in rules.collect()] == [[["h:a"], ["p:y"]]]
     got = {x["page_id"]: x["verdict"] for x in op8_url.judge(pages, rules, []).collect()}
     assert got == {i: "block" if poor(u) else "allow" for i, u in rows}
 
 
+def test_a_template_of_many_keys(spark):
+    """25 keys that come together are one item, and any of them stands for it; nothing explodes."""
+    keys = "&".join(f"k{i}=1" for i in range(25))
+    rows = [(i, f"http://bad.example.net/p?{keys}" if i % 3 == 0 else f"http://good.example.net/p{i % 7}?id={i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = op8_url.mine(pages, spark.createDataFrame([(i, int(i % 3 != 0)) for i, _ in rows], "doc_id bigint, quality int"))
+    new = spark.createDataFrame([(1, "http://x.net/?k7=2"), (2, "http://good.example.net/p1?id=1")], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in op8_url.judge(new, rules, []).collect()} == {1: "block", 2: "allow"}
+
+
 def test_language_and_toxicity(spark, sf_dir):
     """Held-out accuracy."""
     d = sf_dir.replace("sf0.001", "sf0.1")
