@@ -14,44 +14,38 @@ def title_keys(series: DataFrame) -> DataFrame:
     return series.select("id", texts.alias("key")).where("key <> ''")
 
 
-def match_ladder(facts: DataFrame, catalog: DataFrame) -> DataFrame:
+def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame) -> DataFrame:
     """(fact_id, rung, outcome, release_id) of every fact.
 
-    ``facts (fact_id, code, key, label_key, publisher_id, format, multi)`` and
-    ``catalog (release_id, code, key, label_key, publisher_id, format, single, locked)``, one
-    row for each key of a release. All rungs are computed as joins; the first that decides wins:
-    equal code (2: match, or review where no key of the release is the fact's); several volumes
-    (create); one strict hit (3: match, or review when locked); several (3: review); loose hits
-    (4: review); none (5: create).
+    ``facts (fact_id, code, title, key, label_key, publisher_id, format, multi)``; ``by_code (code, release_id,
+    titles)``, one active release for each code with its series' titles; ``catalog (release_id, key, label_key,
+    publisher_id, format, single, blocked)``, one row for each release under a key and label. The first rung
+    that decides wins: equal code (2: match, or review where no title of the release is similar); several volumes
+    (create); one release of the same publisher, single volume and format (3: match, or review where blocked);
+    several (3: review); any other but such that differ in format alone (4: review); none (5: create).
+
+    The catalog is counted by key first, so a popular title costs a fact no more than a rare one.
     """
-    by_code = (
-        facts.select("fact_id", "code", F.col("key").alias("fact_key"))
-        .join(catalog.select("code", "release_id", "key").distinct(), "code")
-        .groupBy("fact_id", "release_id")
-        .agg(F.bool_or(F.col("key") == F.col("fact_key")).alias("same"))
-        .groupBy("fact_id")
-        .agg(F.min(F.struct("release_id", "same")).alias("hit"))
-    )
-    near = facts.select("fact_id", "key", "label_key", F.col("publisher_id").alias("fp"), F.col("format").alias("ff")).join(
-        catalog, (facts["key"] == catalog["key"]) & facts["label_key"].eqNullSafe(catalog["label_key"])
-    )
-    strict = F.col("single") & (F.col("fp") == F.col("publisher_id")) & (F.col("ff") == F.col("format"))
-    walked = near.select("fact_id", "release_id", strict.alias("strict"), "locked").groupBy("fact_id", "release_id").agg(F.bool_or("strict").alias("strict"), F.bool_or("locked").alias("locked"))
-    counts = walked.groupBy("fact_id").agg(
-        F.count_if("strict").alias("n_strict"),
-        F.count_if(~F.col("strict")).alias("n_loose"),
-        F.min(F.when(F.col("strict"), F.struct("release_id", "locked"))).alias("one"),
-    )
-    told = facts.select("fact_id", "multi").join(by_code, "fact_id", "left").join(counts, "fact_id", "left")
+    hits = facts.where("code IS NOT NULL").select("fact_id", "code", "title").join(by_code, "code")
+    hits = hits.select("fact_id", F.struct("release_id", F.exists("titles", lambda t: titles.titles_similar(t, F.col("title"))).alias("same")).alias("hit"))
+    at = ["key", "label_key"]
+    # a null label meets a null label
+    side = lambda df: df.withColumn("none", F.col("label_key").isNull()).withColumn("label_key", F.coalesce("label_key", F.lit("")))
+    catalog, at = side(catalog), [*at, "none"]
+    whole = catalog.groupBy(*at).agg(F.count(F.lit(1)).alias("n_all"))
+    same = catalog.where("single").groupBy(*at, "publisher_id").agg(F.count(F.lit(1)).alias("n_same"))
+    strict = catalog.where("single").groupBy(*at, "publisher_id", "format").agg(F.count(F.lit(1)).alias("n_strict"), F.min(F.struct("release_id", "blocked")).alias("one"))
+    told = side(facts.select("fact_id", "key", "label_key", "publisher_id", "format", "multi"))
+    told = told.join(whole, at, "left").join(same, [*at, "publisher_id"], "left").join(strict, [*at, "publisher_id", "format"], "left").join(hits, "fact_id", "left")
     zero = F.lit(0)
-    strict_n, loose_n = F.coalesce("n_strict", zero), F.coalesce("n_loose", zero)
+    strict_n, loose_n = F.coalesce("n_strict", zero), F.coalesce("n_all", zero) - F.coalesce("n_same", zero)
     code = F.col("hit").isNotNull()
     rung = F.when(code, 2).when(F.col("multi"), 5).when(strict_n > 0, 3).when(loose_n > 0, 4).otherwise(5)
     outcome = (
         F.when(code & F.col("hit.same"), "match")
         .when(code, "review")
         .when(F.col("multi"), "create")
-        .when((strict_n == 1) & ~F.col("one.locked"), "match")
+        .when((strict_n == 1) & ~F.col("one.blocked"), "match")
         .when((strict_n > 0) | (loose_n > 0), "review")
         .otherwise("create")
     )
@@ -59,24 +53,43 @@ def match_ladder(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     return told.select("fact_id", rung.alias("rung"), outcome.alias("outcome"), target.alias("release_id"))
 
 
-def duplicate_pairs(records: DataFrame) -> DataFrame:
-    """(a, b, reason) of records that share a title key (``title``) or a token key (``tokens``); the former outranks.
+def duplicate_keys(records: DataFrame) -> DataFrame:
+    """(id, rank, key): of the title and every alternative, the normalised title (rank 0) and the sorted words (rank 1)."""
+    text = records.select("id", F.explode(F.array("title", "alt_title")).alias("t"))
+    keys = text.select("id", F.posexplode(F.array(titles.normalize_title("t"), titles.token_key("t"))).alias("rank", "key"))
+    return keys.where("key <> ''").distinct()
 
-    Blocks are equi-joined on the key; a pair of records is reported once.
-    """
-    keys = records.select("id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), titles.normalize_title("title").alias("key")), F.struct(F.lit(1).alias("rank"), titles.token_key("title").alias("key")), F.struct(F.lit(0).alias("rank"), titles.normalize_title("alt_title").alias("key")))).alias("k"))
-    keys = keys.select("id", "k.rank", "k.key").where("key <> ''").distinct()
+
+def _reason():
+    return F.when(F.col("rank") == 0, "title").otherwise("tokens").alias("reason")
+
+
+def duplicate_pairs(records: DataFrame) -> DataFrame:
+    """(a, b, reason) of records that share a key of ``duplicate_keys``; equal titles outrank equal words. All pairs of a block: for review lists."""
+    keys = duplicate_keys(records)
     a, b = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
     pairs = a.join(b, ["rank", "key"]).where("a < b").groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    return pairs.select("a", "b", F.when(F.col("rank") == 0, "title").otherwise("tokens").alias("reason"))
+    return pairs.select("a", "b", _reason())
+
 
+def duplicate_groups(records: DataFrame) -> DataFrame:
+    """(id, first_id, reason): each record of a block but its first, with that first one; rows grow with the records and not with the pairs."""
+    keys = duplicate_keys(records)
+    least = keys.groupBy("rank", "key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keys.join(least, ["rank", "key"]).where("id <> first_id").groupBy("id", "first_id").agg(F.min("rank").alias("rank"))
+    return rows.select("id", "first_id", _reason())
 
-def sibling_editions(coverage: DataFrame, releases: DataFrame) -> DataFrame:
-    """(release_id, sibling_id): releases of one publisher that cover the same volumes, all completely, in the same order."""
-    whole = coverage.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("series_id", "position"))).alias("covered"), F.bool_and(F.col("extent") == "complete").alias("complete"))
-    rows = whole.where("complete").join(releases.select(F.col("id").alias("release_id"), "publisher_id"), "release_id").select("release_id", "publisher_id", "covered")
-    least = rows.groupBy("publisher_id", "covered").agg(F.min("release_id").alias("sibling_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(least, ["publisher_id", "covered"]).where("release_id <> sibling_id").select("release_id", "sibling_id")
+
+def sibling_editions(wanted: DataFrame, editions: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(want_id, edition_id): the first active, unlocked edition without a line, by the wanted publisher, that covers exactly the wanted volumes, all whole, in order.
+
+    ``wanted (want_id, publisher_id, volumes)``, ``editions (id, publisher_id, status, locked, line_id)``,
+    ``coverage (edition_id, volume_id, position, extent)``. Nothing wanted has no sibling.
+    """
+    whole = coverage.groupBy("edition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "volume_id"))), lambda x: x["volume_id"]).alias("volumes"), F.bool_and(F.col("extent") == "complete").alias("complete"))
+    open_ = editions.where("status = 'active' AND NOT locked AND line_id IS NULL").select(F.col("id").alias("edition_id"), "publisher_id")
+    known = whole.where("complete").join(open_, "edition_id").groupBy("publisher_id", "volumes").agg(F.min("edition_id").alias("edition_id"))
+    return wanted.where(F.size("volumes") > 0).join(known, ["publisher_id", "volumes"]).select("want_id", "edition_id")
 
 
 def prefix_matches(names: DataFrame, publishers: DataFrame) -> DataFrame:

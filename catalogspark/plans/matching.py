@@ -29,20 +29,18 @@ _TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({})
 
 @register(
     "titles_similar_pairs",
-    f"""WITH t AS (SELECT doc_id, left(text, 80) AS title, {_TOK.format("left(text, 80)")} AS words FROM documents),
+    f"""WITH t AS (SELECT doc_id, {_TOK.format("text")} AS words FROM documents),
     pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.words AS x, b.words AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
     SELECT a, b, least(len(x), len(y)) = 0 OR len(list_intersect(x, y)) >= least(len(x), len(y)) * 0.5 AS similar FROM pairs""",
 )
 def titles_similar_pairs(spark, sf_dir):
-    t = Catalog(spark, sf_dir).raw("documents").select("doc_id", F.left("text", F.lit(80)).alias("title"))
+    t = Catalog(spark, sf_dir).raw("documents").select("doc_id", F.col("text").alias("title"))
     b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("other"))
     return t.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), titles.titles_similar("title", "other").alias("similar"))
 
 
-_PAIR_KEYS = f"""keys AS (SELECT DISTINCT id, rank, key FROM (
-  SELECT id, 0 AS rank, {NORM.format('title')} AS key FROM series WHERE status = 'active'
-  UNION ALL SELECT id, 0, {NORM.format('alt_title')} FROM series WHERE status = 'active'
-  UNION ALL SELECT id, 1, {_TOKENS.format(NORM.format('title'))} FROM series WHERE status = 'active') WHERE key <> '')"""
+_PAIR_KEYS = f"""texts AS (SELECT id, {NORM.format('title')} AS t FROM series WHERE status = 'active' UNION SELECT id, {NORM.format('alt_title')} FROM series WHERE status = 'active'),
+  keys AS (SELECT DISTINCT id, rank, key FROM (SELECT id, 0 AS rank, t AS key FROM texts UNION ALL SELECT id, 1, {_TOKENS.format('t')} FROM texts) WHERE key <> '')"""
 
 
 @register(
@@ -54,6 +52,15 @@ def duplicate_pairs(spark, sf_dir):
     return matching.duplicate_pairs(Catalog(spark, sf_dir).series.where("status = 'active'"))
 
 
+@register(
+    "duplicate_groups",
+    sql("series") + f""", {_PAIR_KEYS} SELECT id, first_id, CASE WHEN min(rank) = 0 THEN 'title' ELSE 'tokens' END AS reason
+    FROM (SELECT id, rank, min(id) OVER (PARTITION BY rank, key) AS first_id FROM keys) WHERE id <> first_id GROUP BY id, first_id""",
+)
+def duplicate_groups(spark, sf_dir):
+    return matching.duplicate_groups(Catalog(spark, sf_dir).series.where("status = 'active'"))
+
+
 @register(
     "label_equality_join",
     """WITH labels AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS label FROM part UNION SELECT DISTINCT ' ' || p_size || '.0' FROM part UNION SELECT 'x' || p_size FROM part)
@@ -66,74 +73,75 @@ def label_equality_join(spark, sf_dir):
     return a.join(b, "k").where("a < b").select("a", "b")
 
 
-#: Facts of the lines that ``{where}`` leaves. match_ladder's SQL takes five order keys in nine; match_ladder_all takes every line.
-_FACTS = f"""cat AS (SELECT r.id AS release_id, '978' || lpad(CAST(r.id AS VARCHAR), 10, '0') AS code, {NORM.format('s.title')} AS key, v.label AS label_key, r.publisher_id, r.format,
-    n.n = 1 AS single, r.id % 23 = 0 AS locked FROM releases r JOIN coverage c ON c.release_id = r.id JOIN series s ON s.id = c.series_id AND s.status = 'active' JOIN volumes v ON v.id = c.volume_id
-    JOIN (SELECT release_id, count(*) AS n FROM coverage GROUP BY 1) n ON n.release_id = r.id WHERE r.status = 'active'),
-  facts AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS fact_id, CASE WHEN l_orderkey % 5 = 0 THEN '978' || lpad(CAST(l_orderkey AS VARCHAR), 10, '0') END AS code,
-    {NORM.format("p_name || ' ' || p_brand || ' ' || lower(p_type)")} AS key, CAST(l_linenumber AS VARCHAR) AS label_key, min(l_suppkey) AS publisher_id,
-    CASE WHEN l_orderkey % 2 = 0 THEN 'digital' ELSE 'physical' END AS format, l_orderkey % 7 = 0 AS multi
-    FROM lineitem JOIN part ON p_partkey = l_partkey {{where}} GROUP BY ALL)"""
-
-
-_LADDER = """,
-  code_hit AS (SELECT fact_id, min(release_id) AS release_id, arg_min(same, release_id) AS same FROM (
-    SELECT f.fact_id, c.release_id, bool_or(c.key = f.key) AS same FROM facts f JOIN cat c ON c.code = f.code GROUP BY ALL) GROUP BY fact_id),
-  walked AS (SELECT f.fact_id, c.release_id, bool_or(c.single AND f.publisher_id = c.publisher_id AND f.format = c.format) AS strict, bool_or(c.locked) AS locked
-    FROM facts f JOIN cat c ON c.key = f.key AND c.label_key = f.label_key GROUP BY ALL),
-  counts AS (SELECT fact_id, count(*) FILTER (strict) AS ns, count(*) FILTER (NOT strict) AS nl, min(release_id) FILTER (strict) AS one, arg_min(locked, release_id) FILTER (strict) AS one_locked FROM walked GROUP BY fact_id)
-  SELECT f.fact_id, CASE WHEN h.fact_id IS NOT NULL THEN 2 WHEN multi THEN 5 WHEN coalesce(ns, 0) > 0 THEN 3 WHEN coalesce(nl, 0) > 0 THEN 4 ELSE 5 END AS rung,
-    CASE WHEN h.fact_id IS NOT NULL AND h.same THEN 'match' WHEN h.fact_id IS NOT NULL THEN 'review' WHEN multi THEN 'create' WHEN ns = 1 AND NOT one_locked THEN 'match'
-         WHEN coalesce(ns, 0) > 0 OR coalesce(nl, 0) > 0 THEN 'review' ELSE 'create' END AS outcome,
-    CASE WHEN h.fact_id IS NOT NULL THEN h.release_id WHEN NOT multi AND ns = 1 THEN one END AS release_id
-  FROM facts f LEFT JOIN code_hit h ON h.fact_id = f.fact_id LEFT JOIN counts n ON n.fact_id = f.fact_id"""
+_CODE = "'978' || lpad(CAST({} AS VARCHAR), 10, '0')"
+_SIMILAR = f"(least(len({_TOK.format('s.title')}), len({_TOK.format('f.title')})) = 0 OR len(list_intersect({_TOK.format('s.title')}, {_TOK.format('f.title')})) >= least(len({_TOK.format('s.title')}), len({_TOK.format('f.title')})) * 0.5)"
 
 
-def _ladder(spark, sf_dir, lines):
+@register(
+    "match_ladder",
+    sql("releases", "coverage", "series", "volumes", "release_series") + f""", facts AS (
+    SELECT *, {NORM.format('title')} AS key FROM (
+      SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS fact_id, CASE WHEN l_orderkey % 5 = 0 THEN {_CODE.format('l_orderkey')} WHEN l_orderkey % 5 = 1 THEN {_CODE.format('l_orderkey - 1')} END AS code,
+        CASE WHEN l_linenumber % 2 = 0 THEN s.alt_title ELSE s.title END AS title, CAST(l_linenumber AS VARCHAR) AS label, min(l_suppkey) AS publisher_id,
+        CASE WHEN l_orderkey % 2 = 0 THEN 'digital' ELSE 'physical' END AS format, l_orderkey % 7 = 0 AS multi
+      FROM lineitem JOIN series s ON s.id = l_partkey GROUP BY ALL)),
+  code_hit AS (SELECT f.fact_id, r.id AS release_id, bool_or({_SIMILAR}) AS same
+    FROM facts f JOIN releases r ON f.code = {_CODE.format('r.id')} AND r.status = 'active' JOIN release_series rs ON rs.release_id = r.id JOIN series s ON s.id = rs.series_id GROUP BY ALL),
+  titled AS (SELECT id, {NORM.format('title')} AS key FROM series WHERE status = 'active' UNION SELECT id, {NORM.format('alt_title')} FROM series WHERE status = 'active'),
+  sizes AS (SELECT release_id, count(*) AS n FROM coverage GROUP BY 1),
+  walked AS (SELECT DISTINCT f.fact_id, r.id AS release_id, r.id % 23 = 0 OR r.id % 29 = 0 AS blocked,
+      CASE WHEN NOT coalesce(z.n = 1 AND f.publisher_id = r.publisher_id, false) THEN 'loose' WHEN r.format = f.format THEN 'strict' ELSE 'sibling' END AS bucket
+    FROM facts f JOIN titled t ON t.key = f.key JOIN volumes v ON v.series_id = t.id AND v.label = f.label JOIN coverage c ON c.volume_id = v.id
+    JOIN releases r ON r.id = c.release_id AND r.status = 'active' JOIN sizes z ON z.release_id = r.id),
+  counts AS (SELECT fact_id, count(*) FILTER (bucket = 'strict') AS ns, count(*) FILTER (bucket = 'loose') AS nl, min(release_id) FILTER (bucket = 'strict') AS one, bool_or(blocked) FILTER (bucket = 'strict') AS held FROM walked GROUP BY fact_id)
+  SELECT f.fact_id, CASE WHEN h.fact_id IS NOT NULL THEN 2 WHEN multi THEN 5 WHEN ns > 0 THEN 3 WHEN nl > 0 THEN 4 ELSE 5 END AS rung,
+    CASE WHEN h.same THEN 'match' WHEN h.fact_id IS NOT NULL THEN 'review' WHEN multi THEN 'create' WHEN ns = 1 AND NOT held THEN 'match' WHEN ns > 0 OR nl > 0 THEN 'review' ELSE 'create' END AS outcome,
+    CASE WHEN h.fact_id IS NOT NULL THEN h.release_id WHEN NOT multi AND ns = 1 THEN one END AS release_id
+  FROM facts f LEFT JOIN code_hit h ON h.fact_id = f.fact_id LEFT JOIN counts n ON n.fact_id = f.fact_id""",
+)
+def match_ladder(spark, sf_dir):
+    """Every line item as a fact; a release is its own edition here."""
     c = Catalog(spark, sf_dir)
     code = lambda x: F.concat(F.lit("978"), F.lpad(x.cast("string"), 10, "0"))
-    size = c.coverage.groupBy("release_id").agg((F.count(F.lit(1)) == 1).alias("single"))
-    live = c.releases.where("status = 'active'").select(F.col("id").alias("release_id"), "publisher_id", "format")
-    series = c.series.where("status = 'active'").select(F.col("id").alias("series_id"), titles.normalize_title("title").alias("key"))
-    catalog = c.coverage.join(live, "release_id").join(series, "series_id").join(size, "release_id")
-    catalog = catalog.select("release_id", code(F.col("release_id")).alias("code"), "key", F.col("position").cast("string").alias("label_key"), "publisher_id", "format", "single", (F.col("release_id") % 23 == 0).alias("locked"))
-    part = c.raw("part").select(F.col("p_partkey").alias("l_partkey"), titles.normalize_title(F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type"))).alias("key"))
-    lines = lines.groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
-    facts = lines.join(part, "l_partkey").select(
-        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
-        F.when(F.col("l_orderkey") % 5 == 0, code(F.col("l_orderkey"))).alias("code"),
-        "key",
-        F.col("l_linenumber").cast("string").alias("label_key"),
+    key = F.col("l_orderkey")
+    lines = c.raw("lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
+    facts = lines.join(c.series, F.col("id") == F.col("l_partkey")).select(
+        (key * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
+        F.when(key % 5 == 0, code(key)).when(key % 5 == 1, code(key - 1)).alias("code"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("alt_title")).otherwise(F.col("title")).alias("title"),
+        titles.label_key(F.col("l_linenumber").cast("string")).alias("label_key"),
         "publisher_id",
-        F.when(F.col("l_orderkey") % 2 == 0, "digital").otherwise("physical").alias("format"),
-        (F.col("l_orderkey") % 7 == 0).alias("multi"),
+        F.when(key % 2 == 0, "digital").otherwise("physical").alias("format"),
+        (key % 7 == 0).alias("multi"),
     )
-    return matching.match_ladder(facts, catalog)
-
-
-def _ladder_sql(where: str) -> str:
-    return sql("releases", "coverage", "series", "volumes") + ", " + _FACTS.replace("{where}", where) + _LADDER
-
-
-@register("match_ladder", _ladder_sql("WHERE l_orderkey % 9 < 5"))
-def match_ladder(spark, sf_dir):
-    return _ladder(spark, sf_dir, Catalog(spark, sf_dir).raw("lineitem").where("l_orderkey % 9 < 5"))
-
-
-@register("match_ladder_all", _ladder_sql(""))
-def match_ladder_all(spark, sf_dir):
-    return _ladder(spark, sf_dir, Catalog(spark, sf_dir).raw("lineitem"))
+    facts = facts.withColumn("key", titles.normalize_title("title"))
+    live = c.releases.where("status = 'active'").select(F.col("id").alias("release_id"), "publisher_id", "format")
+    named = c.release_series.join(c.series.select(F.col("id").alias("series_id"), "title"), "series_id").groupBy("release_id").agg(F.collect_set("title").alias("titles"))
+    by_code = live.select("release_id", code(F.col("release_id")).alias("code")).join(named, "release_id")
+    keys = matching.title_keys(c.series.where("status = 'active'")).withColumnRenamed("id", "series_id")
+    size = c.coverage.groupBy("release_id").agg((F.count(F.lit(1)) == 1).alias("single"))
+    catalog = c.coverage.select("release_id", "series_id", titles.label_key(F.col("position").cast("string")).alias("label_key")).join(keys, "series_id").drop("series_id").distinct()
+    catalog = catalog.join(live, "release_id").join(size, "release_id").withColumn("blocked", (F.col("release_id") % 23 == 0) | (F.col("release_id") % 29 == 0))
+    return matching.match_ladder(facts, by_code, catalog)
 
 
 @register(
     "sibling_editions",
-    sql("coverage", "releases") + """, whole AS (SELECT c.release_id, any_value(r.publisher_id) AS publisher_id, string_agg(series_id || ':' || position, ',' ORDER BY series_id, position) AS covered
-      FROM coverage c JOIN releases r ON r.id = c.release_id GROUP BY c.release_id HAVING bool_and(extent = 'complete'))
-    SELECT release_id, least_id AS sibling_id FROM (SELECT release_id, min(release_id) OVER (PARTITION BY publisher_id, covered) AS least_id FROM whole) WHERE release_id <> least_id""",
+    """WITH editions AS (SELECT o_orderkey AS id, o_custkey % 3 AS publisher_id, CASE WHEN o_orderkey % 17 = 0 THEN 'hidden' ELSE 'active' END AS status, o_orderkey % 11 = 0 AS locked, CASE WHEN o_orderkey % 13 = 0 THEN 1 END AS line_id FROM orders),
+    coverage AS (SELECT DISTINCT l_orderkey AS edition_id, l_linenumber AS position, l_linenumber * 10 + l_orderkey % 2 AS volume_id, CASE WHEN l_orderkey % 5 = 0 THEN 'partial' ELSE 'complete' END AS extent FROM lineitem),
+    whole AS (SELECT edition_id, string_agg(volume_id, ',' ORDER BY position) AS volumes, bool_and(extent = 'complete') AS complete FROM coverage GROUP BY 1),
+    known AS (SELECT publisher_id, volumes, min(edition_id) AS edition_id FROM whole JOIN editions e ON e.id = edition_id WHERE complete AND status = 'active' AND NOT locked AND line_id IS NULL GROUP BY ALL)
+    SELECT w.edition_id AS want_id, k.edition_id FROM whole w JOIN editions e ON e.id = w.edition_id JOIN known k ON k.publisher_id = e.publisher_id AND k.volumes = w.volumes""",
 )
 def sibling_editions(spark, sf_dir):
     c = Catalog(spark, sf_dir)
-    return matching.sibling_editions(c.coverage, c.releases)
+    key = F.col("o_orderkey")
+    editions = c.raw("orders").select(key.alias("id"), (F.col("o_custkey") % 3).alias("publisher_id"), F.when(key % 17 == 0, "hidden").otherwise("active").alias("status"), (key % 11 == 0).alias("locked"), F.when(key % 13 == 0, 1).alias("line_id"))
+    line = F.col("l_orderkey")
+    coverage = c.raw("lineitem").select(line.alias("edition_id"), F.col("l_linenumber").alias("position"), (F.col("l_linenumber") * 10 + line % 2).alias("volume_id"), F.when(line % 5 == 0, "partial").otherwise("complete").alias("extent")).distinct()
+    wanted = coverage.groupBy("edition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "volume_id"))), lambda x: x["volume_id"]).alias("volumes"))
+    wanted = wanted.join(editions.select(F.col("id").alias("edition_id"), "publisher_id"), "edition_id").withColumnRenamed("edition_id", "want_id")
+    return matching.sibling_editions(wanted, editions, coverage)
 
 
 @register(

@@ -18,6 +18,7 @@ MARKED_RANGE = r"(?i)^(.*?)[,:]?\s+(?:Vols?\.?|Volumes?)\s+(\d+(?:\.\d+)?)\s*[-
 MARKED = r"(?i)^(.*?)[,:]?\s+(?:Vols?\.?|Volumes?|#)\s*(\d+(?:\.\d+)?)\s*$"
 MARKED_SUBTITLE = r"(?i)^(?:Vols?\.?|Volumes?)\s*(\d+(?:\.\d+)?)$"
 BOOK_TITLE = r"(?i)^(.*?)\s+Vols?\.?\s+([0-9]+(?:\.[0-9]+)?(?:\s*[-–]\s*[0-9]+(?:\.[0-9]+)?)?)\s*$"
+CREATOR = r'(?is)<span[^>]*class="creator"[^>]*>(.*?)</span>'
 SERIES_LINK = r'(?is)<b>\s*Series:\s*</b>.*?<a\s+href="([^"]*/series/([^/"]+)/?)"[^>]*>(.*?)</a>'
 
 _LISTING = "array<struct<id:bigint,status:string,slug:string,link:string,modified_gmt:string,title:struct<rendered:string>,content:struct<rendered:string>>>"
@@ -56,6 +57,23 @@ def meta_line(html: Column, label: str) -> Column:
     return F.nullif(_bare(markup.decode_entities(_found(html, rf"(?i)<b>\s*{label}\s*:\s*</b>\s*([^<]+)"))), F.lit(""))
 
 
+def _texts(c: Column, pattern: str) -> Column:
+    """Texts of all matches of a pattern's group, without tags, blanks collapsed, empty ones left out.
+
+    They are decoded as one string, since an array can't go through a column function; \x01 divides them.
+    """
+    found = F.array_join(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), "\x01")
+    return F.filter(F.transform(F.split(_decoded_text(found), "\x01"), _bare), lambda x: x != "")
+
+
+def _decoded_text(c: Column) -> Column:
+    return F.regexp_replace(markup.decode_entities(F.regexp_replace(c, r"<[^>]*>", " ")), r"[ \t\r\n]+", " ")
+
+
+def _people(html: Column) -> Column:
+    return _texts(html, CREATOR)
+
+
 def book_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with the fields of a book page: series link, date, price, format, ISBN by shape, creators and cover.
 
@@ -64,13 +82,12 @@ def book_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     html = F.col(column)
     before = F.when(F.instr(html, 'id="volume-meta"') > 0, F.substring_index(html, 'id="volume-meta"', 1)).otherwise(html)
     covers = F.regexp_extract_all(before, F.lit(r'(?i)<img[^>]+src="([^"]*/wp-content/uploads/[^"]*)"'), F.lit(1))
-    names = F.regexp_extract_all(html, F.lit(r'(?is)<span[^>]*class="creator"[^>]*>(.*?)</span>'), F.lit(1))
     dollars = _found(F.coalesce(meta_line(html, "Price"), F.lit("")), r"\$\s*(\d+(?:\.\d{1,2})?)").try_cast("decimal(12,2)")
     return pages.select(
         "*", _found(html, SERIES_LINK).alias("series_url"), _found(html, SERIES_LINK, 2).alias("series_slug"), F.nullif(_text(_found(html, SERIES_LINK, 3)), F.lit("")).alias("series_title"),
         dates.from_us(meta_line(html, "Release Date")).alias("release_date"), (dollars * 100).cast("bigint").alias("price_cents"), F.when(dollars.isNotNull(), "USD").alias("currency"),
         meta_line(html, "Format").alias("category"), codes.isbn_shape(meta_line(html, "ISBN"), 13).alias("isbn13"),
-        F.filter(F.transform(names, lambda x: _bare(markup.decode_named(x))), lambda x: x != "").alias("creators"), F.try_element_at(covers, F.lit(-1)).alias("cover_url"),
+        _people(html).alias("creators"), F.try_element_at(covers, F.lit(-1)).alias("cover_url"),
     )
 
 
