@@ -71,9 +71,28 @@ def slugify(names: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def normalize_username(names: pd.Series) -> pd.Series:
+    """NFKC, trimmed, lower case; there is no built-in Unicode normalisation."""
     return names.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().lower())
 
 
+#: Names that nobody can take.
+RESERVED = """
+official staff team admin admins administrator administrators moderator moderators mod mods editor editors root system support webmaster
+about account api auth bundle bundles calendar contact edition editions help isbn login logout me publisher publishers release releases search
+series settings sign_in sign_up signin signup sitemap sources terms privacy u user users username volume volumes
+anonymous deleted everyone here nobody null undefined unknown
+""".split()
+#: Length and shape of a name.
+SHORTEST_NAME, LONGEST_NAME, NAME_SHAPE = 3, 20, r"^[A-Za-z0-9][A-Za-z0-9_]*$"
+
+
+def username_problem(name, normalized, site: str | None = None) -> Column:
+    """invalid, reserved (the site's own name too) or null; a null name is invalid."""
+    n, bare = _col(normalized), F.regexp_replace(_col(name), r"^\s+|\s+$", "")
+    fits = F.length(n).between(SHORTEST_NAME, LONGEST_NAME) & bare.rlike(NAME_SHAPE)
+    return F.when(~F.coalesce(fits, F.lit(False)), "invalid").when(n.isin(*RESERVED, *([site] if site else [])), "reserved")
+
+
 def public_id(c) -> Column:
     """A positive whole number of at most twelve digits, else null."""
     n = F.when(_col(c).rlike(r"^[0-9]{1,12}$"), _col(c)).try_cast("bigint")
@@ -88,3 +107,20 @@ def price(cents, currency="USD") -> Column:
     amount = F.format_string("%d.%02d", F.floor(_col(cents) / 100).cast("bigint"), (_col(cents) % 100).cast("bigint"))
     unit = F.lit(currency) if isinstance(currency, str) else currency
     return F.when(unit == "USD", F.concat(F.lit("$"), amount)).otherwise(F.concat(amount, F.lit(" "), unit))
+
+
+def book_format(format, binding) -> Column:
+    """schema.org's book format."""
+    hard = F.coalesce(_col(binding), F.lit("")).rlike(r"(?i)hard\s*cover|hardback")
+    return F.concat(F.lit("https://schema.org/"), F.when(_col(format) == "digital", "EBook").when(hard, "Hardcover").otherwise("Paperback"))
+
+
+def canonical_url(url, host: str) -> Column:
+    """The url on ``host`` itself and by https where it names that host or its www form; other urls as they are."""
+    u = _col(url)
+    return F.regexp_replace(u, rf"^https?://(?:www\.)?{re.escape(host)}(?=[/?#:]|$)", f"https://{host}")
+
+
+def truthy(c) -> Column:
+    """Whether a filter's text is on."""
+    return F.coalesce(_col(c).isin("true", "1", "on"), F.lit(False))

@@ -84,16 +84,19 @@ def from_iso(text) -> Column:
     return F.when(ok, partial_date(part(1), part(2), part(3)))
 
 
+#: The shapes of report dates and of dates in prose.
+REPORTED = r"^(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?$"
+DASHED = r"^(\d{4})-(\d{2})(?:-(\d{2}))?$"
+WORDED = r"^([A-Za-z]+)\.?\s+(?:(\d{1,2})(?:st|nd|rd|th)?,?\s+)?(\d{4})$"
+
+
 def degrade(text) -> Column:
     """Partial date of yyyy, yyyy-mm or yyyy-mm-dd that loses impossible parts; years 1900 to 2200 only."""
     t = F.trim(_col(text))
-    y = F.regexp_extract(t, r"^(\d{4})", 1).try_cast("int")
-    m = F.regexp_extract(t, r"^\d{4}-(\d{1,2})", 1).try_cast("int")
-    d = F.regexp_extract(t, r"^\d{4}-\d{1,2}-(\d{1,2})", 1).try_cast("int")
+    y, m, d = (F.regexp_extract(t, REPORTED, i).try_cast("int") for i in (1, 2, 3))
     month = F.when(m.between(1, 12), m)
     day = F.when(month.isNotNull() & d.between(1, 31), d)
-    shape = t.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2})?)?$")
-    return F.when(shape & y.between(1900, 2200), partial_date(y, month, day))
+    return F.when(y.between(1900, 2200), partial_date(y, month, day))
 
 
 def from_us(text) -> Column:
@@ -109,13 +112,12 @@ def from_us(text) -> Column:
 def from_prose(text) -> Column:
     """Partial date of "Oct 13, 2026", "October 2026", "2026-10-13", "2026-10" or "2026"; impossible or unknown parts are lost, other shapes are null."""
     t = F.trim(_col(text))
-    dashed, worded = r"^(\d{4})-(\d{2})(?:-(\d{2}))?$", r"^([A-Za-z]+)\.?\s+(?:(\d{1,2})(?:st|nd|rd|th)?,?\s+)?(\d{4})$"
     number = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
-    named = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(F.left(F.regexp_extract(t, worded, 1), F.lit(3)))).cast("int")
-    y = F.coalesce(number(dashed, 1), number(worded, 3), number(r"^(\d{4})$", 1))
-    m = F.coalesce(number(dashed, 2), named)
+    named = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(F.left(F.regexp_extract(t, WORDED, 1), F.lit(3)))).cast("int")
+    y = F.coalesce(number(DASHED, 1), number(WORDED, 3), number(r"^(\d{4})$", 1))
+    m = F.coalesce(number(DASHED, 2), named)
     month = F.when(m.between(1, 12), m)
-    d = F.coalesce(number(dashed, 3), number(worded, 2))
+    d = F.coalesce(number(DASHED, 3), number(WORDED, 2))
     return F.when(y.isNotNull(), partial_date(y, month, F.when(month.isNotNull() & d.between(1, 31), d)))
 
 
@@ -123,3 +125,31 @@ def add_months(index, n: int) -> Column:
     """Struct (year, month) of ``year * 12 + month - 1`` moved by n months, also below zero."""
     i = _col(index) + n
     return F.struct(F.floor(i / 12).cast("int").alias("year"), (F.pmod(i, F.lit(12)) + 1).cast("int").alias("month"))
+
+
+def parse_month(text) -> Column:
+    """Struct (year, month) of a strict yyyy-mm from year 1000 on; else null."""
+    y, m = (F.regexp_extract(_col(text), r"^([0-9]{4})-([0-9]{2})$", i).try_cast("int") for i in (1, 2))
+    return F.when((y >= 1000) & m.between(1, 12), F.struct(y.alias("year"), m.alias("month")))
+
+
+def month_param(year, month) -> Column:
+    return F.concat(F.lpad(_col(year).cast("string"), 4, "0"), F.lit("-"), F.lpad(_col(month).cast("string"), 2, "0"))
+
+
+def month_title(year, month) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, FULL_MONTHS)), _col(month)), F.lit(" "), _col(year).cast("string"))
+
+
+def days_in_month(year, month) -> Column:
+    return F.dayofmonth(F.last_day(F.make_date(_col(year), _col(month), F.lit(1))))
+
+
+def first_weekday(year, month) -> Column:
+    """0 is Sunday."""
+    return F.dayofweek(F.make_date(_col(year), _col(month), F.lit(1))) - 1
+
+
+def day_key(day) -> Column:
+    """yyyymmdd of a date or time, as sort keys have it."""
+    return F.date_format(_col(day), "yyyyMMdd").cast("int")

@@ -46,9 +46,9 @@ def decode_entities(c) -> Column:
 
 
 def strip_html(c) -> Column:
-    """Tags as blanks, named entities decoded, blanks collapsed."""
-    bare = decode_named(F.regexp_replace(_col(c), r"<[^>]*>", " "))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Tags as blanks, named and numeric references decoded, blanks collapsed."""
+    bare = decode_entities(F.regexp_replace(_col(c), r"<[^>]*>", " "))
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^\s+|\s+$", "")
 
 
 def truncate(c, most: int) -> Column:

@@ -72,5 +72,34 @@ def volume_title(series_title, label) -> Column:
     return F.when(_col(label).isNull(), _col(series_title)).otherwise(F.concat(_col(series_title), F.lit(", Vol. "), _col(label)))
 
 
-def needs_edition_line(c) -> Column:
-    return _col(c).rlike(r"(?i)\b(omnibus|box(?:ed)? set|deluxe|collector'?s)\b")
+#: Fixed value: words of packaging that make an edition line.
+EDITION_LINE = r"(?i)\b(omnibus|box(?:ed)? set|deluxe|collector'?s)\b"
+
+
+def needs_edition_line(*texts) -> Column:
+    """Whether any of the texts names such a packaging; null texts don't."""
+    out = F.lit(False)
+    for c in texts:
+        out = out | F.coalesce(_col(c).rlike(EDITION_LINE), F.lit(False))
+    return out
+
+
+def page_title(kind: str, name, site: str, publisher=None) -> Column:
+    """Title tag of a page; ``publisher`` may be null."""
+    tail = TITLE_TAGS[kind]
+    full = _col(name)
+    if publisher is not None:
+        full = F.when(_col(publisher).isNull() | (_col(publisher) == ""), full).otherwise(F.concat(full, F.lit(" ("), _col(publisher), F.lit(")")))
+    parts = (F.lit("English Manga Releases – "), full) if kind == "month" else (full, F.lit(f" – {tail}"))
+    return F.concat(*parts, F.lit(f" | {site}"))
+
+
+#: What a page's title says behind its name.
+TITLE_TAGS = {
+    "series": "English Manga Volumes & Release Dates",
+    "volume": "English Editions & Release Dates",
+    "edition": "ISBN & Release Date",
+    "bundle": "Box Set ISBN & Release Date",
+    "publisher": "Manga Releases & Upcoming Books",
+    "month": "",
+}
