@@ -82,5 +82,6 @@ def suppress(queue: DataFrame, suppressions: DataFrame) -> DataFrame:
 
 
 def value_hash(*columns) -> Column:
-    """Digest of values under their names in order; missing ones are left out."""
-    return F.md5(F.to_json(F.struct(*sorted(columns))))
+    """Digest of values under their names in order, missing ones left out; "absent" where all are missing."""
+    every = F.coalesce(*[F.col(c).cast("string") for c in columns])
+    return F.when(every.isNull(), "absent").otherwise(F.md5(F.to_json(F.struct(*sorted(columns)))))

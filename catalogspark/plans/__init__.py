@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds")
+_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds", "pages")
 
 
 def load() -> None:
