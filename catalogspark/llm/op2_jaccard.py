@@ -528,15 +528,18 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Rows without words are similar to nothing, and all stay.
     """
     key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h"))
-    parts = stored(similar_components(docs.select(key.alias("key"), F.col(text_column).alias("text")), "key", "text"), "parts")
-    same = key == F.col("key")
-    gone = parts.where("component_id <> key").select("key").distinct()
+    own = "row_key"
+    while own in docs.columns:
+        own += "_"
+    parts = stored(similar_components(docs.select(key.alias(own), F.col(text_column).alias("text")), own, "text"), "parts")
+    same = key == F.col(own)
+    gone = parts.where(F.col("component_id") != F.col(own)).select(own).distinct()
     out = docs.join(gone, same, "left_anti")
-    many = parts.where("component_id = key AND n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    many = parts.where((F.col("component_id") == F.col(own)) & (F.col("n_shingles") > 0)).groupBy(own).count().where("count > 1").select(own)
     if not many.take(1):
         return out
     whole, columns = F.struct(*docs.columns), docs.columns
-    one = out.join(many, same, "left_semi").groupBy(key.alias("key")).agg(F.min_by(whole, F.xxhash64(*columns)).alias("row"))
+    one = out.join(many, same, "left_semi").groupBy(key.alias(own)).agg(F.min_by(whole, F.xxhash64(*columns)).alias("row"))
     return out.join(many, same, "left_anti").unionByName(one.select([F.col("row")[c].alias(c) for c in columns]))
 
 

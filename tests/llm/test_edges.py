@@ -89,3 +89,18 @@ def test_url_edges(spark, labels):
     es = (4, "a.example.org", "/es/x", "example.org/es/", "block")
     assert got == [(0, "h:80", "", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), es, es, (5, "com", "", None, "allow"), (6, "www.com", "/de/", "com/de/", "block"), (7, "example.org", "/en/12", "example.org/en/1", "allow"), (8, "badexample.org", "/es/", "org/", "allow")]
     assert op8_url.judge(df.limit(0).select("page_id", "url"), op8_url.mine(df.limit(0), labels), op8_url.LISTED).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, sf_dir):
+    """Each stage keeps the columns, and of each group of similar rows one; the last returns every word."""
+    import corpus_pipeline
+
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert 1 not in kept and 2 not in kept and kept.count(6) == 1 and 7 not in kept and 5 not in kept
+    assert {4, 8, 9, 10, 11, 12} <= set(kept) and kept.count(None) == 1
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in out} == set(kept)
