@@ -139,10 +139,15 @@ def ascii_lower(data):
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/catalogspark")
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder of the cluster. Only a session on one machine may go without: there it is a folder of that machine."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("/tmp/checkpoints/catalogspark")
+        shared = sc.getCheckpointDir()
+    return shared
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -215,7 +215,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, where=~held_out("id", 4, 2))
     out = predict(docs, model)
-    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
