@@ -57,7 +57,11 @@ def drain(stream: DataFrame, name: str, mode: str = "append", bounded: bool = Fa
     import uuid
 
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/catalogspark").rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = (shared or "/tmp/checkpoints/catalogspark").rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
     out = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     if bounded:
         table = f"{name}_{uuid.uuid4().hex}"
