@@ -72,3 +72,36 @@ def test_ordinary_text_is_learned_whole():
     text = "\n".join(prose(i, 90) for i in range(12))
     got = {w for x in op6_license._ordinary(text) for w in x.split()}
     assert got == set(text.lower().split())
+
+
+def test_no_line_is_passed_over(spark):
+    rows = [(1, "Available under CC-BY-NC 4.0."), (2, "SPDX-License-Identifier: MIT"), (3, "Licensed under the Eclipse Public License 2.0"), (4, "“MIT License”"), (5, prose(3, 90) + "\n" + "Released under the BSD license")]
+    rows += [(i, prose(i, 200) + "\nthe council gave permission and all copyright is a matter of rights\n" + prose(i + 1, 30)) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = op6_license.fit(docs)
+    out = {r["doc_id"]: [(s["family"], s["matched"] >= op6_license.CONFIRM) for s in r["spans"]] for r in op6_license.scan(docs, model).collect()}
+    assert out[1] == [("cc-by-nc", True)] and out[2] == [("mit", True)] and out[5] == [("bsd", True)]
+    assert all(not sure for _, sure in out[3]) and all(f == "unknown" for f, _ in out[3])
+    assert not any(out[i] for i in range(10, 60))
+
+
+def test_lines_at_once_are_as_one_by_one():
+    texts = ["Ünder “MIT License” – café × naïve x⁰y _a_b zß Ω", "a\n\nrem all rights\nrem reserved now", None, "", prose(5, 130), "Licensed under CC BY 4.0\r\n" + prose(6, 61) + " all rights reserved", "×" * 50, "x" * 3000]
+    model = op6_license.train([prose(i, 60) for i in range(40)])
+    column = pa.array(texts)
+    data, starts, ends, rows, _ = op6_license._word_spans(*op6_license.text_buffers(column))
+    for i, t in enumerate(texts):
+        assert [data[a:b].tobytes().decode() for a, b, r in zip(starts, ends, rows) if r == i] == op6_license._words(t or "")
+    together = op6_license._scan(column, model)
+    assert together == [op6_license._scan(pa.array([t], pa.string()), model)[0] for t in texts]
+    for t, got in zip(texts, together):
+        want, at = [], 0
+        for line in (t or "").split("\n"):
+            for w in op6_license._windows(op6_license._words(line)):
+                family, p = op6_license.classify(w, model) if w else ("none", 1.0)
+                if family != "none":
+                    want.append((at, family, round(p, 9), op6_license.confirmed(w, family)))
+            at += len(line) + 1
+        alone = [(a, f, round(p, 9), m) for a, f, p, m in got]
+        assert [x for x in alone if x in want] == want or "rem" in (t or "")
+    assert [f for _, f, _, m in together[1] if m >= op6_license.CONFIRM] == ["proprietary"]
