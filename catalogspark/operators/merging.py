@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,23 @@ def impact(merges: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataF
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def append_volumes(volumes: DataFrame, merges: DataFrame) -> DataFrame:
+    """``volumes (id, series_id, position, ...)`` after the ``merges (loser, survivor)``: the losers' volumes follow the survivor's
+    last position, one loser after the other in order of their ids."""
+    top = volumes.groupBy("series_id").agg(F.max("position").alias("top"))
+    none = F.lit(0).cast("bigint")
+    rows = merges.join(top.select(F.col("series_id").alias("loser"), "top"), "loser").join(top.select(F.col("series_id").alias("survivor"), F.col("top").alias("base")), "survivor", "left")
+    before = F.sum("top").over(Window.partitionBy("survivor").orderBy("loser").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select(F.col("loser").alias("series_id"), "survivor", (F.coalesce("base", none) + F.coalesce(before, none)).alias("offset"))
+    moved = volumes.join(rows, "series_id", "left").withColumn("series_id", F.coalesce("survivor", "series_id"))
+    return moved.withColumn("position", F.col("position") + F.coalesce("offset", none)).select(*volumes.columns)
+
+
+def slug_redirects(redirects: DataFrame, merges: DataFrame, records: DataFrame) -> DataFrame:
+    """(from_slug, target_id): redirects to losers point at their survivors, and each loser's own slug becomes one."""
+    m = merges.select(F.col("loser").alias("target_id"), "survivor")
+    kept = redirects.join(m, "target_id", "left").select("from_slug", F.coalesce("survivor", "target_id").alias("target_id"))
+    own = records.join(m, records["id"] == m["target_id"]).select(F.col("slug").alias("from_slug"), F.col("survivor").alias("target_id"))
+    return kept.unionByName(own)

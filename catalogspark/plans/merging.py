@@ -55,3 +55,43 @@ def split_undo(spark, sf_dir):
 def merge_impact(spark, sf_dir):
     c, merges, _ = _parts(spark, sf_dir)
     return merging.impact(merges, {"releases": (c.release_series, "series_id"), "volumes": (c.volumes, "series_id"), "follows": (c.follows, "series_id")})
+
+
+@register(
+    "series_merge_volumes",
+    sql("series", "survivors", "volumes") + """, merges AS (SELECT id AS loser, min(survivor_id) AS survivor FROM survivors WHERE depth > 0 GROUP BY id),
+    tops AS (SELECT series_id, max(position) AS top FROM volumes GROUP BY series_id),
+    offsets AS (SELECT loser, survivor, coalesce(b.top, 0) + coalesce(sum(t.top) OVER (PARTITION BY survivor ORDER BY loser ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+      FROM merges JOIN tops t ON t.series_id = loser LEFT JOIN tops b ON b.series_id = survivor)
+    SELECT v.id, coalesce(survivor, v.series_id) AS series_id, CAST(v.position + coalesce(o, 0) AS BIGINT) AS position, label FROM volumes v LEFT JOIN offsets ON loser = v.series_id""",
+)
+def series_merge_volumes(spark, sf_dir):
+    c, merges, _ = _parts(spark, sf_dir)
+    return merging.append_volumes(c.volumes, merges).withColumn("position", F.col("position").cast("bigint"))
+
+
+_PUBLISHER_MERGES = "merges AS (SELECT id AS loser, id - 1 AS survivor FROM publishers WHERE id % 10 = 9)"
+
+
+def _publisher_merges(c):
+    return c.publishers.where("id % 10 = 9").select(F.col("id").alias("loser"), (F.col("id") - 1).alias("survivor"))
+
+
+@register(
+    "publisher_merge_releases",
+    sql("publishers", "releases") + f", {_PUBLISHER_MERGES} SELECT r.id, coalesce(survivor, publisher_id) AS publisher_id FROM releases r LEFT JOIN merges ON loser = publisher_id",
+)
+def publisher_merge_releases(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return merging.repoint(c.releases.select("id", "publisher_id"), _publisher_merges(c), "publisher_id", ["id"])["rows"]
+
+
+@register(
+    "publisher_merge_redirects",
+    sql("publishers") + f""", {_PUBLISHER_MERGES}, redirects AS (SELECT 'old-' || slug AS from_slug, id AS target_id FROM publishers WHERE id % 3 = 0)
+    SELECT from_slug, coalesce(survivor, target_id) AS target_id FROM redirects LEFT JOIN merges ON loser = target_id UNION ALL SELECT slug, survivor FROM merges JOIN publishers ON id = loser""",
+)
+def publisher_merge_redirects(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    old = c.publishers.where("id % 3 = 0").select(F.concat(F.lit("old-"), "slug").alias("from_slug"), F.col("id").alias("target_id"))
+    return merging.slug_redirects(old, _publisher_merges(c), c.publishers)

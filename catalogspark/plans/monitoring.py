@@ -103,6 +103,61 @@ def launch_gates(spark, sf_dir):
     return out
 
 
+_SOURCES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register(
+    "launch_checklist",
+    sql("series", "releases", "runs") + f""", config AS (SELECT false AS bootstrap, true AS swept, 'attested' AS attested),
+    firsts AS (SELECT source_key % 5 AS stage, min(id) FILTER (status = 'succeeded') AS first_id FROM runs GROUP BY source_key, stage),
+    stages AS (SELECT stage, bool_and(first_id IS NOT NULL) AS complete, max(first_id) AS done_at FROM firsts GROUP BY stage),
+    ordered AS (SELECT complete, coalesce(lag(done_at) OVER (ORDER BY stage) <= done_at, true) AS ok FROM stages),
+    checks AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'random' ELSE 'prominent' END AS kind, doc_id % 3 + 1 AS round, CASE WHEN quality = 1 THEN 'verified' WHEN toxic = 1 THEN 'failed' ELSE 'pending' END AS status FROM labels),
+    samples AS (SELECT kind, bool_and(status = 'verified') AS ok FROM checks c WHERE round = (SELECT max(round) FROM checks d WHERE d.kind = c.kind) GROUP BY kind),
+    sources AS (SELECT k AS key, count(event_id) > 0 AS registered, coalesce(bool_or(user_id % 20 <> 0), false) AS ever, coalesce(arg_max(user_id % 20 <> 0, event_id), false) AS healthy
+      FROM (SELECT unnest({_SOURCES}) AS k) LEFT JOIN events ON event_type = k GROUP BY k),
+    gates AS (SELECT 'seed_stages_complete' AS gate, (SELECT coalesce(bool_and(complete AND ok), false) FROM ordered) AS pass
+      UNION ALL SELECT 'quality_gates_pass', (SELECT count(*) = 2 AND coalesce(bool_and(ok), false) FROM samples) AND (SELECT swept FROM config)
+        AND NOT EXISTS (SELECT 1 FROM series WHERE status = 'active' GROUP BY title HAVING count(*) > 1)
+      UNION ALL SELECT 'bootstrap_off', (SELECT NOT bootstrap FROM config)
+      UNION ALL SELECT 'calendar_populated', EXISTS (SELECT 1 FROM releases WHERE status = 'active' AND sort >= 20010615)
+      UNION ALL SELECT 'sources_healthy', (SELECT bool_and(registered AND ever AND healthy) FROM sources)
+      UNION ALL SELECT 'correction_loop_exercised', (SELECT attested IS NOT NULL FROM config)
+      UNION ALL SELECT 'about_data_page', true)
+    SELECT * FROM gates UNION ALL SELECT 'ready', bool_and(pass) FROM gates""",
+)
+def launch_checklist(spark, sf_dir):
+    """Every launch gate and whether all pass. Settings are a row of their own; a source is healthy if its latest run succeeded."""
+    c = Catalog(spark, sf_dir)
+    config = spark.range(1).select(F.lit(False).alias("bootstrap"), F.lit(True).alias("swept"), F.lit("attested").alias("loop"))
+    stages = seed_stage_order(spark, sf_dir)
+    d, doc = c.raw("labels"), F.col("doc_id")
+    status = F.when(F.col("quality") == 1, "verified").when(F.col("toxic") == 1, "failed").otherwise("pending")
+    checks = d.select(F.when(doc % 2 == 0, "random").otherwise("prominent").alias("kind"), (doc % 3 + 1).alias("round"), status.alias("status"))
+    rounds = checks.groupBy("kind", "round").agg(F.bool_and(F.col("status") == "verified").alias("ok"))
+    samples = rounds.groupBy("kind").agg(F.max_by("ok", "round").alias("ok")).agg(((F.count(F.lit(1)) == 2) & F.coalesce(F.bool_and("ok"), F.lit(False))).alias("ok"))
+    twins = c.series.where("status = 'active'").groupBy("title").count().agg(F.coalesce(~F.bool_or(F.col("count") > 1), F.lit(True)).alias("ok"))
+    good = F.col("user_id") % 20 != 0
+    own = c.raw("events").groupBy(F.col("event_type").alias("key")).agg(F.bool_or(good).alias("ever"), F.max_by(good, "event_id").alias("healthy"))
+    known = spark.createDataFrame([(k,) for k in _SOURCES], "key string").join(own, "key", "left")
+    parts = [
+        stages.agg(F.coalesce(F.bool_and(F.col("complete") & F.col("ordered")), F.lit(False)).alias("pass")).select(F.lit("seed_stages_complete").alias("gate"), "pass"),
+        *[x.select(F.lit("quality_gates_pass").alias("gate"), F.col("ok").alias("pass")) for x in (samples, twins, config.select(F.col("swept").alias("ok")))],
+        config.select(F.lit("bootstrap_off").alias("gate"), (~F.col("bootstrap")).alias("pass")),
+        config.select(F.lit("about_data_page").alias("gate"), F.lit(True).alias("pass")),
+        c.releases.agg(F.coalesce(F.bool_or((F.col("status") == "active") & (F.col("sort") >= 20010615)), F.lit(False)).alias("pass")).select(F.lit("calendar_populated").alias("gate"), "pass"),
+        known.agg(F.bool_and(F.coalesce(F.col("ever") & F.col("healthy"), F.lit(False))).alias("pass")).select(F.lit("sources_healthy").alias("gate"), "pass"),
+        config.select(F.lit("correction_loop_exercised").alias("gate"), F.col("loop").isNotNull().alias("pass")),
+    ]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    gates = rows.groupBy("gate").agg(F.bool_and("pass").alias("pass"))
+    # eight rows: the gates and their sum
+    both = F.array(F.struct("gate", "pass"), F.struct(F.lit("ready").alias("gate"), "pass"))
+    return gates.select(F.inline(both)).groupBy("gate").agg(F.bool_and("pass").alias("pass"))
+
+
 @register("backlog_counts", sql("series") + """SELECT status, least(count(*), 100) AS n, count(*) > 100 AS has_more, min(id) AS first_id FROM series GROUP BY status""")
 def backlog_counts(spark, sf_dir):
     """Counts shown up to 100, with a flag for more: the cap is the report's, not the scan's."""
