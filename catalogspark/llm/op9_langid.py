@@ -25,8 +25,6 @@ from .common import LETTER, fold_latin, groups, table, text_buffers
 NAME = "op9_langid"
 DIMS = 1 << 13
 PER_LANGUAGE = 500
-#: In the pipeline, documents with less than this score are rejected, and those that are ``und``.
-MIN_SCORE = 0.2
 #: Families of languages by ISO 639-1 code. A language not listed is its own family.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"],
@@ -218,8 +216,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """Rows of ``docs``, unchanged, whose language is predicted with ``min_score`` at least."""
+def keep_known(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text", min_score: float = 0.0) -> DataFrame:
+    """Rows of ``docs``, unchanged, whose language is predicted with ``min_score`` at least; ``und`` is rejected whatever its score.
+
+    The score of a language that wins its duels is 0.25 at least, so only a higher ``min_score`` rejects more than ``und``.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     score = _predictor(shared, [])

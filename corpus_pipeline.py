@@ -1,6 +1,6 @@
 """A corpus run: each stage is written as Parquet and read again as the next one's documents.
 
-Language ID and toxicity drop what they reject, the Jaccard join keeps the row of least id of each group of near copies
+Language ID drops texts of no language (null or without a letter), toxicity what it finds toxic, the Jaccard join keeps the row of least id of each group of near copies
 (of rows equal in id and text one), and packing returns a row for each piece of a document. Models are
 fitted on each stage's own input. An empty table gives an empty result.
 """
