@@ -100,7 +100,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
     kind = dict(docs.select(id_column).dtypes)[id_column]
     text = F.coalesce(F.col(text_column), F.lit(""))
-    same = F.xxhash64(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
+    same = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
     count = F.regexp_count(text, F.lit(_WORDS)).cast("bigint")
     rows = docs.select(
         F.col(id_column).alias("key"),

@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from catalogspark.llm import op3_toxicity, op4_embedding, op6_license
+from catalogspark.llm import op3_toxicity, op4_embedding, op5_packing, op6_license
 
 from .conftest import prose
 
@@ -105,3 +105,9 @@ def test_lines_at_once_are_as_one_by_one():
         alone = [(a, f, round(p, 9), m) for a, f, p, m in got]
         assert [x for x in alone if x in want] == want or "rem" in (t or "")
     assert [f for _, f, _, m in together[1] if m >= op6_license.CONFIRM] == ["proprietary"]
+
+
+def test_blanks_at_the_ends_make_no_other_cluster(spark):
+    docs = spark.createDataFrame([(1, "One two"), (2, "  one\ttwo\n"), (3, "one two three")], "doc_id bigint, text string")
+    bins = {r["doc_id"]: r["bin_id"] for r in op5_packing.pack(docs, source_column=None, shard_tokens=100).collect()}
+    assert bins[1] != bins[2] and bins[3] in (bins[1], bins[2])
