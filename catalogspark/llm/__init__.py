@@ -3,7 +3,7 @@
 from importlib import import_module
 from importlib.util import find_spec
 
-_NAMES = ("op1_bpe", "op2_jaccard", "op3_toxicity", "op4_embedding", "op5_packing", "op6_license", "op7_quality", "op8_url", "op9_langid", "op10_lm")
+_NAMES = ("op1_bpe", "op2_jaccard", "op3_toxicity", "op4_embedding", "op5_packing", "op6_license", "op7_quality", "op8_url", "op9_langid", "op10_lm", "op11_whitening", "op12_codes", "op13_fim")
 
 
 def modules():
