@@ -20,8 +20,9 @@ def normalize_title(c) -> Column:
 
 
 def similarity_tokens(c) -> Column:
-    """Distinct ASCII words of more than one character."""
-    words = F.split(F.regexp_replace(F.lower(_col(c)), r"[^a-z0-9 ]+", " "), r"\s+")
+    """Distinct ASCII words of more than one character outside parentheses."""
+    bare = F.regexp_replace(F.lower(_col(c)), r"\(.*?\)", " ")
+    words = F.split(F.regexp_replace(bare, r"[^a-z0-9 ]+", " "), r"\s+")
     return F.array_distinct(F.filter(words, lambda x: F.length(x) > 1))
 
 
@@ -44,11 +45,15 @@ def token_key(c) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
+#: Fixed value: a range of labels.
+LABEL_RANGE = r"^([0-9]+)[\s\h]*[-–][\s\h]*([0-9]+)\z"
+
+
 def covered_labels(c) -> Column:
-    """Labels of a range "a-b" of whole numbers less than 20 apart, upwards; else the label itself; null: none."""
+    """Labels of a range "a-b" of whole numbers less than 20 apart, upwards, with or without blanks round the dash; else the label itself; null: none."""
     t = _col(c)
-    lo = F.regexp_extract(t, r"^(\d+)[–-](\d+)$", 1).try_cast("int")
-    hi = F.regexp_extract(t, r"^(\d+)[–-](\d+)$", 2).try_cast("int")
+    lo = F.regexp_extract(t, LABEL_RANGE, 1).try_cast("bigint")
+    hi = F.regexp_extract(t, LABEL_RANGE, 2).try_cast("bigint")
     wide = lo.isNotNull() & (hi > lo) & (hi - lo < 20)
     spread = F.transform(F.sequence(F.when(wide, lo).otherwise(0), F.when(wide, hi).otherwise(0)), lambda x: x.cast("string"))
     return F.when(t.isNull(), F.array().cast("array<string>")).when(wide, spread).otherwise(F.array(t))

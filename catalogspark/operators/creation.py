@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.functions import titles
-from catalogspark.operators import reconcile
+from catalogspark.operators import reconcile, tables
 
 
 def missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,13 +17,14 @@ def missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def allocate(rows: DataFrame, order: str, last: int) -> DataFrame:
     """``rows`` with consecutive ids from ``last + 1`` on, in order of a unique column.
 
-    Ranges of the column are counted first, so that no task sorts or numbers all rows.
+    Ranges of the column are counted first, so that no task sorts or numbers all rows. The rows are stored with the number of
+    their range: the count and the numbering then read the same ranges, whatever Spark does with either plan.
     """
-    cut = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(order)
-    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a task
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return cut.join(F.broadcast(before), "part").withColumn("new_id", F.row_number().over(w) + F.col("before") + last).drop("part", "before")
+    cut = tables.stored(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_part").orderBy(order)
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a task
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return cut.join(before, "_part", "left").withColumn("new_id", F.row_number().over(w) + F.col("_before") + last).drop("_part", "_before")
 
 
 def append_positions(new: DataFrame, existing: DataFrame, group: str, order: str) -> DataFrame:

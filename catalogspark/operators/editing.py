@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values: (state, action, next state).
+#: Fixed values: (state, action, next state). A claim is a mark on a proposal in review and no state.
 EDGES = [
-    ("draft", "submit", "submitted"), ("submitted", "claim", "inReview"), ("inReview", "unclaim", "submitted"), ("submitted", "withdraw", "withdrawn"), ("inReview", "withdraw", "withdrawn"),
-    ("inReview", "requestChanges", "changesRequested"), ("changesRequested", "submit", "submitted"), ("inReview", "approve", "approved"), ("inReview", "reject", "rejected"),
+    ("draft", "submit", "inReview"), ("draft", "withdraw", "withdrawn"), ("draft", "rebase", "draft"),
+    ("inReview", "claim", "inReview"), ("inReview", "unclaim", "inReview"), ("inReview", "withdraw", "withdrawn"), ("inReview", "rebase", "draft"),
+    ("inReview", "requestChanges", "draft"), ("inReview", "approve", "approved"), ("inReview", "reject", "rejected"),
 ]
 
 
@@ -40,10 +41,15 @@ def overrides(edits: DataFrame) -> DataFrame:
 
 
 def advance(items: DataFrame, commands: DataFrame) -> DataFrame:
-    """``items (id, state)`` after ``commands (id, action)``, one at most for each; what no edge allows is refused."""
+    """``items (id, state, claimed_by)`` after ``commands (id, action, user_id)``, one at most for each; what no edge allows is refused.
+
+    A claim puts its user's mark in place of any other, and every other action that is allowed takes the mark away.
+    """
     edges = items.sparkSession.createDataFrame(EDGES, "state string, action string, next string")
-    rows = items.join(commands, "id", "left").join(F.broadcast(edges), ["state", "action"], "left")  # a fixed table of nine rows
-    return rows.select("id", F.coalesce("next", "state").alias("state"), (F.col("action").isNotNull() & F.col("next").isNull()).alias("refused"))
+    rows = items.join(commands, "id", "left").join(F.broadcast(edges), ["state", "action"], "left")  # a fixed table of ten rows
+    done = F.col("next").isNotNull()
+    claimed = F.when(done & (F.col("action") == "claim"), F.col("user_id")).when(~done, F.col("claimed_by"))
+    return rows.select("id", F.coalesce("next", "state").alias("state"), claimed.alias("claimed_by"), (F.col("action").isNotNull() & ~done).alias("refused"))
 
 
 def bad_references(ops: DataFrame) -> DataFrame:

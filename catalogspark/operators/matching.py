@@ -14,42 +14,56 @@ def title_keys(series: DataFrame) -> DataFrame:
     return series.select("id", texts.alias("key")).where("key <> ''")
 
 
+def first_of_code(releases: DataFrame, titles_of: DataFrame) -> DataFrame:
+    """(code, release_id, titles): for each code its first release by id, where that one is active.
+
+    ``releases (release_id, code, status)``, ``titles_of (release_id, titles)``. A first release that isn't active gives its code to none.
+    """
+    first = releases.where("code IS NOT NULL").groupBy("code").agg(F.min(F.struct("release_id", "status")).alias("first"))
+    return first.where("first.status = 'active'").select("code", "first.release_id").join(titles_of, "release_id")
+
+
 def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame) -> DataFrame:
     """(fact_id, rung, outcome, release_id) of every fact.
 
-    ``facts (fact_id, code, title, key, label_key, publisher_id, format, multi)``; ``by_code (code, release_id,
-    titles)``, one active release for each code with its series' titles; ``catalog (release_id, key, label_key,
+    ``facts (fact_id, code, title, key, label_key, publisher_id, format, multi)``; ``by_code`` of ``first_of_code``; ``catalog (release_id, key, label_key,
     publisher_id, format, single, blocked)``, one row for each release under a key and label. The first rung
     that decides wins: equal code (2: match, or review where no title of the release is similar); several volumes
     (create); one release of the same publisher, single volume and format (3: match, or review where blocked);
     several (3: review); any other but such that differ in format alone (4: review); none (5: create).
 
-    The catalog is counted by key first, so a popular title costs a fact no more than a rare one.
+    The catalog is counted by key first, so a popular title costs a fact no more than a rare one: once by key, label,
+    publisher and format, and the other counts are sums of these.
     """
     hits = facts.where("code IS NOT NULL").select("fact_id", "code", "title").join(by_code, "code")
     hits = hits.select("fact_id", F.struct("release_id", F.exists("titles", lambda t: titles.titles_similar(t, F.col("title"))).alias("same")).alias("hit"))
-    at = ["key", "label_key"]
     # a null label meets a null label
     side = lambda df: df.withColumn("none", F.col("label_key").isNull()).withColumn("label_key", F.coalesce("label_key", F.lit("")))
-    catalog, at = side(catalog), [*at, "none"]
-    whole = catalog.groupBy(*at).agg(F.count(F.lit(1)).alias("n_all"))
-    same = catalog.where("single").groupBy(*at, "publisher_id").agg(F.count(F.lit(1)).alias("n_same"))
-    strict = catalog.where("single").groupBy(*at, "publisher_id", "format").agg(F.count(F.lit(1)).alias("n_strict"), F.min(F.struct("release_id", "blocked")).alias("one"))
+    at = ["key", "label_key", "none"]
+    single = F.col("single")
+    finest = side(catalog).groupBy(*at, "publisher_id", "format").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(single).alias("n_single"), F.min(F.when(single, F.struct("release_id", "blocked"))).alias("one"),
+    )
+    # a row for each publisher under a key; its formats are two
+    own = finest.groupBy(*at, "publisher_id").agg(
+        F.sum("n").alias("n"), F.sum("n_single").alias("n_same"), F.map_from_entries(F.collect_list(F.when(F.col("n_single") > 0, F.struct("format", F.struct("n_single", "one"))))).alias("formats"),
+    )
+    whole = own.groupBy(*at).agg(F.sum("n").alias("n_all"))
     told = side(facts.select("fact_id", "key", "label_key", "publisher_id", "format", "multi"))
-    told = told.join(whole, at, "left").join(same, [*at, "publisher_id"], "left").join(strict, [*at, "publisher_id", "format"], "left").join(hits, "fact_id", "left")
+    told = told.join(whole, at, "left").join(own.drop("n"), [*at, "publisher_id"], "left").join(hits, "fact_id", "left").withColumn("strict", F.try_element_at("formats", F.col("format")))
     zero = F.lit(0)
-    strict_n, loose_n = F.coalesce("n_strict", zero), F.coalesce("n_all", zero) - F.coalesce("n_same", zero)
+    strict_n, loose_n = F.coalesce("strict.n_single", zero), F.coalesce("n_all", zero) - F.coalesce("n_same", zero)
     code = F.col("hit").isNotNull()
     rung = F.when(code, 2).when(F.col("multi"), 5).when(strict_n > 0, 3).when(loose_n > 0, 4).otherwise(5)
     outcome = (
         F.when(code & F.col("hit.same"), "match")
         .when(code, "review")
         .when(F.col("multi"), "create")
-        .when((strict_n == 1) & ~F.col("one.blocked"), "match")
+        .when((strict_n == 1) & ~F.col("strict.one.blocked"), "match")
         .when((strict_n > 0) | (loose_n > 0), "review")
         .otherwise("create")
     )
-    target = F.when(code, F.col("hit.release_id")).when(~F.col("multi") & (strict_n == 1), F.col("one.release_id"))
+    target = F.when(code, F.col("hit.release_id")).when(~F.col("multi") & (strict_n == 1), F.col("strict.one.release_id"))
     return told.select("fact_id", rung.alias("rung"), outcome.alias("outcome"), target.alias("release_id"))
 
 
@@ -93,14 +107,15 @@ def sibling_editions(wanted: DataFrame, editions: DataFrame, coverage: DataFrame
 
 
 def prefix_matches(names: DataFrame, publishers: DataFrame) -> DataFrame:
-    """(name, publisher_id): the publisher whose normalised name starts with the other or the reverse, if only one does.
+    """(name, publisher_id): the active publisher whose normalised name equals the given one or starts with it at a word's end, or the reverse, if only one does.
 
     Both sides are cut to word prefixes, so that this is an equi-join and no pair is compared in vain.
     """
     key = titles.normalize_title("name")
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.left(c, n))
-    a = names.select("name", key.alias("k")).where("k <> ''")
-    b = publishers.select(F.col("id").alias("publisher_id"), key.alias("k")).where("k <> ''")
-    down = a.select("name", F.explode(prefixes(F.col("k"))).alias("k")).join(b, "k").select("name", "publisher_id")
-    up = b.select("publisher_id", F.explode(prefixes(F.col("k"))).alias("k")).join(a, "k").select("name", "publisher_id")
+    words = F.split("k", " ")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("k")
+    a = names.select("name", key.alias("k")).where("k <> ''").distinct()
+    b = publishers.where("status = 'active'").select(F.col("id").alias("publisher_id"), key.alias("k")).where("k <> ''")
+    down = a.select("name", prefixes).join(b, "k").select("name", "publisher_id")
+    up = b.select("publisher_id", prefixes).join(a, "k").select("name", "publisher_id")
     return down.union(up).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("publisher_id").alias("publisher_id")).where("n = 1").select("name", "publisher_id")

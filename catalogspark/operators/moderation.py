@@ -97,8 +97,8 @@ def draft_checks(ops: DataFrame) -> DataFrame:
 
 
 def review_queue(proposals: DataFrame, versions: DataFrame, ops: DataFrame, record_type: str | None = None, kind: str | None = None) -> DataFrame:
-    """Open proposals with their current version and its facets, sorted and distinct; the filters keep proposals that hold the type or kind."""
-    current = proposals.where("state IN ('submitted', 'inReview')").join(versions.withColumnRenamed("version_no", "current_no"), ["proposal_id", "current_no"])
+    """Proposals in review with their current version and its facets, sorted and distinct; the filters keep proposals that hold the type or kind."""
+    current = proposals.where("state = 'inReview'").join(versions.withColumnRenamed("version_no", "current_no"), ["proposal_id", "current_no"])
     facets = ops.groupBy("proposal_id", "version_no").agg(F.array_sort(F.collect_set("type")).alias("types"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     rows = current.join(facets.withColumnRenamed("version_no", "current_no"), ["proposal_id", "current_no"], "left")
     for name, want in (("types", record_type), ("kinds", kind)):

@@ -1,35 +1,12 @@
-"""Users' rows: what they own and how, read counts, roles, and removal."""
+"""Users' rows: what they own and how, read counts, and removal."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.operators.tracking import derived_ownership
 
-#: Fixed values: (who, whom they may appoint or remove).
-GOVERNS = {"administrator": ["administrator", "moderator", "editor"], "moderator": ["editor"]}
-
-
-def can_govern(actor, target) -> Column:
-    out = F.lit(False)
-    for who, whom in GOVERNS.items():
-        out = out | ((F.col(actor) == who) & F.col(target).isin(*whom))
-    return F.coalesce(out, F.lit(False))
-
-
-def govern(commands: DataFrame, users: DataFrame, administrators: int) -> DataFrame:
-    """``commands (user_id, actor_role, role)`` against ``users (user_id, role)``: the new role and a problem, one command a user.
-
-    A null role revokes. noChange, forbidden (the actor may govern neither the old nor the new role) and lastAdministrator
-    refuse; ``administrators`` is how many active ones there are.
-    """
-    rows = commands.join(users.select("user_id", F.col("role").alias("now")), "user_id")
-    allowed = (F.col("role").isNull() | can_govern("actor_role", "role")) & (F.col("now").isNull() | can_govern("actor_role", "now"))
-    last = (F.col("now") == "administrator") & F.lit(administrators <= 1)
-    problem = F.when(F.col("now").eqNullSafe(F.col("role")), "noChange").when(~allowed, "forbidden").when(last, "lastAdministrator")
-    return rows.withColumn("problem", problem).select("user_id", F.when(F.col("problem").isNull(), F.col("role")).otherwise(F.col("now")).alias("role"), "problem")
-
 
 def set_read_counts(progress: DataFrame, changes: DataFrame, now: int) -> DataFrame:
     """``progress (user_id, volume_id, reads, stamp)`` after ``changes (user_id, volume_id, reads)``, one at most for each: zero removes, only an increase is stamped, a count below zero changes nothing."""

@@ -56,20 +56,22 @@ def human_overrides(spark, sf_dir):
     return editing.overrides(e.select(F.col("user_id").alias("record_id"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 3 == 0, "user").otherwise("import").alias("author"), F.col("event_id").alias("seq")))
 
 
-_EDGES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in editing.EDGES)
-_STATES, _ACTIONS = ["draft", "submitted", "inReview", "changesRequested"], ["submit", "claim", "withdraw", "approve", "reject", "unclaim"]
+_STATES, _ACTIONS = ["draft", "inReview", "withdrawn", "rejected", "approved"], ["submit", "claim", "withdraw", "approve", "reject", "unclaim", "requestChanges", "rebase"]
 
 
 @register(
     "proposal_transitions",
-    f"""WITH edges(state, action, next) AS (VALUES {_EDGES}),
-    items AS (SELECT o_orderkey AS id, ({_STATES})[CAST(o_orderkey % 4 AS INTEGER) + 1] AS state, CASE WHEN o_orderkey % 10 <> 0 THEN ({_ACTIONS})[CAST(o_orderkey % 6 AS INTEGER) + 1] END AS action FROM orders)
-    SELECT id, coalesce(next, i.state) AS state, i.action IS NOT NULL AND next IS NULL AS refused FROM items i LEFT JOIN edges e ON e.state = i.state AND e.action = i.action""",
+    f"""WITH items AS (SELECT o_orderkey AS id, ({_STATES})[CAST(o_orderkey % 5 AS INTEGER) + 1] AS state, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS claimed_by,
+      CASE WHEN o_orderkey % 11 <> 0 THEN ({_ACTIONS})[CAST(o_orderkey % 8 AS INTEGER) + 1] END AS action FROM orders),
+    told AS (SELECT *, CASE WHEN state = 'draft' AND action = 'submit' THEN 'inReview' WHEN state IN ('draft', 'inReview') AND action = 'withdraw' THEN 'withdrawn' WHEN state IN ('draft', 'inReview') AND action = 'rebase' THEN 'draft'
+      WHEN state <> 'inReview' THEN NULL WHEN action IN ('claim', 'unclaim') THEN 'inReview' WHEN action = 'requestChanges' THEN 'draft' WHEN action = 'approve' THEN 'approved' WHEN action = 'reject' THEN 'rejected' END AS next FROM items)
+    SELECT id, coalesce(next, state) AS state, CASE WHEN next IS NULL THEN claimed_by WHEN action = 'claim' THEN id % 9 END AS claimed_by, action IS NOT NULL AND next IS NULL AS refused FROM told""",
 )
 def proposal_transitions(spark, sf_dir):
-    o = Catalog(spark, sf_dir).raw("orders").select(F.col("o_orderkey").alias("id"))
-    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % n + 1).cast("int"))
-    return editing.advance(o.withColumn("state", pick(_STATES, 4)), o.where("id % 10 <> 0").withColumn("action", pick(_ACTIONS, 6)))
+    k = F.col("id")
+    o = Catalog(spark, sf_dir).raw("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("claimed_by"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    return editing.advance(o.withColumn("state", pick(_STATES)), o.where("id % 11 <> 0").select("id", pick(_ACTIONS).alias("action"), (k % 9).alias("user_id")))
 
 
 @register(
@@ -81,9 +83,3 @@ def proposal_transitions(spark, sf_dir):
 def plan_bad_references(spark, sf_dir):
     ops = Catalog(spark, sf_dir).raw("lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 8).alias("temp_id"), F.when(F.col("l_linenumber") > 1, F.col("l_suppkey") % 8).alias("ref"))
     return editing.bad_references(ops)
-
-
-@register("roster_and_audit", "SELECT event_type AS role, count(DISTINCT user_id) AS users, max(event_id) AS last_event FROM events GROUP BY event_type")
-def roster_and_audit(spark, sf_dir):
-    e = Catalog(spark, sf_dir).raw("events")
-    return e.groupBy(F.col("event_type").alias("role")).agg(F.count_distinct("user_id").alias("users"), F.max("event_id").alias("last_event"))

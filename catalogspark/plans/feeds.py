@@ -185,10 +185,14 @@ def listing_needs_detail(spark, sf_dir):
     return wire.needs_detail(c.raw("customer").select(F.col("c_custkey").alias("record_id"), F.lit("click").alias("modified"), (F.col("c_custkey") % 50 == 0).alias("forced")), stored)
 
 
-_STRIP = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'), E' \\t\\n\\r')"
+_BARE = "regexp_replace(html || ' &#233;&#x4e2d; &#X41;&#38;lt; &#66', '<[^>]*>', ' ', 'g')"
+_NUMERIC = f"""array_to_string(list_transform(regexp_extract_all({_BARE}, '&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&|[^&]+'),
+  lambda x: CASE WHEN regexp_full_match(x, '&#[0-9]+;') THEN chr(CAST(x[3:-2] AS INTEGER)) WHEN x LIKE '&#%;' THEN chr(CAST('0x' || x[4:-2] AS INTEGER)) ELSE x END), '')"""
+_STRIP = f"trim(regexp_replace(replace(replace(replace(replace(replace(replace({_NUMERIC}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'), E' \\t\\n\\r')"
 
 
-@register("page_plain_text", f"SELECT page_id, md5({_STRIP}) AS plain FROM pages WHERE html NOT LIKE '%&#%'")
+@register("page_plain_text", f"SELECT page_id, md5({_STRIP}) AS plain FROM pages")
 def page_plain_text(spark, sf_dir):
-    """Text of pages; pages with numeric references are tested beside it, as SQL can't decode them."""
-    return Catalog(spark, sf_dir).raw("pages").where("NOT contains(html, '&#')").select("page_id", F.md5(markup.strip_html("html")).alias("plain"))
+    """Text of all pages, each with numeric references behind it."""
+    html = F.concat("html", F.lit(" &#233;&#x4e2d; &#X41;&#38;lt; &#66"))
+    return Catalog(spark, sf_dir).raw("pages").select("page_id", F.md5(markup.strip_html(html)).alias("plain"))

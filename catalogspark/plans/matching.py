@@ -24,17 +24,21 @@ def document_title_keys(spark, sf_dir):
     return Catalog(spark, sf_dir).raw("documents").select("doc_id", F.md5(titles.normalize_title("text")).alias("key"))
 
 
-_TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+'), lambda x: length(x) > 1))"
+_TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({}), '\\(.*?\\)', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+'), lambda x: length(x) > 1))"
 
 
 @register(
     "titles_similar_pairs",
-    f"""WITH t AS (SELECT doc_id, {_TOK.format("text")} AS words FROM documents),
-    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.words AS x, b.words AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
+    f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, 60) || ' (' || right(text, 60) || ')' ELSE '(' || left(text, 40) || ') ' || substr(text, 20, 60) END AS title FROM documents),
+    w AS (SELECT doc_id, {_TOK.format("title")} AS words FROM t),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.words AS x, b.words AS y FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
     SELECT a, b, least(len(x), len(y)) = 0 OR len(list_intersect(x, y)) >= least(len(x), len(y)) * 0.5 AS similar FROM pairs""",
 )
 def titles_similar_pairs(spark, sf_dir):
-    t = Catalog(spark, sf_dir).raw("documents").select("doc_id", F.col("text").alias("title"))
+    text, k = F.col("text"), F.col("doc_id") % 3
+    short = F.concat(F.left(text, F.lit(60)), F.lit(" ("), F.right(text, F.lit(60)), F.lit(")"))
+    title = F.when(k == 0, text).when(k == 1, short).otherwise(F.concat(F.lit("("), F.left(text, F.lit(40)), F.lit(") "), F.substring(text, 20, 60)))
+    t = Catalog(spark, sf_dir).raw("documents").select("doc_id", title.alias("title"))
     b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("other"))
     return t.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), titles.titles_similar("title", "other").alias("similar"))
 
@@ -85,8 +89,9 @@ _SIMILAR = f"(least(len({_TOK.format('s.title')}), len({_TOK.format('f.title')})
         CASE WHEN l_linenumber % 2 = 0 THEN s.alt_title ELSE s.title END AS title, CAST(l_linenumber AS VARCHAR) AS label, min(l_suppkey) AS publisher_id,
         CASE WHEN l_orderkey % 2 = 0 THEN 'digital' ELSE 'physical' END AS format, l_orderkey % 7 = 0 AS multi
       FROM lineitem JOIN series s ON s.id = l_partkey GROUP BY ALL)),
+  coded AS (SELECT id, status, {_CODE.format('CASE WHEN id % 8 = 5 THEN id - 1 ELSE id END')} AS code FROM releases),
   code_hit AS (SELECT f.fact_id, r.id AS release_id, bool_or({_SIMILAR}) AS same
-    FROM facts f JOIN releases r ON f.code = {_CODE.format('r.id')} AND r.status = 'active' JOIN release_series rs ON rs.release_id = r.id JOIN series s ON s.id = rs.series_id GROUP BY ALL),
+    FROM facts f JOIN (SELECT code, min(id) AS id, arg_min(status, id) AS status FROM coded GROUP BY code) r ON f.code = r.code AND r.status = 'active' JOIN release_series rs ON rs.release_id = r.id JOIN series s ON s.id = rs.series_id GROUP BY ALL),
   titled AS (SELECT id, {NORM.format('title')} AS key FROM series WHERE status = 'active' UNION SELECT id, {NORM.format('alt_title')} FROM series WHERE status = 'active'),
   sizes AS (SELECT release_id, count(*) AS n FROM coverage GROUP BY 1),
   walked AS (SELECT DISTINCT f.fact_id, r.id AS release_id, r.id % 23 = 0 OR r.id % 29 = 0 AS blocked,
@@ -100,24 +105,28 @@ _SIMILAR = f"(least(len({_TOK.format('s.title')}), len({_TOK.format('f.title')})
   FROM facts f LEFT JOIN code_hit h ON h.fact_id = f.fact_id LEFT JOIN counts n ON n.fact_id = f.fact_id""",
 )
 def match_ladder(spark, sf_dir):
-    """Every line item as a fact; a release is its own edition here."""
+    """Every line item as a fact; a release is its own edition here, and some releases share their code with the one before."""
     c = Catalog(spark, sf_dir)
     code = lambda x: F.concat(F.lit("978"), F.lpad(x.cast("string"), 10, "0"))
     key = F.col("l_orderkey")
     lines = c.raw("lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
-    facts = lines.join(c.series, F.col("id") == F.col("l_partkey")).select(
+    series = c.series.select("*", titles.normalize_title("title").alias("title_key"), titles.normalize_title("alt_title").alias("alt_key"))
+    alternative = F.col("l_linenumber") % 2 == 0
+    facts = lines.join(series, F.col("id") == F.col("l_partkey")).select(
         (key * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
         F.when(key % 5 == 0, code(key)).when(key % 5 == 1, code(key - 1)).alias("code"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.col("alt_title")).otherwise(F.col("title")).alias("title"),
+        F.when(alternative, F.col("alt_title")).otherwise(F.col("title")).alias("title"),
+        F.when(alternative, F.col("alt_key")).otherwise(F.col("title_key")).alias("key"),
         titles.label_key(F.col("l_linenumber").cast("string")).alias("label_key"),
         "publisher_id",
         F.when(key % 2 == 0, "digital").otherwise("physical").alias("format"),
         (key % 7 == 0).alias("multi"),
     )
-    facts = facts.withColumn("key", titles.normalize_title("title"))
-    live = c.releases.where("status = 'active'").select(F.col("id").alias("release_id"), "publisher_id", "format")
+    releases = c.releases
+    live = releases.where("status = 'active'").select(F.col("id").alias("release_id"), "publisher_id", "format")
     named = c.release_series.join(c.series.select(F.col("id").alias("series_id"), "title"), "series_id").groupBy("release_id").agg(F.collect_set("title").alias("titles"))
-    by_code = live.select("release_id", code(F.col("release_id")).alias("code")).join(named, "release_id")
+    own = F.col("id") - F.when(F.col("id") % 8 == 5, 1).otherwise(0)
+    by_code = matching.first_of_code(releases.select(F.col("id").alias("release_id"), code(own).alias("code"), "status"), named)
     keys = matching.title_keys(c.series.where("status = 'active'")).withColumnRenamed("id", "series_id")
     size = c.coverage.groupBy("release_id").agg((F.count(F.lit(1)) == 1).alias("single"))
     catalog = c.coverage.select("release_id", "series_id", titles.label_key(F.col("position").cast("string")).alias("label_key")).join(keys, "series_id").drop("series_id").distinct()
@@ -146,23 +155,29 @@ def sibling_editions(spark, sf_dir):
 
 @register(
     "publisher_prefix_match",
-    sql("publishers") + f""", names AS (SELECT name FROM (SELECT name || ' books' AS name FROM publishers UNION ALL SELECT left(name, length(name) - 2) FROM publishers UNION ALL SELECT 'nobody')),
-    pairs AS (SELECT DISTINCT n.name, p.id FROM names n JOIN publishers p ON starts_with({NORM.format('n.name')}, {NORM.format('p.name')}) OR starts_with({NORM.format('p.name')}, {NORM.format('n.name')}))
+    sql("publishers") + f""", names AS (SELECT unnest([name || ' books', left(name, length(name) - 2), name, left(name, 8), upper(name)]) AS name FROM publishers UNION SELECT 'nobody'),
+    pairs AS (SELECT DISTINCT n.name, p.id FROM names n JOIN publishers p ON p.status = 'active'
+      AND ({NORM.format('n.name')} = {NORM.format('p.name')} OR starts_with({NORM.format('n.name')}, {NORM.format('p.name')} || ' ') OR starts_with({NORM.format('p.name')}, {NORM.format('n.name')} || ' ')))
     SELECT name, min(id) AS publisher_id FROM pairs GROUP BY name HAVING count(*) = 1""",
 )
 def publisher_prefix_match(spark, sf_dir):
-    p = Catalog(spark, sf_dir).publishers
-    names = p.select(F.concat("name", F.lit(" books")).alias("name")).union(p.select(F.left("name", F.length("name") - 2))).union(spark.createDataFrame([("nobody",)], "name string"))
+    """Names with a word more, cut within a word, in full, of the first word alone (which all share), and of hidden publishers too."""
+    p, name = Catalog(spark, sf_dir).publishers, F.col("name")
+    given = F.array(F.concat(name, F.lit(" books")), F.left(name, F.length(name) - 2), name, F.left(name, F.lit(8)), F.upper(name))
+    names = p.select(F.explode(given).alias("name")).union(spark.createDataFrame([("nobody",)], "name string"))
     return matching.prefix_matches(names.distinct(), p)
 
 
 @register(
     "covered_labels",
-    """WITH l AS (SELECT DISTINCT p_size, CASE WHEN p_size % 3 = 0 THEN p_size || '-' || (p_size + p_size % 25) WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR) END AS label FROM part)
-    SELECT p_size AS id, label, CASE WHEN label IS NULL THEN '' WHEN p_size % 3 = 0 AND p_size % 25 BETWEEN 1 AND 19 THEN array_to_string(range(p_size, p_size + p_size % 25 + 1), ',') ELSE label END AS covered FROM l""",
+    """WITH l AS (SELECT DISTINCT p_size * 3 + p_partkey % 3 AS id, CASE p_partkey % 3 WHEN 1 THEN CAST(p_size AS VARCHAR)
+        WHEN 0 THEN p_size || ['-', ' - ', ' –', '–  ', '--'][p_size % 5 + 1] || (p_size + p_size % 25) END AS label FROM part),
+    r AS (SELECT *, TRY_CAST(regexp_extract(label, '^([0-9]+)\\s*[-–]\\s*([0-9]+)$', 1) AS BIGINT) AS lo, TRY_CAST(regexp_extract(label, '^([0-9]+)\\s*[-–]\\s*([0-9]+)$', 2) AS BIGINT) AS hi FROM l)
+    SELECT id, label, CASE WHEN label IS NULL THEN '' WHEN hi > lo AND hi - lo < 20 THEN array_to_string(range(lo, hi + 1), ',') ELSE label END AS covered FROM r""",
 )
 def covered_labels(spark, sf_dir):
-    n = F.col("p_size")
-    text = F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit("-"), (n + n % 25).cast("string"))).when(n % 3 == 1, n.cast("string"))
-    rows = Catalog(spark, sf_dir).raw("part").select(n.alias("id"), text.alias("label")).distinct()
+    n, kind = F.col("p_size"), F.col("p_partkey") % 3
+    dash = F.element_at(F.array(*map(F.lit, ["-", " - ", " –", "–  ", "--"])), n % 5 + 1)
+    text = F.when(kind == 1, n.cast("string")).when(kind == 0, F.concat(n.cast("string"), dash, (n + n % 25).cast("string")))
+    rows = Catalog(spark, sf_dir).raw("part").select((n * 3 + kind).alias("id"), text.alias("label")).distinct()
     return rows.select("id", "label", F.array_join(titles.covered_labels("label"), ",").alias("covered"))

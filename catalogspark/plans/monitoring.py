@@ -82,27 +82,6 @@ def qa_sample_draw(spark, sf_dir):
     return Catalog(spark, sf_dir).series.where("status = 'active'").select("id").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("-7"))), "id").limit(50)
 
 
-@register(
-    "launch_gates",
-    sql("series", "releases", "runs") + """SELECT 'series' AS gate, (SELECT count(*) FROM series WHERE status = 'active') >= 100 AS pass
-    UNION ALL SELECT 'releases', (SELECT count(*) FROM releases WHERE status = 'active' AND month IS NOT NULL) >= 1000
-    UNION ALL SELECT 'runs', (SELECT count(*) FILTER (status = 'failed') * 2 < count(*) FROM runs)
-    UNION ALL SELECT 'quality', (SELECT count(*) FILTER (quality = 0) = 0 FROM labels)""",
-)
-def launch_gates(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    gates = [
-        c.series.where("status = 'active'").agg((F.count(F.lit(1)) >= 100).alias("pass")).select(F.lit("series").alias("gate"), "pass"),
-        c.releases.where("status = 'active' AND month IS NOT NULL").agg((F.count(F.lit(1)) >= 1000).alias("pass")).select(F.lit("releases").alias("gate"), "pass"),
-        c.runs.agg((F.count_if(F.col("status") == "failed") * 2 < F.count(F.lit(1))).alias("pass")).select(F.lit("runs").alias("gate"), "pass"),
-        c.raw("labels").agg((F.count_if(F.col("quality") == 0) == 0).alias("pass")).select(F.lit("quality").alias("gate"), "pass"),
-    ]
-    out = gates[0]
-    for g in gates[1:]:
-        out = out.unionByName(g)
-    return out
-
-
 _SOURCES = ["click", "error", "purchase", "signup", "view"]
 
 

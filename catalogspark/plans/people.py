@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import people
+from catalogspark.operators import people, roles
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog, sql
 
@@ -15,19 +15,52 @@ def _pick(values, n):
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
 
+_GOVERNED = """WITH RECURSIVE u AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey <= 5 OR c_custkey % 101 = 0 THEN 'administrator' WHEN c_custkey % 4 = 0 THEN 'moderator' WHEN c_custkey % 4 = 1 THEN 'editor' END AS role, c_custkey % 7 = 0 AS suspended FROM customer),
+    c AS (SELECT (c_custkey * 7919) % 1000003 AS seq, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % 9 + 1 END AS actor_id, ['appoint', 'revoke', 'suspend', 'reinstate'][CAST(c_custkey % 4 AS INTEGER) + 1] AS action, c_custkey AS user_id,
+      ['administrator', 'editor', 'moderator'][CAST(c_nationkey % 3 AS INTEGER) + 1] AS role, CASE WHEN c_custkey % 2 = 0 THEN 'r' || c_custkey END AS reason FROM customer WHERE c_custkey % 5 <> 0),
+    j AS (SELECT c.*, t.role AS now, t.suspended AS was, a.role AS actor_role, CASE c.action WHEN 'appoint' THEN c.role WHEN 'revoke' THEN t.role ELSE coalesce(t.role, 'editor') END AS governed
+      FROM c JOIN u t USING (user_id) LEFT JOIN u a ON a.user_id = c.actor_id AND NOT a.suspended),
+    p AS (SELECT *, CASE WHEN action = 'revoke' AND now IS NULL THEN 'noChange' WHEN NOT (coalesce(actor_role, '') = 'administrator' OR coalesce(actor_role, '') = 'moderator' AND governed = 'editor') THEN 'forbidden'
+        WHEN action = 'appoint' AND now = role THEN 'noChange' WHEN action = 'appoint' AND now IS NOT NULL AND actor_role = 'moderator' AND now <> 'editor' THEN 'forbidden'
+        WHEN action = 'suspend' AND user_id = actor_id THEN 'forbidden' WHEN action = 'suspend' AND was OR action = 'reinstate' AND NOT was THEN 'noChange' END AS refused FROM j),
+    acts AS (SELECT row_number() OVER (ORDER BY seq) AS k, seq, change FROM (SELECT seq, CASE WHEN refused IS NOT NULL THEN 0 WHEN now = 'administrator' AND NOT was AND action <> 'reinstate' THEN -1
+        WHEN action = 'appoint' AND role = 'administrator' AND NOT was OR action = 'reinstate' AND now = 'administrator' THEN 1 ELSE 0 END AS change FROM p) WHERE change <> 0),
+    walk(k, n, held) AS (SELECT CAST(0 AS BIGINT), (SELECT count(*) FROM u WHERE role = 'administrator' AND NOT suspended), false
+      UNION ALL SELECT a.k, CASE WHEN change < 0 AND n <= 1 THEN n ELSE n + change END, change < 0 AND n <= 1 FROM walk w JOIN acts a ON a.k = w.k + 1),
+    g AS (SELECT p.*, coalesce(refused, CASE WHEN w.held THEN 'lastAdministrator' END) AS problem FROM p LEFT JOIN acts USING (seq) LEFT JOIN walk w ON w.k = acts.k)
+"""
+
+
+def _governed(spark, sf_dir):
+    """Some dozen administrators by id, whom commands of each other remove; every fifth user gets no command."""
+    c, k = Catalog(spark, sf_dir).raw("customer"), F.col("c_custkey")
+    role = F.when((k <= 5) | (k % 101 == 0), "administrator").when(k % 4 == 0, "moderator").when(k % 4 == 1, "editor")
+    users = c.select(k.alias("user_id"), role.alias("role"), (k % 7 == 0).alias("suspended"))
+    commands = c.where(k % 5 != 0).select(
+        (k * 7919 % 1000003).alias("seq"), F.when(k % 3 == 0, k).otherwise(k % 9 + 1).alias("actor_id"), _pick(["appoint", "revoke", "suspend", "reinstate"], k).alias("action"), k.alias("user_id"),
+        _pick(["administrator", "editor", "moderator"], F.col("c_nationkey")).alias("role"), F.when(k % 2 == 0, F.concat(F.lit("r"), k)).alias("reason"),
+    )
+    return users, roles.govern(commands, users)
+
+
 @register(
     "roles_governed",
-    """WITH r AS (SELECT c_custkey AS user_id, ['administrator', 'moderator', 'editor', NULL][CAST(c_custkey % 4 AS INTEGER) + 1] AS now, ['administrator', 'moderator', 'editor', NULL][CAST(c_nationkey % 4 AS INTEGER) + 1] AS role,
-      CASE WHEN c_custkey % 3 = 0 THEN 'administrator' WHEN c_custkey % 3 = 1 THEN 'moderator' ELSE 'editor' END AS actor FROM customer),
-    p AS (SELECT *, CASE WHEN now IS NOT DISTINCT FROM role THEN 'noChange' WHEN actor = 'editor' OR actor = 'moderator' AND (coalesce(now, 'editor') <> 'editor' OR coalesce(role, 'editor') <> 'editor') THEN 'forbidden'
-      WHEN now = 'administrator' AND (SELECT count(*) FROM r WHERE now = 'administrator') <= 1 THEN 'lastAdministrator' END AS problem FROM r)
-    SELECT user_id, CASE WHEN problem IS NULL THEN role ELSE now END AS role, problem FROM p""",
+    _GOVERNED + """SELECT u.user_id, CASE WHEN g.seq IS NULL OR problem IS NOT NULL THEN u.role WHEN action = 'appoint' THEN g.role WHEN action = 'revoke' THEN NULL ELSE u.role END AS role,
+      CASE WHEN g.seq IS NULL OR problem IS NOT NULL THEN suspended WHEN action = 'suspend' THEN true WHEN action = 'reinstate' THEN false ELSE suspended END AS suspended, problem FROM u LEFT JOIN g USING (user_id)""",
 )
 def roles_governed(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = Catalog(spark, sf_dir).raw("customer").select(k.alias("user_id"), _pick(_ROLES, k).alias("now"), _pick(_ROLES, F.col("c_nationkey")).alias("role"), _pick(["administrator", "moderator", "editor"], k).alias("actor_role"))
-    n = rows.where("now = 'administrator'").limit(2).count()
-    return people.govern(rows.drop("now"), rows.select("user_id", F.col("now").alias("role")), n)
+    users, governed = _governed(spark, sf_dir)
+    return roles.users_after(users, governed).join(governed.select("user_id", "problem"), "user_id", "left")
+
+
+@register(
+    "role_audit",
+    _GOVERNED + """SELECT seq, CASE WHEN action = 'appoint' AND now IS NOT NULL THEN 1 ELSE 0 END AS place, user_id, actor_id, CASE action WHEN 'appoint' THEN 'appointed' WHEN 'revoke' THEN 'revoked' WHEN 'suspend' THEN 'suspended' ELSE 'reinstated' END AS action,
+      governed AS role, reason FROM g WHERE problem IS NULL
+    UNION ALL SELECT seq, 0, user_id, actor_id, 'revoked', now, coalesce(reason, 'Role changed to ' || role || '.') FROM g WHERE problem IS NULL AND action = 'appoint' AND now IS NOT NULL""",
+)
+def role_audit(spark, sf_dir):
+    return roles.audit_rows(_governed(spark, sf_dir)[1])
 
 
 @register(

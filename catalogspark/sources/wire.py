@@ -228,15 +228,19 @@ def described(c: Column) -> Column:
 
 
 def title_lists(pages: DataFrame, column: str = "value", site: str = "https://books.example") -> DataFrame:
-    """Titles of JSON title lists, audio left out; a price is the flat one or the first positive in US dollars."""
-    e = pages.select(F.explode(F.from_json(F.col(column), _TITLES)["data"]["titles"]).alias("t")).select("t.*")
+    """Titles of JSON title lists, audio left out; a price is the flat one (under either spelling of its name) or the first positive in US dollars."""
+    # names that differ in case alone can't be fields of one struct
+    other = F.from_json(F.col(column), "data struct<titles array<struct<priceUSD double>>>")["data"]["titles"]
+    both = F.arrays_zip(F.from_json(F.col(column), _TITLES)["data"]["titles"].alias("t"), F.transform(other, lambda x: x["priceUSD"]).alias("flat"))
+    e = pages.select(F.explode(both).alias("x")).select("x.t.*", F.col("x.flat").alias("flatPrice"))
     kind = F.coalesce(described(F.col("format")), described(F.col("formatFamily")), F.lit(""))
     isbn = codes.isbn_shape(F.coalesce("isbn", "isbnHyphenated"), 13)
     e = e.withColumn("kind", kind).withColumn("isbn13", isbn).withColumn("title", _bare("title"))
     e = e.where(F.col("isbn13").isNotNull() & (F.col("title") != "") & ~F.col("kind").rlike(LIST_AUDIO))
     digital = F.col("kind").rlike(LIST_DIGITAL)
     dollars = F.filter("price", lambda p: (p["currencyCode"] == "USD") & (p["amount"] > 0))
-    flat = F.when(F.col("priceUsd") > 0, F.col("priceUsd"))
+    flat = F.coalesce("priceUsd", "flatPrice")
+    flat = F.when(flat > 0, flat)
     split = split_list_title(F.col("title"), F.col("seriesNumber"))
     here = F.when(F.startswith("seoFriendlyUrl", F.lit("/")), F.concat(F.lit(site), "seoFriendlyUrl")).otherwise(F.concat(F.lit(site + "/search?q="), "isbn13"))
     return e.select(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogspark.operators.tables import shared_folder
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Events as a stream of files; ``ts`` becomes a timestamp with a zone, as watermarks need."""
@@ -54,14 +58,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", bounded: bool = Fa
     In complete mode each batch writes the whole result, and the last one's is read. A ``bounded`` result, whose rows
     don't grow with users or events, goes to the driver's memory.
     """
-    import uuid
-
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    base = (shared or "/tmp/checkpoints/catalogspark").rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     out = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     if bounded:
         table = f"{name}_{uuid.uuid4().hex}"
