@@ -165,7 +165,10 @@ def _dump(spark, sf_dir):
     FROM part WHERE p_size % 5 <> 0 AND p_size % 4 <> 0""",
 )
 def feed_dump_editions(spark, sf_dir):
-    out = wire.dump_editions(_dump(spark, sf_dir))
+    return dump_columns(wire.dump_editions(_dump(spark, sf_dir)))
+
+
+def dump_columns(out):
     return out.select("key", "series_title", "volume_label", F.array_join("publishers", ",").alias("publishers"), F.col("publish_date.sort").alias("publish_sort"), "isbn13", "format", "binding")
 
 

@@ -23,6 +23,11 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
+def oracle(name: str) -> str:
+    """SQL of a query that is registered already, for another way to the same rows."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from . import plans
 
