@@ -7,12 +7,12 @@ directory has the count of marks before each 512 bits, so that any token is reac
 block is decoded. The chunk widths are the ones that make the segment smallest, from the counts of its ids by bit length.
 
 File layout, little-endian: ``DAC1``, seven int64 (bucket, number in the bucket, documents, ids, levels, bits of an id, length of the file's
-content), then each level's width, ids and marked ids (int64), then the sections, each padded to 8 bytes: documents' ids, their null marks, first
+content), then each level's width, ids and marked ids (int64), then the sections, each padded to 8 bytes (chunks to 64 values): documents' ids, their null marks, first
 places (one more than documents), and for each level its chunks, its bitmap and its directory. Spark's text writer puts the bytes into the files, a row a
 file, so that any file system of Spark's and its commit of tasks serve; the line end after the content is not part of it.
 
 Texts are encoded by the tokenizers library. Its normaliser and its splitter never look across ASCII blanks, so the words between these are
-encoded, a new word once a task, and their ids joined. Documents are dealt to buckets of rising ids (quantiles of the ids, counted over all
+encoded, and their ids joined; a worker keeps those of the words it has met. Documents are dealt to buckets of rising ids (quantiles of the ids, counted over all
 rows), so the only shuffle is that of ids, two bytes a token for up to 65,536 ids. An id that many rows share has several buckets, by a
 hash of the text.
 
@@ -23,6 +23,9 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import uuid
 import zlib
 from functools import lru_cache
@@ -37,8 +40,8 @@ from .common import _checkpoint_dir, shuffle_partitions, stored, table
 
 NAME = "op12_codes"
 END = 1
-#: Ids of a segment (one document can exceed it), bytes of text for each bucket, and cached words of a task.
-SEGMENT, BUCKET_BYTES, CACHE = 8_000_000, 64_000_000, 400_000
+#: Ids of a segment (one document can exceed it), bytes of text for each bucket, and cached words of a worker.
+SEGMENT, BUCKET_BYTES, CACHE = 8_000_000, 64_000_000, 1_000_000
 MAGIC = b"DAC1"
 _SUPER = 512
 _LEAST = -(1 << 63)
@@ -58,26 +61,49 @@ def widths(lengths: np.ndarray) -> list[int]:
     return best[0][1]
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    out, step = [], 1 << 17  # a multiple of 8 values fills whole bytes
-    for lo in range(0, len(values), step):
-        bits = (values[lo : lo + step, None] >> np.arange(width, dtype=np.uint32)) & 1
-        out.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
-    return b"".join(out)
+def _places(width: int):
+    """(value, word, shift) of the 64 values that fill ``width`` words of 64 bits."""
+    return [(k, k * width >> 6, np.uint64(k * width & 63)) for k in range(64)]
 
 
-def _unpack(raw: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
-    """Values a to b of packed ones."""
-    lo = a * width >> 3
-    bits = np.unpackbits(raw[lo : (b * width + 7) >> 3], bitorder="little")[a * width - 8 * lo :][: (b - a) * width]
-    return bits.reshape(-1, width) @ (1 << np.arange(width, dtype=np.int64)) if b > a else np.zeros(0, np.int64)
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Values of ``width`` bits one behind the other; 64 of them fill whole words, and the last are filled up with zeros."""
+    v = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    v.ravel()[: len(values)] = values
+    out = np.zeros((len(v), width), np.uint64)
+    for k, at, shift in _places(width):
+        out[:, at] |= v[:, k] << shift
+        if int(shift) + width > 64:
+            out[:, at + 1] |= v[:, k] >> np.uint64(64 - int(shift))
+    return out.astype("<u8").tobytes()
+
+
+def _unpack(words: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
+    """Values a to b of packed ones; reads the words of 64 values together."""
+    lo, hi = a // 64, -(-b // 64)
+    w = words[lo * width : hi * width].reshape(-1, width)
+    out = np.empty((len(w), 64), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k, at, shift in _places(width):
+        v = w[:, at] >> shift
+        if int(shift) + width > 64:
+            v |= w[:, at + 1] << np.uint64(64 - int(shift))
+        out[:, k] = v & mask
+    return out.ravel()[a - lo * 64 : b - lo * 64]
+
+
+def _one(words: np.ndarray, width: int, i: int) -> int:
+    """A packed value, from the one or two words it lies in."""
+    at, shift = i * width >> 6, i * width & 63
+    v = int(words[at]) >> shift
+    if shift + width > 64:
+        v |= int(words[at + 1]) << 64 - shift
+    return v & (1 << width) - 1
 
 
 def encode_segment(bucket: int, number: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    bits = np.zeros(len(ids), np.uint8)
-    for b in range(32):
-        bits += (ids >> np.uint32(b)) > 0
-    chunk_widths = widths(np.bincount(np.maximum(bits, 1), minlength=33))
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)  # bit lengths
+    chunk_widths = widths(np.bincount(bits, minlength=33))
     sections = [np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.packbits([i is None for i in doc_ids], bitorder="little").tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes()]
     levels, rest, below = [], ids, 0
     for w in chunk_widths:
@@ -112,7 +138,7 @@ class Segment:
 
         self._doc_ids, self._null = section(8 * docs).view("<i8"), section((docs + 7) // 8)
         self.first = section(8 * (docs + 1)).view("<i8")
-        self._levels = [(w, section((n * w + 7) // 8), section((n + 7) // 8), section(4 * (-(-n // _SUPER) + 1)).view("<u4")) for w, n, _ in shape]
+        self._levels = [(w, section(-(-n // 64) * w * 8).view("<u8"), section((n + 7) // 8), section(4 * (-(-n // _SUPER) + 1)).view("<u4")) for w, n, _ in shape]
 
     @property
     def doc_ids(self) -> list:
@@ -130,7 +156,7 @@ class Segment:
             raise IndexError(i)
         value = shift = 0
         for w, chunks, marks, ranks in self._levels:
-            value |= int(_unpack(chunks, w, i, i + 1)[0]) << shift
+            value |= _one(chunks, w, i) << shift
             if not marks[i >> 3] >> (i & 7) & 1:
                 break
             i, shift = self._rank(marks, ranks, i), shift + w
@@ -143,7 +169,7 @@ class Segment:
         for w, chunks, marks, ranks in self._levels:
             if a == b:
                 break
-            out[where] |= (_unpack(chunks, w, a, b) << shift).astype(np.uint32)
+            out[where] |= _unpack(chunks, w, a, b) << np.uint32(shift)
             more = np.unpackbits(marks[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 :][: b - a].view(bool)
             a = self._rank(marks, ranks, a)
             where, shift = where[more], shift + w
@@ -157,29 +183,83 @@ class Segment:
 # --- writing -----------------------------------------------------------------------------------------------------
 
 
-@lru_cache(1)
-def _tokenizer(vocabulary: str):
-    from tokenizers import Tokenizer
+#: The normaliser, and the splitter by a pattern, of files whose words can be encoded one at a time.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: Texts of Latin letters, digits, signs and ASCII blanks: NFC leaves them alone and lower case takes letters to letters.
+_LATIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u017f]*").fullmatch
+#: The letter that stands for each byte: itself where it can be seen, else the next free one from 256 on.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(b) if b in _SEEN else chr(256 + sum(x not in _SEEN for x in range(b))) for b in range(256)}
+
+
+def _split_by(pattern: str) -> dict:
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    return {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 
-    return Tokenizer.from_str(vocabulary)
+@lru_cache(2)
+def _words(vocabulary: str, kind: str) -> _Words:
+    """One for all tasks of a worker: a word met by a task before isn't encoded again."""
+    return _Words(vocabulary, np.dtype(kind))
 
 
 class _Words(dict):
-    """Ids of words as bytes of ``kind``; the library encodes those not met yet."""
+    """Ids of words as bytes of ``kind``; what isn't there yet is encoded. At ``CACHE`` entries it starts anew.
+
+    A file whose normaliser is NFC, blanks as one blank and lower case, and whose splitter keeps what matches a pattern that never matches blanks, can be asked for a
+    word at a time. A text of Latin letters and signs is put in lower case, and the pieces of its words go to the library's model at once. Words of other texts,
+    or of texts with a special token, go through all steps. Any other file gets whole texts.
+    """
 
     def __init__(self, vocabulary: str, kind: np.dtype):
-        self.codec, self.kind = _tokenizer(vocabulary), kind
+        import regex
+        from tokenizers import Tokenizer
+
+        self.codec, self.format, self.pieces, self.others = Tokenizer.from_str(vocabulary), "<{}" + {2: "H", 4: "I"}[kind.itemsize], {}, {}
+        self.model = self.codec.model
+        told = json.loads(vocabulary)
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.pattern = regex.compile(split) if split and [told["normalizer"], told["pre_tokenizer"]] == [_NORMAL, _split_by(split)] and not regex.search(split, " \t\n") else None
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in told.get("added_tokens", [])) or "(?!)").search
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(self.format.format(len(ids)), *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.codec.encode(text, add_special_tokens=False).ids)
+
+    def _bound(self) -> None:
+        if len(self) + len(self.pieces) + len(self.others) >= CACHE:
+            for x in (self, self.pieces, self.others):
+                x.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        """Of a word in lower case, as Latin texts have them."""
+        self._bound()
+        out, known = b"", self.pieces
+        for piece in self.pattern.findall(word):
+            ids = known.get(piece)
+            if ids is None:
+                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = known[piece] = self._bytes([t.id for t in self.model.tokenize(letters)])
+            out += ids
+        self[word] = out
+        return out
+
+    def _other(self, word: bytes) -> bytes:
+        out = self.others.get(word)
+        if out is None:
+            self._bound()
+            out = self.others[word] = self._whole(word.decode("utf-8", "replace"))
+        return out
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # at ASCII blanks
-        new = list(set().union(*words).difference(self))
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set().union(*words))
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            self.update(zip(some, (np.array(e.ids, self.kind).tobytes() for e in self.codec.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False))))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+    def of(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if self.pattern is None:
+            return self._whole(text)
+        if _LATIN(text) and not self.special(text):
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self._other, raw.split()))  # at ASCII blanks
 
 
 def _encoder(shared, kind: str, cuts: np.ndarray, end: int):
@@ -191,7 +271,7 @@ def _encoder(shared, kind: str, cuts: np.ndarray, end: int):
         from .common import groups, text_buffers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = _Words(shared.value, np.dtype(kind))
+        words = _words(shared.value, kind)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             key = batch.column("key").fill_null(_LEAST).to_numpy(zero_copy_only=False)
@@ -201,7 +281,7 @@ def _encoder(shared, kind: str, cuts: np.ndarray, end: int):
             for a, b in groups(offsets):
                 raw = data[offsets[a] : offsets[b]].tobytes()
                 at = (offsets[a : b + 1] - offsets[a]).tolist()
-                ids = [x + last for x in words.of([raw[i:j] for i, j in zip(at, at[1:])])]
+                ids = [words.of(raw[i:j]) + last for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b], pa.int32()), *(batch.column(c).slice(a, b - a) for c in ("key", "h")), pa.array(ids, pa.binary())], ["bucket", "key", "h", "ids"])
 
     return run
@@ -246,7 +326,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_column: str = "doc_id"
     buckets = max(shuffle_partitions(spark), -(-size // bucket_bytes))
     steps = [i / buckets for i in range(1, buckets)]
     cuts = rows.agg(F.percentile_approx(F.coalesce("key", F.lit(_LEAST)), steps, max(10_000, 50 * buckets))).first()[0] if steps else []
-    kind = "<u2" if max(_tokenizer(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(_Words(vocabulary, np.dtype("<u4")).codec.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
     encode = _encoder(spark.sparkContext.broadcast(vocabulary), kind, np.array(cuts or [], np.int64), end)
     dealt = rows.withColumn("h", F.xxhash64("text")).mapInArrow(encode, "bucket int, key bigint, h bigint, ids binary").repartitionById(buckets, F.col("bucket"))
     ordered = dealt.sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "h", "ids")

@@ -1,5 +1,6 @@
 """Directly addressable codes: round trips, random access, the library's ids and global starts."""
 
+import json
 import random
 import tempfile
 import zlib
@@ -41,9 +42,10 @@ def test_a_token_is_reached_without_decoding(monkeypatch):
     ids = _ids("skewed", 100_000)
     s = op.Segment(op.encode_segment(0, 0, [1], np.array([len(ids)]), ids))
     assert len(s._levels) > 1
-    seen, plain = [], op._unpack
-    monkeypatch.setattr(op, "_unpack", lambda raw, w, a, b: seen.append(b - a) or plain(raw, w, a, b))
-    assert s.token(99_999) == ids[99_999] and len(seen) <= len(s._levels) and set(seen) == {1}
+    seen, one = [], op._one
+    monkeypatch.setattr(op, "_unpack", None)
+    monkeypatch.setattr(op, "_one", lambda *a: seen.append(a) or one(*a))
+    assert s.token(99_999) == ids[99_999] and 1 <= len(seen) <= len(s._levels)
 
 
 def test_widths_are_the_best():
@@ -83,16 +85,29 @@ def test_query(spark, sf_dir):
 def test_words_apart_are_the_text(spark):
     """Blanks of every kind, combining marks, final sigmas, special tokens and contractions at the cuts."""
     r = random.Random(5)
-    bits = ["a", "Σ", "ΑΣ", "́", "é", "I'll", "'s", "<|endoftext|>", " ", "\x1c", "\x85", " ", " ", "\n", "\t", "\x0b", "中", "١", "12", "!!", "ﬁ", "İ", "\U0001f600"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(400)]
+    latin = ["a", "B", "it's", "'LL", "~", "_", "x1y2", "É", "ß", "ª", "²", "¼", "ŉ", "Ÿ", "«", "<|endoftext|>", " ", " ", "\n", "\x0b", "12", "!!"]
+    bits = ["a", "B", "it's", "'LL", "~", "_", "x1y2", "É", "ß", "µ", "ª", "²", "¼", "ŉ", "Ÿ", "\u00ad", "«", "Σ", "ΑΣ", "́", "é", "I'll", "'s", "<|endoftext|>", " ", "\x1c", "\x85", " ", " ", "\n", "\t", "\x0b", "中", "١", "12", "!!", "ﬁ", "İ", "\U0001f600"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(6000)] + ["".join(r.choice(latin) for _ in range(r.randrange(30))) for _ in range(6000)]
     codec = Tokenizer.from_str(op.read_vocabulary())
-    got = op._Words(op.read_vocabulary(), np.dtype("<u2")).of([t.encode() for t in texts])
+    words = op._Words(op.read_vocabulary(), np.dtype("<u2"))
+    got = [words.of(t.encode()) for t in texts]
+    assert words and words.others
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [codec.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_file_of_another_kind_gets_whole_texts():
+    raw = json.loads(op.read_vocabulary())
+    raw["normalizer"] = None
+    words = op._Words(json.dumps(raw), np.dtype("<u4"))
+    text = "One two, THREE  'S\nfour"
+    assert words.pattern is None
+    assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == Tokenizer.from_str(json.dumps(raw)).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("segment", [300, 8_000_000])
 def test_odd_rows(spark, odd_docs, segment, monkeypatch):
     monkeypatch.setattr(op, "CACHE", 1000)
+    op._words.cache_clear()
     hot = [(77, prose(i, 30)) for i in range(40)] + [(None, prose(i, 20)) for i in range(30)]
     docs = odd_docs.select("doc_id", "text", "key", "n").unionByName(spark.createDataFrame(hot, "doc_id bigint, text string"), allowMissingColumns=True)
     path = tempfile.mkdtemp(prefix="spark-") + "/codes"
