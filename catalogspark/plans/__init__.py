@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds", "pages", "moderating", "people", "reading")
+_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds", "pages", "moderating", "people", "reading", "importing")
 
 
 def load() -> None:
