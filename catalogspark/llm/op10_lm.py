@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, SPACE, _U, ascii_lower, by_bucket, groups, mix, runs, shuffle_partitions, table, text_buffers, word_hashes
+from .common import GROUP_BYTES, SPACE, _U, ascii_lower, by_bucket, groups, mix, runs, shuffle_partitions, stored, table, text_buffers, word_hashes
 
 NAME = "op10_lm"
 SMOOTHING = 0.1
@@ -162,9 +162,13 @@ def score(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_co
     words, tokens = seen.groupBy("word").agg(F.sum("n").alias("n")).agg(F.count("word"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(2 * shuffle_partitions(spark), tokens // BUCKET)
     good = target.select(F.col(id_column).alias("key")).where("key IS NOT NULL").distinct().withColumn("good", F.lit(True))
-    if (good.agg(F.sum(F.octet_length(F.col("key").cast("string")) + 8)).first()[0] or 0) <= BROADCAST_BYTES:
-        good = F.broadcast(good)  # else the texts are shuffled to meet their marks
+    small = (good.agg(F.sum(F.octet_length(F.col("key").cast("string")) + 8)).first()[0] or 0) <= BROADCAST_BYTES
+    if small:
+        good = F.broadcast(good)
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    if not small:
+        # the texts are shuffled to meet their marks, which leaves their order open; blocks are numbered by place, so that a task that runs again after a loss must find the same rows
+        rows = stored(rows, "marked")
     sent = rows.mapInArrow(_sender(buckets, arrow), ", ".join(_SENT).format(kind))
     back = sent.groupBy("bucket").applyInArrow(_adder(words, arrow), f"block bigint, row binary, loss binary, keys array<{kind}>, tokens array<bigint>")
     return back.groupBy("block").applyInArrow(_gather(arrow), f"key {kind}, n_tokens bigint, score double").withColumnRenamed("key", id_column)

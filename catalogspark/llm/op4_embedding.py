@@ -7,8 +7,8 @@ list's last entry goes in. A list whose entries are all links is saturated and i
 Rounds end when hardly any node finds another link (a node's links count up to K, so that a hot group doesn't decide). A sample of
 nodes is then compared with all nodes. Recall is the share of them with all of their links found, the nodes of a
 component together counted once; while it is below ``RECALL``, twice as many new tables and more rounds follow, up to about
-the tables in which a pair at the threshold would meet by itself. If that is not enough either, all nodes are compared in
-blocks, which takes time (not rows) with the square of their number.
+the tables in which a pair at the threshold would meet by itself. If that is not enough either, or if the sample meets too few links to
+tell, all nodes are compared in blocks, which takes time with the square of their number.
 
 Edges at or above the threshold make components. In each component, block by block, all members are compared in
 double precision, so that links within saturated lists are counted whole; only counts leave a block.
@@ -34,8 +34,8 @@ K, TABLES, ROUNDS = 8, 6, 4
 BLOCK, AUDIT, RECALL, RETRIES = 512, 400, 0.97, 3
 #: Components with links that an audit should meet, and the most nodes it takes to meet them.
 GROUPS, AUDIT_MOST = 100, 6400
-#: Nodes to a block where all nodes are compared.
-WHOLE = 4096
+#: Nodes to a block where all nodes are compared, and where those of a component are.
+WHOLE, MEMBERS = 4096, 2048
 _LIST = "u bigint, v bigint, sim double"
 
 
@@ -200,17 +200,40 @@ def _descend(lists: DataFrame, nodes: DataFrame, buckets: int, kind, rounds: int
     return lists
 
 
+def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group of ``rows (*keys, node, weight, raw)``: its nodes, weights and vectors behind each other. Stored, so that pairs of blocks copy whole rows."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        out = {k: [rows.column(k)[0].as_py()] for k in keys}
+        out |= {c: [rows.column(c).to_numpy().astype("<i8").tobytes()] for c in ("node", "weight")}
+        raw = rows.column("raw").to_pylist()
+        return pa.table(out | {"size": [len(raw[0])], "raw": [b"".join(raw)]}, pa.schema([*((k, pa.int64()) for k in keys), ("node", pa.binary()), ("weight", pa.binary()), ("size", pa.int64()), ("raw", pa.binary())]))
+
+    rows = rows.select(*[F.col(k).cast("bigint").alias(k) for k in keys], "node", "weight", "raw")
+    return stored(rows.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", node binary, weight binary, size bigint, raw binary"), "blocks")
+
+
+def _block_pairs(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pair of blocks (i, j) of a group, i <= j, as its one or two rows; ``packed`` has the number ``k`` of a block and the count ``blocks`` of its group."""
+    rows = packed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.select(*keys, F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "weight", "size", "raw")
+
+
+def _read(row: dict, kind):
+    x = _unit([row["raw"][a : a + row["size"]] for a in range(0, len(row["raw"]), row["size"])], kind)
+    return np.frombuffer(row["node"], "<i8"), np.frombuffer(row["weight"], "<i8"), x
+
+
 def _all_pairs(nodes: DataFrame, n: int, kind) -> DataFrame:
     """Edges (a, b) that join all nodes with a path of links: every pair is compared, block by block, and a block's
-    links go to the least node of their group there, so that rows don't grow with links."""
+    links go to the least node of their group there, so that rows don't grow with links. A block travels as one row, once for each pair of blocks."""
     blocks = -(-n // WHOLE)
-    rows = nodes.select("node", "dim", "raw").withColumn("k", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("node", "dim", "raw", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    rows = nodes.withColumn("k", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(blocks)))
+    rows = _block_pairs(_packed(rows, ["dim", "k"]).withColumn("blocks", F.lit(blocks).cast("bigint")), ["dim"])
 
     def join(rows: pa.Table) -> pa.Table:
-        node, raw = rows.column("node").to_numpy(), rows.column("raw").to_pylist()
-        x = _unit(raw, kind)
+        parts = [_read(r, kind) for r in rows.to_pylist()]
+        node, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         link = np.concatenate([x[lo : lo + BLOCK] @ x.T >= THRESHOLD for lo in range(0, len(x), BLOCK)])
         least = node.copy()
         fresh = link.sum(1) > 1
@@ -230,49 +253,56 @@ def _all_pairs(nodes: DataFrame, n: int, kind) -> DataFrame:
 
 
 def _count_links(parts: DataFrame, nodes: DataFrame, buckets: int, kind) -> DataFrame:
-    """(node, linked): weight of the other nodes of its component that a node links with."""
-    size = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = parts.join(size, "component").withColumn("k", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.select("component", "node", "blocks", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    # components of one block share groups
-    rows = rows.select("component", "node", F.col("k").alias("side"), F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets))).alias("grp"), (F.col("blocks") > 1).alias("many"))
-    rows = rows.join(nodes.select("node", "weight", "raw"), "node")
-
-    def count(rows: pa.Table) -> pa.Table:
-        part, node, side, weight = (rows.column(c).to_numpy() for c in ("component", "node", "side", "weight"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    """(node, linked): weight of the other nodes of its component that a node links with. Components of one block share groups; larger ones are packed into blocks, which meet in pairs."""
+    size = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
+    rows = parts.join(size, "component").join(nodes.select("node", "weight", "raw"), "node")
+    small = rows.where("blocks = 1").withColumn("grp", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    large = _packed(rows.where("blocks > 1").withColumn("k", F.pmod(F.xxhash64("node"), "blocks")), ["component", "blocks", "k"])
+
+    def within(rows: pa.Table) -> pa.Table:
+        part, node, weight = (rows.column(c).to_numpy() for c in ("component", "node", "weight"))
         raw = rows.column("raw").to_pylist()
         order = np.argsort(part, kind="stable")
         at = np.append(np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])), len(order))
-        ids, sums = [], []
+        sums = np.zeros(len(node), np.int64)
         for a, b in zip(at[:-1], at[1:]):
             some = order[a:b]
             x = _unit([raw[r] for r in some], kind)
-            left, right = (np.flatnonzero(side[some] == s) for s in (i, j))
-            for lo in range(0, len(left), BLOCK):
-                mine = left[lo : lo + BLOCK]
-                link = x[mine] @ x[right].T >= THRESHOLD
-                if i == j:
-                    link &= mine[:, None] != right[None, :]
-                ids.append(node[some[mine]])
-                sums.append(link @ weight[some[right]])
-                if i != j:
-                    ids.append(node[some[right]])
-                    sums.append(weight[some[mine]] @ link)
-        return pa.table({"node": pa.array(np.concatenate(ids), pa.int64()), "linked": pa.array(np.concatenate(sums).astype(np.int64))})
-
-    return rows.groupBy("grp", "many", "i", "j").applyInArrow(count, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
+            for lo in range(0, len(some), BLOCK):
+                link = x[lo : lo + BLOCK] @ x.T >= THRESHOLD
+                link[np.arange(len(link)), np.arange(lo, lo + len(link))] = False
+                sums[some[lo : lo + BLOCK]] = link @ weight[some]
+        return pa.table({"node": pa.array(node, pa.int64()), "linked": pa.array(sums)})
+
+    def between(rows: pa.Table) -> pa.Table:
+        rows = sorted(rows.to_pylist(), key=lambda r: r["k"])
+        one, two = _read(rows[0], kind), _read(rows[-1], kind)
+        left, right = np.zeros(len(one[0]), np.int64), np.zeros(len(two[0]), np.int64)
+        for lo in range(0, len(left), BLOCK):
+            link = one[2][lo : lo + BLOCK] @ two[2].T >= THRESHOLD
+            if len(rows) == 1:
+                link[np.arange(len(link)), np.arange(lo, lo + len(link))] = False
+            left[lo : lo + BLOCK] = link @ two[1]
+            right += one[1][lo : lo + BLOCK] @ link
+        out = [(one[0], left)] + ([(two[0], right)] if len(rows) == 2 else [])
+        return pa.table({"node": pa.array(np.concatenate([a for a, _ in out]), pa.int64()), "linked": pa.array(np.concatenate([b for _, b in out]))})
+
+    schema = "node bigint, linked bigint"
+    counted = small.select("grp", "component", "node", "weight", "raw").groupBy("grp").applyInArrow(within, schema)
+    counted = counted.unionByName(_block_pairs(large, ["component"]).groupBy("component", "i", "j").applyInArrow(between, schema))
+    return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def audit_recall(nodes: DataFrame, linked: DataFrame, parts: DataFrame, kind, n: int, sample: int = AUDIT) -> float:
     """Share of about ``sample`` nodes, each compared with all nodes, whose links are all found; nodes without links don't
-    count, and those of one component count as one together. The sample grows while it meets few components."""
+    count, and those of one component count as one together. The sample grows while it meets few components. A sample short of all nodes that meets
+    fewer than ``GROUPS`` of them at its largest measures nothing: 0."""
     share = min(1.0, sample / max(n, 1))
     some = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
     some = some.join(linked, "node", "left").join(parts, "node", "left")
     queries = some.select("node", "raw", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "node").alias("component")).collect()
     if not queries:
-        return 1.0 if share == 1 or sample >= AUDIT_MOST else audit_recall(nodes, linked, parts, kind, n, sample * 4)
+        return 1.0 if share == 1 else 0.0 if sample >= AUDIT_MOST else audit_recall(nodes, linked, parts, kind, n, sample * 4)
     shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["raw"])) for r in queries])
 
     def compare(batches):
@@ -296,8 +326,8 @@ def audit_recall(nodes: DataFrame, linked: DataFrame, parts: DataFrame, kind, n:
     for r in queries:
         if r["node"] in there:
             whole.setdefault(r["component"], []).append(r["linked"] >= there[r["node"]])
-    if len(whole) < GROUPS and share < 1 and sample < AUDIT_MOST:
-        return audit_recall(nodes, linked, parts, kind, n, sample * 4)
+    if len(whole) < GROUPS and share < 1:
+        return 0.0 if sample >= AUDIT_MOST else audit_recall(nodes, linked, parts, kind, n, sample * 4)
     return float(np.mean([np.mean(x) for x in whole.values()])) if whole else 1.0
 
 

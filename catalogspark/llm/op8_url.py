@@ -113,11 +113,13 @@ def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: list[tuple[str, str, str]]) -> DataFrame:
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, which take the place of columns of these names; other columns stay as they are."""
     host, path = host_and_path(F.col("url"))
-    bad = blocked(pages, rules).withColumn("bad", F.lit(True))
-    out = pages.join(bad, "url", "left").withColumn("host", host).withColumn("path", path).withColumn("hit", listed_rule(F.col("host"), F.col("path"), listed))
-    mined = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
-    return out.withColumn("rule", F.col("hit.name")).withColumn("verdict", F.coalesce("hit.verdict", mined)).drop("hit", "bad")
+    own = "__op8_mined", "__op8_listed"
+    bad = blocked(pages, rules).withColumn(own[0], F.lit(True))
+    out = pages.join(bad, "url", "left").withColumn("host", host).withColumn("path", path).withColumn(own[1], listed_rule(F.col("host"), F.col("path"), listed))
+    mined = F.when(F.coalesce(own[0], F.lit(False)), "block").otherwise("allow")
+    return out.withColumn("rule", F.col(f"{own[1]}.name")).withColumn("verdict", F.coalesce(f"{own[1]}.verdict", mined)).drop(*own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from catalogspark.llm import op3_toxicity, op4_embedding, op5_packing, op6_license
+from catalogspark.llm import op3_toxicity, op4_embedding, op5_packing, op6_license, op8_url, op10_lm
 
 from .conftest import prose
 
@@ -111,3 +111,43 @@ def test_blanks_at_the_ends_make_no_other_cluster(spark):
     docs = spark.createDataFrame([(1, "One two"), (2, "  one\ttwo\n"), (3, "one two three")], "doc_id bigint, text string")
     bins = {r["doc_id"]: r["bin_id"] for r in op5_packing.pack(docs, source_column=None, shard_tokens=100).collect()}
     assert bins[1] != bins[2] and bins[3] in (bins[1], bins[2])
+
+
+def test_rare_links_that_no_sample_meets_are_found(spark, monkeypatch):
+    """Two linked pairs among many vectors, and a search that finds none of them."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 24))
+    x[700] = x[3] * 2 + rng.standard_normal(24) * 0.05
+    x[801] = x[4] + rng.standard_normal(24) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(op4_embedding, "AUDIT", 20)
+    monkeypatch.setattr(op4_embedding, "AUDIT_MOST", 40)
+    monkeypatch.setattr(op4_embedding.audit_recall, "__defaults__", (20,))
+    first = op4_embedding._descend
+    monkeypatch.setattr(op4_embedding, "_descend", lambda *a: first(*a).where("sim < 0.9"))
+    monkeypatch.setattr(op4_embedding, "WHOLE", 256)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op4_embedding.near_duplicates(df).collect()}
+    assert {i: v for i, v in got.items() if v != (0, i)} == {3: (1, 3), 700: (1, 3), 4: (1, 4), 801: (1, 4)}
+
+
+def test_links_of_a_component_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op4_embedding, "MEMBERS", 64)
+    df, link = _pairs_and_a_hot_group(spark)
+    got = {r["vec_id"]: r["n_links"] for r in op4_embedding.near_duplicates(df).collect()}
+    assert [got[i] for i in range(600)] == link.sum(1).tolist()
+
+
+def test_page_columns_of_the_filters_own_names(spark):
+    pages = spark.createDataFrame([(1, "x://a.org/es/", "b", "h"), (2, None, "c", "i")], "page_id int, url string, bad string, hit string")
+    rules = spark.createDataFrame([], "items array<array<string>>, index array<string>, confidence double")
+    assert [(r["page_id"], r["bad"], r["hit"], r["verdict"]) for r in op8_url.judge(pages, rules, op8_url.LISTED).orderBy("page_id").collect()] == [(1, "b", "h", "allow"), (2, "c", "i", "allow")]
+
+
+def test_scores_do_not_depend_on_the_rows_places(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i % 37, 60 + i % 11)) for i in range(300)], "doc_id bigint, text string")
+    target = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = {r["doc_id"]: r["score"] for r in op10_lm.score(docs, target).collect()}
+    monkeypatch.setattr(op10_lm, "BROADCAST_BYTES", 0)
+    for n in (1, 5):
+        got = {r["doc_id"]: r["score"] for r in op10_lm.score(docs.repartition(n), target).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
