@@ -19,6 +19,11 @@ def normalize_title(c) -> Column:
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
+def title_order(c) -> Column:
+    """Sort key of titles as people read them: letters before case and accents, by the root collation."""
+    return F.collate(_col(c), "UNICODE")
+
+
 def similarity_tokens(c) -> Column:
     """Distinct ASCII words of more than one character outside parentheses."""
     bare = F.regexp_replace(F.lower(_col(c)), r"\(.*?\)", " ")

@@ -57,7 +57,7 @@ def month_window(releases: DataFrame, year: int, month: int, format: str | None
 def by_day(rows: DataFrame, cell: int) -> DataFrame:
     """Day cells of a month: the first ``cell`` releases and how many more; day 0 holds those without a day."""
     day = F.coalesce("day", F.lit(0))
-    w = Window.partitionBy(day).orderBy("series_titles", "label", "release_id")
+    w = Window.partitionBy(day).orderBy(titles.title_order("series_titles"), "label", "release_id")
     ranked = rows.select(day.alias("day"), "release_id", F.row_number().over(w).alias("rank"))
     return ranked.groupBy("day").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= cell, F.struct("rank", "release_id")))), lambda x: x["release_id"].cast("string")), ",").alias("shown"),

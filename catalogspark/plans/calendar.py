@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.functions import codes, dates, titles
-from catalogspark.operators import browse, lookup
+from catalogspark.operators import browse, indexes, lookup, tables
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog, sql
 
@@ -32,12 +34,12 @@ _IN_MONTH = f"status = 'active' AND sort BETWEEN {YEAR * 10000 + MONTH * 100} AN
 
 
 def _month_rows(c: Catalog, format: str | None = None) -> DataFrame:
-    return browse.release_rows(browse.month_window(c.releases, YEAR, MONTH, format), c.series, c.release_series, c.coverage, c.volumes, c.publishers)
+    return browse.release_rows(browse.month_window(c.releases_of_month(YEAR, MONTH), YEAR, MONTH, format), c.series, c.release_series, c.coverage, c.volumes, c.publishers)
 
 
-@register("month_calendar", _ROWS_SQL + f"SELECT * EXCLUDE (status) FROM release_rows WHERE {_IN_MONTH} ORDER BY sort, series_titles, label, release_id")
+@register("month_calendar", _ROWS_SQL + f"SELECT * EXCLUDE (status) FROM release_rows WHERE {_IN_MONTH} ORDER BY sort, series_titles COLLATE en, label, release_id")
 def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _month_rows(Catalog(spark, sf_dir)).orderBy("sort", "series_titles", "label", "release_id")
+    return _month_rows(Catalog(spark, sf_dir)).orderBy("sort", titles.title_order("series_titles"), "label", "release_id")
 
 
 @register("month_calendar_physical", _ROWS_SQL + f"SELECT * EXCLUDE (status) FROM release_rows WHERE {_IN_MONTH} AND format = 'physical'")
@@ -48,7 +50,7 @@ def month_calendar_physical(spark, sf_dir):
 @register(
     "agenda_by_day",
     _ROWS_SQL + f"""SELECT day, string_agg(CASE WHEN rank <= 3 THEN CAST(release_id AS VARCHAR) END, ',' ORDER BY rank) AS shown, greatest(count(*) - 3, 0) AS more
-    FROM (SELECT coalesce(day, 0) AS day, release_id, row_number() OVER (PARTITION BY coalesce(day, 0) ORDER BY series_titles, label, release_id) AS rank
+    FROM (SELECT coalesce(day, 0) AS day, release_id, row_number() OVER (PARTITION BY coalesce(day, 0) ORDER BY series_titles COLLATE en, label, release_id) AS rank
           FROM release_rows WHERE {_IN_MONTH}) GROUP BY day""",
 )
 def agenda_by_day(spark, sf_dir):
@@ -122,6 +124,29 @@ def series_search(spark, sf_dir):
     return browse.search(Catalog(spark, sf_dir).series.where("status = 'active'"), ["title", "alt_title"], "Promo steel brand lemon", 40)
 
 
+_PREFIX_SCORE = "CAST(list_contains(words, 'lemon') AS INTEGER) + CAST(list_contains(words, 'brand') AS INTEGER) + CAST(len(list_filter(words, lambda w: starts_with(w, 'st'))) > 0 AS INTEGER)"
+
+
+@register(
+    "series_search_indexed",
+    sql("series") + f"""SELECT id, score FROM (SELECT id, {_PREFIX_SCORE} AS score FROM (SELECT id, string_split({_NORM.format("title || ' ' || alt_title")}, ' ') AS words FROM series WHERE status = 'active'))
+    WHERE score > 0 ORDER BY score DESC, id LIMIT 40""",
+)
+def series_search_indexed(spark, sf_dir):
+    """The first 40 hits (a page is the feature) of two words and the beginning of a third, from an index made of all series."""
+    folder = f"{tables.shared_folder(spark)}/tables/postings-{uuid.uuid4().hex}"
+    indexes.write_postings(Catalog(spark, sf_dir).series.where("status = 'active'"), ["title", "alt_title"], folder)
+    return indexes.search(spark, folder, "Lemon brand st", 40)
+
+
+@register("month_window_pruned", sql("releases") + f"SELECT id, sort, format, publisher_id FROM releases WHERE {_IN_MONTH}")
+def month_window_pruned(spark, sf_dir):
+    """A month of releases that are stored by date: the scan skips the files and row groups of other months."""
+    folder = f"{tables.shared_folder(spark)}/tables/by-date-{uuid.uuid4().hex}"
+    indexes.write_by_date(Catalog(spark, sf_dir).releases, folder)
+    return indexes.month(spark, folder, YEAR, MONTH).select("id", "sort", "format", "publisher_id")
+
+
 @register("publisher_search", sql("publishers") + "SELECT id, name FROM publishers WHERE status = 'active' AND contains(lower(name), '00000001')")
 def publisher_search(spark, sf_dir):
     return Catalog(spark, sf_dir).publishers.where("status = 'active'").where(F.lower("name").contains("00000001")).select("id", "name")

@@ -5,6 +5,8 @@ Both say the same; every query's SQL starts with the expressions it needs.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,11 +103,22 @@ class Catalog:
 
     @property
     def releases(self) -> DataFrame:
-        first = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("publisher_id"))
+        return self._releases(self.raw("orders"), self.raw("lineitem"))
+
+    def releases_of_month(self, year: int, month: int) -> DataFrame:
+        """Releases with a date in a month: the range reaches the scan of orders, and only their lines are grouped."""
+        start = datetime.datetime(year, month, 1)
+        end = datetime.datetime(year + month // 12, month % 12 + 1, 1)
+        orders = self.raw("orders").where((F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")))
+        return self._releases(orders, self.raw("lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"))
+
+    @staticmethod
+    def _releases(orders: DataFrame, lines: DataFrame) -> DataFrame:
+        first = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("publisher_id"))
         key = F.col("o_orderkey")
         month = F.when(key % 10 != 0, F.month("o_orderdate"))
         day = F.when(key % 10 > 1, F.dayofmonth("o_orderdate"))
-        rows = self.raw("orders").select(
+        rows = orders.select(
             key.alias("id"),
             F.when(key % 3 == 0, "digital").otherwise("physical").alias("format"),
             F.round(F.col("o_totalprice") * 100).cast("bigint").alias("price_cents"),
