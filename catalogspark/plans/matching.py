@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.functions import titles
-from catalogspark.operators import matching
+from catalogspark.operators import matching, sweeping
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog, sql
 
@@ -65,6 +65,24 @@ def duplicate_groups(spark, sf_dir):
     return matching.duplicate_groups(Catalog(spark, sf_dir).series.where("status = 'active'"))
 
 
+@register(
+    "duplicate_sweep",
+    sql("series") + f""", {_PAIR_KEYS}, before AS (SELECT id, rank, key FROM keys WHERE id % 10 <> 0), changed AS (SELECT DISTINCT id FROM keys WHERE id % 10 = 0),
+    flagged AS (SELECT x.id AS a, y.id AS b, min(x.rank) AS rank FROM before x JOIN before y ON x.key = y.key AND x.rank = y.rank AND x.id < y.id GROUP BY ALL),
+    found AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, min(x.rank) AS rank FROM keys x JOIN changed USING (id) JOIN keys y ON x.key = y.key AND x.rank = y.rank AND x.id <> y.id GROUP BY ALL)
+    SELECT a, b, CASE WHEN rank = 0 THEN 'title' ELSE 'tokens' END AS reason, CASE WHEN a % 3 = 0 THEN 'distinct' ELSE 'open' END AS state FROM flagged
+    UNION ALL SELECT a, b, CASE WHEN rank = 0 THEN 'title' ELSE 'tokens' END, 'open' FROM found""",
+)
+def duplicate_sweep(spark, sf_dir):
+    """A sweep after a tenth of the series came in, with what an earlier one found and a moderator decided."""
+    c = F.col
+    series = Catalog(spark, sf_dir).series.where("status = 'active'")
+    none = spark.createDataFrame([], "id bigint, rank int, key string"), spark.createDataFrame([], "a bigint, b bigint, reason string, state string")
+    first = sweeping.sweep(series.where("id % 10 <> 0"), *none)
+    decided = first["pairs"].withColumn("state", F.when(c("a") % 3 == 0, "distinct").otherwise(c("state")))
+    return sweeping.sweep(series, first["keys"], decided)["pairs"]
+
+
 @register(
     "label_equality_join",
     """WITH labels AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS label FROM part UNION SELECT DISTINCT ' ' || p_size || '.0' FROM part UNION SELECT 'x' || p_size FROM part)

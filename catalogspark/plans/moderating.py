@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import creation, moderation
+from catalogspark.operators import creation, moderation, settling
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog, sql
 
@@ -173,21 +173,30 @@ def observations_handled(spark, sf_dir):
     return creation.already_handled(observations, proposals, history)
 
 
-@register(
-    "fields_reconciled",
-    """WITH e AS (SELECT event_id, user_id AS record_id, CASE WHEN event_id % 2 = 0 THEN 'pubDate' ELSE 'price' END AS field, event_type AS source, props, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 0 ELSE 1 END AS rank FROM events),
+_OFFERS = """WITH e AS (SELECT event_id, user_id AS record_id, CASE WHEN event_id % 2 = 0 THEN 'pubDate' ELSE 'price' END AS field, event_type AS source, props, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 0 ELSE 1 END AS rank FROM events),
     r AS (SELECT *, lead(source) OVER w AS inc_source, lead(rank) OVER w AS inc_rank, lead(props) OVER w AS cur, row_number() OVER w AS back, max(event_id) OVER (PARTITION BY record_id) AS top FROM e WINDOW w AS (PARTITION BY record_id, field ORDER BY event_id DESC)),
     o AS (SELECT *, CASE WHEN cur IS NULL THEN 'none' WHEN event_id % 7 = 0 THEN 'human' WHEN event_id % 11 = 0 THEN 'unattributed' ELSE 'source' END AS inc,
         field = 'pubDate' AND event_id % 5 <> 0 AS agree, CAST(event_id % 3 AS INTEGER) - 1 AS finer FROM r WHERE back = 1),
     d AS (SELECT *, CASE WHEN cur IS NOT DISTINCT FROM props THEN 'skip' WHEN event_id % 29 = 0 THEN 'queue' WHEN rank <= 0 THEN 'recordOnly' WHEN cur IS NULL AND inc = 'none' THEN 'auto'
         WHEN agree THEN CASE WHEN finer <= 0 THEN 'skip' WHEN inc = 'source' AND (inc_source = source OR rank >= inc_rank) THEN 'auto' WHEN inc = 'source' THEN 'recordOnly' ELSE 'queue' END
         WHEN inc <> 'source' THEN 'queue' WHEN inc_source = source OR rank > inc_rank THEN 'auto' WHEN rank = inc_rank THEN 'queue' ELSE 'recordOnly' END AS act FROM o),
-    s AS (SELECT record_id, field, top, CASE WHEN act = 'queue' AND event_id % 4 = 0 THEN 'suppressed' ELSE act END AS act FROM d)
-    SELECT record_id, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'auto'), '') AS applied, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'queue'), '') AS queued,
+    s AS (SELECT record_id, field, top, props, CASE WHEN act = 'queue' AND event_id % 4 = 0 THEN 'suppressed' ELSE act END AS act FROM d)
+"""
+
+
+@register(
+    "fields_reconciled",
+    _OFFERS + """SELECT record_id, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'auto'), '') AS applied, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'queue'), '') AS queued,
       coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'suppressed'), '') AS suppressed, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'recordOnly'), '') AS recorded,
       CASE WHEN count(*) FILTER (act = 'auto') > 0 THEN any_value(top) + 1 END AS next_seq FROM s GROUP BY record_id""",
 )
 def fields_reconciled(spark, sf_dir):
+    offers, e = _offers(spark, sf_dir)
+    k = F.col("event_id")
+    return creation.reconcile_fields(offers, offers.where(k % 4 == 0), e.select("record_id", k.alias("seq")))
+
+
+def _offers(spark, sf_dir):
     """The last event of a user offers a value for a field that the one before it has set; the date branch is reached."""
     from pyspark.sql import Window
 
@@ -201,4 +210,31 @@ def fields_reconciled(spark, sf_dir):
         "*", incumbent.alias("incumbent"), (k % 29 == 0).alias("overridden"), ((c("field") == "pubDate") & (k % 5 != 0)).alias("dates_agree"), (k % 3 - 1).cast("int").alias("finer"),
         c("source").alias("source_key"), F.md5(F.concat_ws("#", "offered", "event_id")).alias("value_hash"),
     )
-    return creation.reconcile_fields(offers, offers.where(k % 4 == 0), e.select("record_id", c("event_id").alias("seq")))
+    return offers, e
+
+
+@register(
+    "offers_settled",
+    _OFFERS + """, sets AS (SELECT record_id, any_value(top) AS top, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'auto'), '') AS applied, coalesce(string_agg(field, ',' ORDER BY field) FILTER (act = 'queue'), '') AS queued,
+      coalesce(string_agg(field || '=' || props, ';' ORDER BY field) FILTER (act = 'queue'), '') AS asks, string_agg(field || '=' || props, ';' ORDER BY field) AS every FROM s GROUP BY record_id),
+    based AS (SELECT *, top + CASE WHEN applied <> '' THEN 1 ELSE 0 END AS base, record_id % 3 = 0 AS open, CASE WHEN record_id % 2 = 0 THEN top ELSE top - 1 END AS open_base, CASE WHEN record_id % 5 = 0 THEN 'x=1' ELSE every END AS open_asks FROM sets),
+    told AS (SELECT *, queued <> '' AND NOT (open AND open_base = base AND open_asks = asks) AS adds FROM based)
+    SELECT record_id, applied, queued, CASE WHEN adds THEN asks END AS asks, CASE WHEN adds THEN base END AS base, CASE WHEN adds AND open THEN record_id + 1000000 END AS replaces, applied <> '' OR adds AS changed FROM told""",
+)
+def offers_settled(spark, sf_dir):
+    """Every third user has a conflict in review, which stays only where it asks for the same from the same base."""
+    c = F.col
+    offers, e = _offers(spark, sf_dir)
+    offers = offers.withColumn("observation_id", c("record_id"))
+    seqs = e.select("record_id", c("event_id").alias("seq"))
+    every = offers.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "offered"))).alias("every")).join(seqs.groupBy("record_id").agg(F.max("seq").alias("top")), "record_id")
+    r = c("record_id")
+    proposals = every.where(r % 3 == 0).select(
+        (r + 1000000).alias("proposal_id"), r.alias("observation_id"), F.lit("inReview").alias("state"), "record_id", F.when(r % 2 == 0, c("top")).otherwise(c("top") - 1).alias("base"), F.lit(1).alias("ops"),
+        F.when(r % 5 == 0, F.create_map(F.lit("x"), F.lit("1"))).otherwise(c("every")).alias("changes"),
+    )
+    none = offers.limit(0).select("observation_id", "field", "offered")
+    got = settling.settle(offers, proposals, offers.where(c("event_id") % 4 == 0), seqs, none)
+    asks = F.array_join(F.transform(F.array_sort(F.map_entries("changes")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    new = got["queued"].select("record_id", asks.alias("asks"), "base", "replaces")
+    return got["results"].select("record_id", "applied", "queued", "changed").join(new, "record_id", "left")
