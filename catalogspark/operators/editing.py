@@ -57,3 +57,37 @@ def bad_references(ops: DataFrame) -> DataFrame:
     made = ops.where("temp_id IS NOT NULL").groupBy("plan_id", F.col("temp_id").alias("ref")).agg(F.min("position").alias("made_at"))
     rows = ops.where("ref IS NOT NULL").join(made, ["plan_id", "ref"], "left")
     return rows.where("made_at IS NULL OR made_at >= position").select("plan_id", "position", "ref")
+
+
+def sensitive(records: DataFrame, commands: DataFrame) -> dict[str, DataFrame]:
+    """Hiding, restoring, locking and unlocking: ``records (id, status, locked)`` after ``commands (record_id, seq, action)`` in order of ``seq``, and what each command did.
+
+    Only active, unlocked records are hidden and only hidden ones restored (a merge is never reversed by it); active unlocked records are locked, locked ones unlocked. ``told`` is (record_id, seq, field, before, after, problem):
+    a revision's change, or badState, locked or notFound. A record's commands are one array, as their number is that of its moderators' clicks.
+    """
+    c = F.col
+    entry = "array<struct<seq:bigint,field:string,before:string,after:string,problem:string>>"
+    mine = commands.groupBy(c("record_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(c("seq").cast("bigint").alias("seq"), "action"))).alias("cs"))
+    rows = mine.join(records.select("id", "status", F.coalesce("locked", F.lit(False)).alias("locked")), "id", "left")
+    start = F.struct(c("status").alias("status"), c("locked").alias("locked"), F.array().cast(entry).alias("told"))
+
+    def step(s, x):
+        active, hidden, a = s["status"] == "active", s["status"] == "hidden", x["action"]
+        problem = (
+            F.when(s["status"].isNull(), "notFound").when((a == "hide") & active & s["locked"], "locked")
+            .when(F.coalesce((a == "hide") & active | (a == "restore") & hidden | (a == "lock") & active & ~s["locked"] | (a == "unlock") & s["locked"], F.lit(False)), F.lit(None)).otherwise("badState")
+        )
+        done, status = problem.isNull(), a.isin("hide", "restore")
+        field = F.when(done, F.when(status, "status").otherwise("locked"))
+        after_status = F.when(done & (a == "hide"), "hidden").when(done & (a == "restore"), "active").otherwise(s["status"])
+        after_locked = F.when(done & ~status, a == "lock").otherwise(s["locked"])
+        told = F.struct(
+            x["seq"].alias("seq"), field.alias("field"), F.when(done, F.when(status, s["status"]).otherwise(s["locked"].cast("string"))).alias("before"),
+            F.when(done, F.when(status, after_status).otherwise(after_locked.cast("string"))).alias("after"), problem.alias("problem"),
+        )
+        return F.struct(after_status.alias("status"), after_locked.alias("locked"), F.array_append(s["told"], told).cast(entry).alias("told"))
+
+    rows = rows.withColumn("end", F.aggregate("cs", start, step))
+    end = rows.where("status IS NOT NULL").select("id", F.struct("end.status", "end.locked").alias("end"))
+    now = records.join(end, "id", "left").select("id", F.coalesce("end.status", "status").alias("status"), F.coalesce("end.locked", "locked", F.lit(False)).alias("locked"))
+    return {"records": now, "told": rows.select(c("id").alias("record_id"), F.inline("end.told"))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogspark.operators import tables
+
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row for each key: the first in a total order."""
@@ -25,15 +27,13 @@ def survivors(records: DataFrame) -> DataFrame:
     records takes log2(n) joins. Chains that end in a hidden or missing record, and cycles,
     have no survivor. Only merged records take part in the joins.
     """
-    spark = records.sparkSession
     moved = records.where("status = 'merged' AND merged_into IS NOT NULL").select("id", F.col("merged_into").alias("at"), F.lit(1).alias("depth"))
     rounds = max(1, moved.count().bit_length())
     before = -1
     for _ in range(rounds):
         step = moved.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         moved = moved.join(step, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        if spark.sparkContext.getCheckpointDir():
-            moved = moved.checkpoint()
+        moved = tables.stored(moved, "pointers")
         left = moved.agg(F.sum("depth")).first()[0]
         if left == before:
             break

@@ -13,12 +13,20 @@ def repoint(rows: DataFrame, merges: DataFrame, column: str, keys: list[str]) ->
     the loser's row goes, and of several losers' rows the least id stays. ``manifest``: (id, column, before,
     after, removed) for what changed, from which ``undo`` restores the table.
     """
-    m = merges.select(F.col("loser").alias(column), F.col("survivor").alias("after"))
-    moved = rows.join(m, column, "left").withColumn("before", F.col(column)).withColumn(column, F.coalesce("after", column))
-    first = moved.groupBy(*keys).agg(F.min(F.struct(F.col("after").isNotNull().alias("moved"), F.col("id").alias("id"))).alias("best"))
-    marked = moved.join(first, keys).withColumn("removed", F.col("after").isNotNull() & (F.col("best.id") != F.col("id")))
-    manifest = marked.where("after IS NOT NULL").select("id", F.lit(column).alias("column"), "before", "after", "removed")
-    return {"rows": marked.where("NOT removed").select(*rows.columns), "manifest": manifest}
+    c = F.col
+    rest = [k for k in keys if k != column]
+    hit = rows.join(merges.select(c("loser").alias(column), c("survivor").alias("after")), column)
+    removed = F.lit(False)
+    if column in keys:
+        # only rows of losers and of survivors can be equal after the merge
+        own = rows.join(merges.select(c("survivor").alias(column)).distinct(), column, "left_semi").select(*rest, c(column).alias("after")).distinct().withColumn("held", F.lit(True))
+        first = hit.groupBy(*rest, "after").agg(F.min("id").alias("first"))
+        hit = hit.join(first, [*rest, "after"]).join(own, [*rest, "after"], "left")
+        removed = F.coalesce("held", F.lit(False)) | (c("id") != c("first"))
+    changes = hit.select("id", c(column).alias("before"), "after", removed.alias("removed"))
+    put = changes.select("id", c("after").alias("_after"), c("removed").alias("_removed"))
+    moved = rows.join(put, "id", "left").where("NOT coalesce(_removed, false)").withColumn(column, F.coalesce("_after", column))
+    return {"rows": moved.select(*rows.columns), "manifest": changes.select("id", F.lit(column).alias("column"), "before", "after", "removed")}
 
 
 def undo(rows: DataFrame, removed: DataFrame, manifest: DataFrame, column: str) -> DataFrame:

@@ -69,3 +69,15 @@ def follow_suggestions(entries: DataFrame, release_series: DataFrame, follows: D
     """(user_id, series_id): series of which a user owns something and that the user doesn't follow."""
     owned = entries.where("state = 'owned'").select("user_id", "release_id")
     return owned.join(release_series, "release_id").select("user_id", "series_id").distinct().join(follows, ["user_id", "series_id"], "left_anti")
+
+
+def followed(states: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(user_id, series_id): the active series that users follow, each once, merged ones by their survivors. ``states (user_id, series_id, following)``, ``pointers`` of ``lookup.survivors``."""
+    on = states.where("following").join(pointers.select(F.col("id").alias("series_id"), "survivor_id"), "series_id")
+    return on.select("user_id", F.col("survivor_id").alias("series_id")).distinct()
+
+
+def set_preferences(users: DataFrame, commands: DataFrame) -> DataFrame:
+    """``users (id, preference)`` after ``commands (user_id, seq, preference)``: the last one of a user that names physical, digital or both."""
+    last = commands.where("preference IN ('physical', 'digital', 'both')").groupBy(F.col("user_id").alias("id")).agg(F.max_by("preference", "seq").alias("to"))
+    return users.join(last, "id", "left").select("id", F.coalesce("to", "preference").alias("preference"))

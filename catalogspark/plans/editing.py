@@ -83,3 +83,42 @@ def proposal_transitions(spark, sf_dir):
 def plan_bad_references(spark, sf_dir):
     ops = Catalog(spark, sf_dir).raw("lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 8).alias("temp_id"), F.when(F.col("l_linenumber") > 1, F.col("l_suppkey") % 8).alias("ref"))
     return editing.bad_references(ops)
+
+
+_SENSITIVE = """WITH RECURSIVE c AS (SELECT l_partkey AS id, l_orderkey * 100000 + l_suppkey * 10 + l_linenumber AS seq, ['hide', 'restore', 'lock', 'unlock'][CAST((l_orderkey + l_linenumber) % 4 AS INTEGER) + 1] AS action FROM lineitem WHERE l_quantity < 12),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, action) AS k FROM c),
+    walk(id, k, seq, status, locked, action, was, held, problem) AS (
+      SELECT p_partkey, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CASE WHEN p_partkey % 10 = 7 THEN 'merged' WHEN p_partkey % 11 = 0 THEN 'hidden' ELSE 'active' END, p_partkey % 13 = 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR) FROM part
+      UNION ALL SELECT w.id, n.k, n.seq,
+        CASE WHEN n.action = 'hide' AND w.status = 'active' AND NOT w.locked THEN 'hidden' WHEN n.action = 'restore' AND w.status = 'hidden' THEN 'active' ELSE w.status END,
+        CASE WHEN n.action = 'lock' AND w.status = 'active' THEN true WHEN n.action = 'unlock' THEN false ELSE w.locked END, n.action, w.status, w.locked,
+        CASE WHEN n.action = 'hide' AND w.status = 'active' THEN CASE WHEN w.locked THEN 'locked' END WHEN n.action = 'restore' AND w.status = 'hidden' THEN NULL WHEN n.action = 'lock' AND w.status = 'active' AND NOT w.locked THEN NULL
+          WHEN n.action = 'unlock' AND w.locked THEN NULL ELSE 'badState' END
+      FROM walk w JOIN n ON n.id = w.id AND n.k = w.k + 1)
+"""
+
+
+def _sensitive(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    k = F.col("id")
+    records = c.raw("part").select(F.col("p_partkey").alias("id")).select("id", F.when(k % 10 == 7, "merged").when(k % 11 == 0, "hidden").otherwise("active").alias("status"), (k % 13 == 0).alias("locked"))
+    n = (F.col("l_orderkey") + F.col("l_linenumber")) % 4 + 1
+    commands = c.raw("lineitem").where("l_quantity < 12").select(
+        F.col("l_partkey").alias("record_id"), (F.col("l_orderkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("seq"), F.element_at(F.array(*map(F.lit, ["hide", "restore", "lock", "unlock"])), n.cast("int")).alias("action")
+    )
+    return editing.sensitive(records, commands)
+
+
+@register("records_moderated", _SENSITIVE + "SELECT id, arg_max(status, k) AS status, arg_max(locked, k) AS locked FROM walk GROUP BY id")
+def records_moderated(spark, sf_dir):
+    return _sensitive(spark, sf_dir)["records"]
+
+
+@register(
+    "moderation_told",
+    _SENSITIVE + """SELECT id AS record_id, seq, CASE WHEN problem IS NULL THEN CASE WHEN action IN ('hide', 'restore') THEN 'status' ELSE 'locked' END END AS field,
+      CASE WHEN problem IS NULL THEN CASE WHEN action IN ('hide', 'restore') THEN was ELSE CAST(held AS VARCHAR) END END AS before,
+      CASE WHEN problem IS NULL THEN CASE WHEN action IN ('hide', 'restore') THEN status ELSE CAST(locked AS VARCHAR) END END AS after, problem FROM walk WHERE k > 0""",
+)
+def moderation_told(spark, sf_dir):
+    return _sensitive(spark, sf_dir)["told"]

@@ -100,3 +100,25 @@ def public_profile_entries(spark, sf_dir):
 def follow_suggestions(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     return tracking.follow_suggestions(c.entries, c.release_series, c.follows)
+
+
+@register(
+    "followed_series",
+    sql("series", "survivors", "follows") + "SELECT DISTINCT user_id, survivor_id AS series_id FROM follows JOIN survivors ON id = series_id WHERE user_id % 5 <> 0",
+)
+def followed_series(spark, sf_dir):
+    from catalogspark.operators import lookup
+
+    c = Catalog(spark, sf_dir)
+    return tracking.followed(c.follows.withColumn("following", F.col("user_id") % 5 != 0), lookup.survivors(c.series))
+
+
+@register(
+    "preferences_set",
+    sql("users") + """, last AS (SELECT user_id, arg_max(kind, event_id) AS kind FROM (SELECT user_id, event_id, ['physical', 'digital', 'both', 'paper'][CAST(event_id % 4 AS INTEGER) + 1] AS kind FROM events) WHERE kind <> 'paper' GROUP BY user_id)
+    SELECT id, coalesce(kind, preference) AS preference FROM users LEFT JOIN last ON user_id = id""",
+)
+def preferences_set(spark, sf_dir):
+    c, k = Catalog(spark, sf_dir), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["physical", "digital", "both", "paper"])), (k % 4 + 1).cast("int"))
+    return tracking.set_preferences(c.users.select("id", "preference"), c.raw("events").select("user_id", k.alias("seq"), kind.alias("preference")))
