@@ -1,9 +1,10 @@
 """URL filter by association rules, with DataFrame functions only.
 
 A page's tokens are the parts of its host, the words of its path and the keys of its query. Tokens that the labelled pages
-hold on the very same pages are one item (a template's query keys, say), and a labelled page gives the miner its
-``MOST_ITEMS`` items that tell most, so that a page has a bounded number of combinations. FP-growth mines these together with
-the label; combinations that come with the label "poor" with enough support and confidence, and that no shorter rule of the
+hold on the very same pages are one item (a template's query keys, say). FP-growth mines the items together with the label. A
+rule has ``MOST_TOKENS`` items at most, so a page of many items is mined in parts: its items are cut into blocks of ``BLOCK``,
+and each choice of ``MOST_TOKENS`` blocks is a basket. Any combination that can be a rule is whole in some basket of each page that has it, so none is lost, and
+a basket's combinations stay few. What is found so is counted again over whole pages; combinations that come with the label "poor" with enough support and confidence, and that no shorter rule of the
 same confidence covers, become rules. A rule's item stands for any of its tokens. A rule is filed under its rarest item's
 tokens; a page's tokens look up the rules, which are then compared whole.
 
@@ -26,8 +27,8 @@ NAME = "op8_url"
 SAMPLE = 50_000
 #: Least pages of a rule, least share of them that are poor, and most tokens of a rule.
 LEAST, CONFIDENCE, MOST_TOKENS = 20, 0.7, 4
-#: Items of a labelled page that the miner sees.
-MOST_ITEMS = 12
+#: Items of a block; a basket holds ``MOST_TOKENS`` blocks.
+BLOCK = 3
 _POOR = "label=poor"
 #: Fixed values: (host, path, verdict).
 LISTED = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -60,6 +61,20 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return F.array_max(F.filter(every, fits))
 
 
+def baskets(sets: DataFrame, length: int = MOST_TOKENS, block: int = BLOCK) -> DataFrame:
+    """``sets (items, poor)`` with each row's items cut into blocks: a row for each choice of ``length`` blocks, one row where there are no more.
+
+    Any ``length`` items of a set are in one of its rows together. A set of b blocks gives b!/(length! (b - length)!) rows, exploded one block at a time.
+    """
+    blocks = F.ceil(F.size("items") / block).cast("int")
+    few = sets.where(blocks <= length).select("items", "poor")
+    rows = sets.where(blocks > length).withColumn("part", F.array().cast("array<string>")).withColumn("next", F.lit(0))
+    for left in range(length - 1, -1, -1):
+        rows = rows.select("items", "poor", "part", F.explode(F.sequence("next", blocks - 1 - left)).alias("at"))
+        rows = rows.select("items", "poor", F.concat("part", F.slice("items", F.col("at") * block + 1, block)).alias("part"), (F.col("at") + 1).alias("next"))
+    return few.unionByName(rows.select(F.col("part").alias("items"), "poor"))
+
+
 def mine(pages: DataFrame, labels: DataFrame, page_column: str = "page_id", sample: int = SAMPLE, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """(items, index, confidence): rules from ``pages (page_column, url)`` and ``labels (doc_id, quality)``.
 
@@ -80,18 +95,20 @@ def mine(pages: DataFrame, labels: DataFrame, page_column: str = "page_id", samp
     of = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("int")).alias("p"), exact(1), exact(2))
     # items that few poor pages have can't be part of a rule
     items = of.where(F.col("p") >= int(least * confidence)).groupBy("n", "p", "h1", "h2").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    items = stored(items.select(F.col("tokens")[0].alias("item"), "tokens", "n", (F.abs(F.col("p") - F.col("n") * bad / n)).alias("tells")), "items")
-    has = seen.select("row", "poor", F.explode("tokens").alias("item")).join(F.broadcast(items), "item")
-    most = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("tells"), "item"))), 1, MOST_ITEMS)["item"]
-    sets = has.groupBy("row", "poor").agg(most.alias("items"))
-    sets = sets.select(F.when(F.col("poor"), F.array_append("items", F.lit(_POOR))).otherwise(F.col("items")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least * confidence / n), minConfidence=confidence).fit(stored(sets, "sets"))
-    rules = found.associationRules.where(F.array_contains("consequent", _POOR) & (F.size("antecedent") <= MOST_TOKENS))
-    rules = stored(rules.select(F.sort_array("antecedent").alias("names")), "names")
+    items = stored(items.select(F.col("tokens")[0].alias("item"), "tokens", "n"), "items")
+    has = seen.select("row", "poor", F.explode("tokens").alias("item")).join(items.select("item"), "item")
+    held = stored(has.groupBy("row", "poor").agg(F.sort_array(F.collect_set("item")).alias("items")), "held")
+    # a rule's support is that of its items on poor pages, so only those are mined
+    sets = stored(baskets(held.where("poor")).select(F.array_append("items", F.lit(_POOR)).alias("items")), "sets")
+    # counted in baskets a combination has no less than its pages; half a page less keeps the share's rounding from losing one
+    share = (least * confidence - 0.5) / max(sets.count(), 1)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, share))).fit(sets).freqItemsets
+    names = F.sort_array(F.array_remove("items", _POOR))
+    rules = found.where(F.array_contains("items", _POOR)).select(names.alias("names")).where((F.size("names") > 0) & (F.size("names") <= MOST_TOKENS))
+    rules = stored(rules, "names")
     # support and confidence over all labelled pages and all their items
-    held = has.groupBy("row", "poor").agg(F.collect_set("item").alias("own"))
-    first = rules.select("names", F.explode("names").alias("item")).join(F.broadcast(items.select("item", "n")), "item").groupBy("names").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
-    hits = held.select("own", "poor", F.explode("own").alias("item")).join(F.broadcast(first), "item").where(F.size(F.array_except("names", "own")) == 0)
+    first = rules.select("names", F.explode("names").alias("item")).join(items.select("item", "n"), "item").groupBy("names").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    hits = held.select(F.col("items").alias("own"), "poor", F.explode("items").alias("item")).join(first, "item").where(F.size(F.array_except("names", "own")) == 0)
     counts = hits.groupBy("names").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("int")).alias("p"))
     sure = F.col("p") / F.col("n")
     rules = stored(counts.where((F.col("p") >= least * confidence) & (sure >= confidence) & (sure > bad / n)).join(first, "names").select("names", "item", sure.alias("confidence")), "rules")
@@ -99,7 +116,7 @@ def mine(pages: DataFrame, labels: DataFrame, page_column: str = "page_id", samp
     covered = rules.select("names", "confidence", F.explode("names").alias("item")).join(short, "item")
     covered = covered.where((F.size("few") < F.size("names")) & (F.size(F.array_except("few", "names")) == 0) & (F.col("sure") >= F.col("confidence")))
     rules = rules.join(covered.select("names").distinct(), "names", "left_anti").withColumnRenamed("item", "rare")
-    whole = rules.select("*", F.explode("names").alias("item")).join(F.broadcast(items.select("item", "tokens")), "item")
+    whole = rules.select("*", F.explode("names").alias("item")).join(items.select("item", "tokens"), "item")
     whole = whole.groupBy("names", "rare", "confidence").agg(F.sort_array(F.collect_list("tokens")).alias("items"), F.max(F.when(F.col("item") == F.col("rare"), F.col("tokens"))).alias("index"))
     return stored(whole.select("items", "index", "confidence"), "rules")
 
