@@ -79,7 +79,20 @@ def volume_label(labels, any_partial) -> Column:
 
 def volume_title(series_title, label) -> Column:
     """Series title, with the volume where it has a label."""
-    return F.when(_col(label).isNull(), _col(series_title)).otherwise(F.concat(_col(series_title), F.lit(", Vol. "), _col(label)))
+    return F.when(_col(label).isNull(), _col(series_title)).otherwise(F.concat(_col(series_title), F.lit(" Vol "), _col(label)))
+
+
+def edition_title(series_title, line_name, line_position, covered) -> Column:
+    """Title of an edition: by its line and place there, else by the first and last of ``covered array<struct<label, position, ..>>``.
+
+    Without a series it is an "Edition"; a lone volume without a label isn't named, one of several goes by its position.
+    """
+    series, a = F.coalesce(_col(series_title), F.lit("Edition")), _col(covered)
+    name = lambda v: F.coalesce(v["label"], v["position"].cast("string"))
+    first, last, many = F.get(a, F.lit(0)), F.get(a, F.size(a) - 1), F.coalesce(F.size(a), F.lit(0))
+    by_line = F.concat(series, F.lit(" "), _col(line_name), F.coalesce(F.concat(F.lit(" "), _col(line_position)), F.lit("")))
+    by_volumes = F.when(many < 1, series).when(many == 1, volume_title(series, first["label"])).otherwise(F.concat(series, F.lit(" Vol "), name(first), F.lit("–"), name(last)))
+    return F.when(_col(line_name).isNotNull(), by_line).otherwise(by_volumes)
 
 
 #: Fixed value: words of packaging that make an edition line.

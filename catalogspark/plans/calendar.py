@@ -171,15 +171,16 @@ def series_reading_path(spark, sf_dir):
 
 @register(
     "edition_titles",
-    _ROWS_SQL + """SELECT n.release_id, (SELECT title FROM series WHERE series.id = n.first_series_id) || CASE WHEN l.label IS NULL OR l.label = '' THEN '' ELSE ', ' || l.label END AS edition_title
-    FROM named n LEFT JOIN label_texts l ON l.release_id = n.release_id""",
+    sql("series", "volumes", "coverage") + """SELECT release_id, t[1] || CASE WHEN n = 1 THEN ' Vol ' || l[1] ELSE ' Vol ' || l[1] || '–' || l[n] END AS edition_title
+    FROM (SELECT c.release_id, list(s.title ORDER BY c.series_id, c.position) AS t, list(v.label ORDER BY c.series_id, c.position) AS l, count(*) AS n
+      FROM coverage c JOIN volumes v ON v.id = c.volume_id JOIN series s ON s.id = v.series_id AND s.status = 'active' GROUP BY c.release_id)""",
 )
 def edition_titles(spark, sf_dir):
     c = Catalog(spark, sf_dir)
-    rows = browse.release_rows(c.releases, c.series, c.release_series, c.coverage, c.volumes, c.publishers)
-    first = c.series.select(F.col("id").alias("first_series_id"), "title")
-    text = F.when(F.col("label") == "", F.col("title")).otherwise(F.concat_ws(", ", "title", "label"))
-    return rows.select("release_id", "first_series_id", "label").join(first, "first_series_id").select("release_id", text.alias("edition_title"))
+    rows = c.coverage.join(c.volumes.select(F.col("id").alias("volume_id"), "label"), "volume_id").join(c.series.where("status = 'active'").select(F.col("id").alias("series_id"), "title"), "series_id")
+    covered = rows.groupBy("release_id").agg(F.sort_array(F.collect_list(F.struct("series_id", "position", "label", "title"))).alias("covered"))
+    none = F.lit(None).cast("string")
+    return covered.select("release_id", titles.edition_title(F.col("covered")[0]["title"], none, none, "covered").alias("edition_title"))
 
 
 @register(

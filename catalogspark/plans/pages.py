@@ -16,7 +16,7 @@ SITE = "Catalog"
 @register(
     "page_titles",
     sql("publishers", "series") + f"""SELECT 'series' AS kind, id, title || ' – English Manga Volumes & Release Dates | {SITE}' AS tag FROM series
-    UNION ALL SELECT 'volume', p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_name || ', Vol. ' || p_size END || ' – English Editions & Release Dates | {SITE}' FROM part
+    UNION ALL SELECT 'volume', p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_name || ' Vol ' || p_size END || ' – English Editions & Release Dates | {SITE}' FROM part
     UNION ALL SELECT 'edition', p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (' || p_brand || ')' END || ' – ISBN & Release Date | {SITE}' FROM part
     UNION ALL SELECT 'bundle', p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (' || p_brand || ')' END || ' – Box Set ISBN & Release Date | {SITE}' FROM part
     UNION ALL SELECT 'publisher', id, name || ' – Manga Releases & Upcoming Books | {SITE}' FROM publishers
