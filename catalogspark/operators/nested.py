@@ -78,33 +78,48 @@ def _edition_releases(shelf: Shelf) -> DataFrame:
     return _listed(rows, "edition_id", "releases", [day, F.col("id")], item, F.sort_array(cover).alias("covers"))
 
 
-def editions_whole(shelf: Shelf) -> DataFrame:
-    """Active editions (id, title, publisher, any_publisher, line_name, line_position, coverage, on_series, releases, covers).
-
-    ``coverage`` holds active volumes of active series in their order, ``on_series`` active volumes of any series, as a series' page lists them;
-    ``publisher`` is null unless active, ``any_publisher`` isn't.
-    """
+def _covers(shelf: Shelf) -> DataFrame:
+    """(id, coverage, on_series) of every edition: active volumes of active series in their order, and active volumes of any series."""
     volumes = _live(shelf.volumes).select(F.col("id").alias("volume_id"), "series_id", "position", "label")
     series = shelf.series.select(F.col("id").alias("series_id"), F.when(F.col("status") == "active", F.col("title")).alias("series_title"))
     rows = shelf.coverage.join(volumes, "volume_id").join(series, "series_id", "left")
     shown = F.struct("volume_id", "position", "label", titles.volume_title("series_title", "label").alias("title"), "extent", F.struct(F.col("series_id").alias("id"), F.col("series_title").alias("title")).alias("series"))
     plain = F.struct("volume_id", "position", "label", "extent")
     covers = _listed(rows, "edition_id", "every", [F.col("place"), F.col("volume_id")], F.struct(shown.alias("shown"), plain.alias("plain"), F.col("series_title").isNotNull().alias("open")))
-    covers = covers.select(
+    return covers.select(
         F.col("edition_id").alias("id"),
         F.transform(F.filter("every", lambda x: x["open"]), lambda x: x["shown"]).alias("coverage"),
         F.transform("every", lambda x: x["plain"]).alias("on_series"),
     )
+
+
+def _titled(editions: DataFrame, shelf: Shelf) -> DataFrame:
+    """``editions`` with ``line_name``, ``coverage``, ``on_series`` and ``title``."""
     lines = _live(shelf.lines).select(F.col("id").alias("line_id"), F.col("name").alias("line_name"))
-    who = F.struct("name", "slug")
-    publishers = shelf.publishers.select(F.col("id").alias("publisher_id"), who.alias("any_publisher"), F.when(F.col("status") == "active", who).alias("publisher"))
-    rows = _live(shelf.editions).select("id", "publisher_id", "line_id", "line_position")
-    rows = rows.join(covers, "id", "left").join(_edition_releases(shelf).withColumnRenamed("edition_id", "id"), "id", "left").join(lines, "line_id", "left").join(publishers, "publisher_id", "left")
-    rows = rows.select("id", "publisher", "any_publisher", "line_name", "line_position", *[_or_none(rows, c) for c in ("coverage", "on_series", "releases", "covers")])
+    rows = editions.join(_covers(shelf), "id", "left").join(lines, "line_id", "left")
+    rows = rows.select(*editions.columns, "line_name", _or_none(rows, "coverage"), _or_none(rows, "on_series"))
     first = F.get("coverage", F.lit(0))["series"]["title"]
     return rows.withColumn("title", titles.edition_title(first, "line_name", "line_position", "coverage"))
 
 
+def edition_titles(shelf: Shelf) -> DataFrame:
+    """(id, status, title) of every edition, whatever its status."""
+    return _titled(shelf.editions.select("id", "status", "line_id", "line_position"), shelf).select("id", "status", "title")
+
+
+def editions_whole(shelf: Shelf) -> DataFrame:
+    """Active editions (id, title, publisher, any_publisher, line_name, line_position, coverage, on_series, releases, covers).
+
+    ``coverage`` holds active volumes of active series in their order, ``on_series`` active volumes of any series, as a series' page lists them;
+    ``publisher`` is null unless active, ``any_publisher`` isn't.
+    """
+    who = F.struct("name", "slug")
+    publishers = shelf.publishers.select(F.col("id").alias("publisher_id"), who.alias("any_publisher"), F.when(F.col("status") == "active", who).alias("publisher"))
+    rows = _titled(_live(shelf.editions).select("id", "publisher_id", "line_id", "line_position"), shelf)
+    rows = rows.join(_edition_releases(shelf).withColumnRenamed("edition_id", "id"), "id", "left").join(publishers, "publisher_id", "left")
+    return rows.select("id", "publisher", "any_publisher", "line_name", "line_position", "title", "coverage", "on_series", _or_none(rows, "releases"), _or_none(rows, "covers"))
+
+
 def edition_pages(shelf: Shelf) -> DataFrame:
     """(id, title, publisher, line_name, line_position, series, coverage, releases, cover): a row an active edition; its series as they are first met."""
     series = F.array_distinct(F.transform("coverage", lambda x: x["series"]))

@@ -39,12 +39,13 @@ cov AS (SELECT c.edition_id, c.place, c.extent, v.id AS volume_id, v.position, v
 covs AS (SELECT edition_id, list(struct_pack(volume_id := volume_id, position := position, label := label, extent := extent) ORDER BY place, volume_id) AS on_series,
   list(struct_pack(volume_id := volume_id, position := position, label := label, title := series_title || coalesce(' Vol ' || label, ''), extent := extent, series := struct_pack(id := series_id, title := series_title)) ORDER BY place, volume_id)
     FILTER (series_title IS NOT NULL) AS coverage FROM cov GROUP BY edition_id),
-eds AS (SELECT e.id, e.line_position, l.name AS line_name, c.coverage, coalesce(c.coverage, []) AS shown, coalesce(c.on_series, []) AS on_series, coalesce(r.releases, []) AS releases, r.cover, r.early,
+eds_all AS (SELECT e.id, e.status, e.line_position, l.name AS line_name, c.coverage, coalesce(c.coverage, []) AS shown, coalesce(c.on_series, []) AS on_series, coalesce(r.releases, []) AS releases, r.cover, r.early,
     CASE WHEN p.id IS NOT NULL THEN struct_pack(name := p.name, slug := p.slug) END AS any_publisher, CASE WHEN p.status = 'active' THEN struct_pack(name := p.name, slug := p.slug) END AS publisher,
     coalesce(c.coverage[1].series.title, 'Edition') || CASE WHEN l.name IS NOT NULL THEN ' ' || l.name || coalesce(' ' || e.line_position, '')
       WHEN c.coverage IS NULL THEN '' WHEN len(c.coverage) = 1 THEN coalesce(' Vol ' || c.coverage[1].label, '')
       ELSE ' Vol ' || coalesce(c.coverage[1].label, CAST(c.coverage[1].position AS VARCHAR)) || '–' || coalesce(c.coverage[-1].label, CAST(c.coverage[-1].position AS VARCHAR)) END AS title
-  FROM n_editions e LEFT JOIN n_lines l ON l.id = e.line_id AND l.status = 'active' LEFT JOIN publishers p ON p.id = e.publisher_id LEFT JOIN rels r ON r.edition_id = e.id LEFT JOIN covs c ON c.edition_id = e.id WHERE e.status = 'active')
+  FROM n_editions e LEFT JOIN n_lines l ON l.id = e.line_id AND l.status = 'active' LEFT JOIN publishers p ON p.id = e.publisher_id LEFT JOIN rels r ON r.edition_id = e.id LEFT JOIN covs c ON c.edition_id = e.id),
+eds AS (SELECT * EXCLUDE (status) FROM eds_all WHERE status = 'active')
 """
 
 
