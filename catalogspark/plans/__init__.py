@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds", "pages", "moderating", "people", "reading", "importing", "approving", "transferring", "nested", "reporting", "histories")
+_MODULES = ("calendar", "matching", "reconciling", "monitoring", "tracking", "merging", "editing", "stream", "feeds", "pages", "moderating", "people", "reading", "importing", "approving", "transferring", "nested", "reporting", "histories", "linking")
 
 
 def load() -> None:
