@@ -8,35 +8,42 @@ from catalogspark.operators import merging
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog, sql
 
-_SQL = """, merges AS (SELECT id AS loser, min(survivor_id) AS survivor FROM survivors WHERE depth > 0 GROUP BY id),
-rows AS (SELECT release_id * 100000 + series_id AS id, release_id, series_id FROM release_series),
+#: A row's id is its release times this, plus its series: unique below ten billion series.
+_STEP = 10_000_000_000
+#: The manifest's ids are told by its SQL, and unique below 100,000 series only.
+_MANIFEST_STEP = 100_000
+
+
+def _marked(step: int) -> str:
+    return f""", merges AS (SELECT id AS loser, min(survivor_id) AS survivor FROM survivors WHERE depth > 0 GROUP BY id),
+rows AS (SELECT release_id * {step} + series_id AS id, release_id, series_id FROM release_series),
 moved AS (SELECT r.id, r.release_id, coalesce(m.survivor, r.series_id) AS series_id, r.series_id AS before, m.survivor AS after FROM rows r LEFT JOIN merges m ON m.loser = r.series_id),
 marked AS (SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY release_id, series_id ORDER BY after IS NOT NULL, id) > 1 AS removed FROM moved)
 """
 
 
-def _parts(spark, sf_dir):
+def _parts(spark, sf_dir, step=_STEP):
     from catalogspark.operators import lookup
 
     c = Catalog(spark, sf_dir)
     merges = lookup.survivors(c.series).where("depth > 0").groupBy(F.col("id").alias("loser")).agg(F.min("survivor_id").alias("survivor"))
-    rows = c.release_series.withColumn("id", F.col("release_id") * 100000 + F.col("series_id")).select("id", "release_id", "series_id")
+    rows = c.release_series.withColumn("id", F.col("release_id") * step + F.col("series_id")).select("id", "release_id", "series_id")
     return c, merges, rows
 
 
-@register("merge_repoint", sql("series", "survivors", "release_series") + _SQL + "SELECT id, release_id, series_id FROM marked WHERE NOT removed")
+@register("merge_repoint", sql("series", "survivors", "release_series") + _marked(_STEP) + "SELECT id, release_id, series_id FROM marked WHERE NOT removed")
 def merge_repoint(spark, sf_dir):
     _, merges, rows = _parts(spark, sf_dir)
     return merging.repoint(rows, merges, "series_id", ["release_id", "series_id"])["rows"]
 
 
-@register("merge_manifest", sql("series", "survivors", "release_series") + _SQL + "SELECT id, 'series_id' AS \"column\", before, after, removed FROM marked WHERE after IS NOT NULL")
+@register("merge_manifest", sql("series", "survivors", "release_series") + _marked(_MANIFEST_STEP) + "SELECT id, 'series_id' AS \"column\", before, after, removed FROM marked WHERE after IS NOT NULL")
 def merge_manifest(spark, sf_dir):
-    _, merges, rows = _parts(spark, sf_dir)
+    _, merges, rows = _parts(spark, sf_dir, _MANIFEST_STEP)
     return merging.repoint(rows, merges, "series_id", ["release_id", "series_id"])["manifest"]
 
 
-@register("split_undo", sql("release_series") + "SELECT release_id * 100000 + series_id AS id, release_id, series_id FROM release_series")
+@register("split_undo", sql("release_series") + f"SELECT release_id * {_STEP} + series_id AS id, release_id, series_id FROM release_series")
 def split_undo(spark, sf_dir):
     """Merge, then undo: the table as it was."""
     _, merges, rows = _parts(spark, sf_dir)
