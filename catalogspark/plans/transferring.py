@@ -8,8 +8,15 @@ from catalogspark.operators import transfers
 from catalogspark.registry import register
 from catalogspark.sources.fixture import Catalog
 
+#: A member's id is its bundle times this, plus ten times its release and a line: unique below 10^11 releases.
+_STEP = 1_000_000_000_000
+#: The log's ids are told by its SQL, and unique below a million releases only.
+_LOG_STEP = 10_000_000
+
+
 #: Orders stand for releases (those that leave 1 over four merge into the one before), suppliers for bundles (3 over five into the one before), line items for what refers to them.
-_TABLES = """WITH members AS (SELECT min(l_linenumber) + l_suppkey * 10000000 + l_orderkey * 10 AS id, l_suppkey AS bundle_id, l_orderkey AS release_id, CAST(min(l_linenumber) AS BIGINT) AS position FROM lineitem GROUP BY l_suppkey, l_orderkey),
+def _tables(step: int) -> str:
+    return f"""WITH members AS (SELECT min(l_linenumber) + l_suppkey * {step} + l_orderkey * 10 AS id, l_suppkey AS bundle_id, l_orderkey AS release_id, CAST(min(l_linenumber) AS BIGINT) AS position FROM lineitem GROUP BY l_suppkey, l_orderkey),
     entries AS (SELECT o_orderkey AS id, o_custkey % 40 AS user_id, o_orderkey AS release_id FROM orders),
     merges AS (SELECT b.o_orderkey AS loser, a.o_orderkey AS survivor FROM orders b JOIN orders a ON a.o_orderkey = b.o_orderkey - 1 WHERE b.o_orderkey % 4 = 1),
     moved AS (SELECT m.*, survivor, bool_or(survivor IS NULL) OVER w AS held, row_number() OVER (PARTITION BY bundle_id, coalesce(survivor, release_id), survivor IS NULL ORDER BY release_id, id) AS n
@@ -17,10 +24,10 @@ _TABLES = """WITH members AS (SELECT min(l_linenumber) + l_suppkey * 10000000 +
 """
 
 
-def _release_merge(spark, sf_dir):
+def _release_merge(spark, sf_dir, step=_STEP):
     c, cat = F.col, Catalog(spark, sf_dir)
     members = cat.raw("lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linenumber").cast("bigint").alias("position"))
-    members = members.select((c("position") + c("l_suppkey") * 10000000 + c("l_orderkey") * 10).alias("id"), c("l_suppkey").alias("bundle_id"), c("l_orderkey").alias("release_id"), F.lit(None).cast("bigint").alias("variant_id"), "position")
+    members = members.select((c("position") + c("l_suppkey") * step + c("l_orderkey") * 10).alias("id"), c("l_suppkey").alias("bundle_id"), c("l_orderkey").alias("release_id"), F.lit(None).cast("bigint").alias("variant_id"), "position")
     orders = cat.raw("orders").select(c("o_orderkey").alias("id"), (c("o_custkey") % 40).alias("user_id"))
     entries = orders.select("id", "user_id", c("id").alias("release_id"))
     releases = orders.select("id", F.lit("active").alias("status"), F.lit(False).alias("locked"), F.lit(None).cast("bigint").alias("merged_into"))
@@ -31,20 +38,20 @@ def _release_merge(spark, sf_dir):
 
 @register(
     "merge_log",
-    _TABLES + """SELECT survivor, release_id AS loser, 'bundle_members' AS "table", id AS row_id, CASE WHEN held OR n > 1 THEN 'remove' ELSE 'repoint' END AS action FROM moved WHERE survivor IS NOT NULL
+    _tables(_LOG_STEP) + """SELECT survivor, release_id AS loser, 'bundle_members' AS "table", id AS row_id, CASE WHEN held OR n > 1 THEN 'remove' ELSE 'repoint' END AS action FROM moved WHERE survivor IS NOT NULL
     UNION ALL SELECT survivor, e.release_id, 'entries', e.id, CASE WHEN h.user_id IS NOT NULL THEN 'remove' ELSE 'repoint' END FROM entries e JOIN merges m ON m.loser = e.release_id LEFT JOIN (SELECT user_id, release_id FROM entries) h ON h.user_id = e.user_id AND h.release_id = m.survivor""",
 )
 def merge_log(spark, sf_dir):
     """What merging releases did to bundles and collections."""
-    return _release_merge(spark, sf_dir)[1][1].where("action <> 'merge'").select("survivor", "loser", "table", "row_id", "action")
+    return _release_merge(spark, sf_dir, _LOG_STEP)[1][1].where("action <> 'merge'").select("survivor", "loser", "table", "row_id", "action")
 
 
-@register("merge_members", _TABLES + "SELECT id, bundle_id, coalesce(survivor, release_id) AS release_id, position FROM moved WHERE survivor IS NULL OR NOT held AND n = 1")
+@register("merge_members", _tables(_STEP) + "SELECT id, bundle_id, coalesce(survivor, release_id) AS release_id, position FROM moved WHERE survivor IS NULL OR NOT held AND n = 1")
 def merge_members(spark, sf_dir):
     return _release_merge(spark, sf_dir)[1][0]["bundle_members"].drop("variant_id")
 
 
-@register("merge_split_back", _TABLES + "SELECT id, bundle_id AS one, release_id AS two, 'member' AS kind FROM members UNION ALL SELECT id, user_id, release_id, 'entry' FROM entries UNION ALL SELECT o_orderkey, NULL, NULL, 'active' FROM orders")
+@register("merge_split_back", _tables(_STEP) + "SELECT id, bundle_id AS one, release_id AS two, 'member' AS kind FROM members UNION ALL SELECT id, user_id, release_id, 'entry' FROM entries UNION ALL SELECT o_orderkey, NULL, NULL, 'active' FROM orders")
 def merge_split_back(spark, sf_dir):
     """Merged releases merge again with what their survivors' bundles hold, then both merges are split: the tables are as they were."""
     c = F.col
@@ -61,7 +68,7 @@ def merge_split_back(spark, sf_dir):
 
 @register(
     "merge_bundle_order",
-    """WITH members AS (SELECT l_suppkey AS bundle_id, l_orderkey AS release_id, min(l_linenumber) + l_suppkey * 10000000 + l_orderkey * 10 AS id, CAST(min(l_linenumber) AS BIGINT) AS position FROM lineitem GROUP BY 1, 2),
+    f"""WITH members AS (SELECT l_suppkey AS bundle_id, l_orderkey AS release_id, min(l_linenumber) + l_suppkey * {_STEP} + l_orderkey * 10 AS id, CAST(min(l_linenumber) AS BIGINT) AS position FROM lineitem GROUP BY 1, 2),
     merges AS (SELECT s_suppkey AS loser, s_suppkey - s_suppkey % 5 AS survivor FROM supplier WHERE s_suppkey % 5 IN (3, 4) AND s_suppkey >= 5),
     moved AS (SELECT m.*, survivor, bool_or(survivor IS NULL) OVER w AS held, row_number() OVER (PARTITION BY coalesce(survivor, bundle_id), release_id, survivor IS NULL ORDER BY bundle_id, id) AS n
       FROM members m LEFT JOIN merges ON loser = bundle_id WINDOW w AS (PARTITION BY coalesce(survivor, bundle_id), release_id)),
@@ -75,7 +82,7 @@ def merge_bundle_order(spark, sf_dir):
     """Two bundles of five go into the first of the five, their members behind its last, one bundle after the other."""
     c, cat = F.col, Catalog(spark, sf_dir)
     members = cat.raw("lineitem").groupBy(c("l_suppkey").alias("bundle_id"), c("l_orderkey").alias("release_id")).agg(F.min("l_linenumber").cast("bigint").alias("position"))
-    members = members.select((c("position") + c("bundle_id") * 10000000 + c("release_id") * 10).alias("id"), "bundle_id", "release_id", F.lit(None).cast("bigint").alias("variant_id"), "position")
+    members = members.select((c("position") + c("bundle_id") * _STEP + c("release_id") * 10).alias("id"), "bundle_id", "release_id", F.lit(None).cast("bigint").alias("variant_id"), "position")
     s = cat.raw("supplier").select(c("s_suppkey").alias("id"))
     bundles = s.select("id", F.lit("active").alias("status"), F.lit(False).alias("locked"), F.lit(None).cast("bigint").alias("merged_into"))
     merges = s.where("id % 5 IN (3, 4) AND id >= 5").select(c("id").alias("loser"), (c("id") - c("id") % 5).alias("survivor"))
