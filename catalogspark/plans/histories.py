@@ -54,7 +54,7 @@ def series_history(spark, sf_dir):
     none = F.lit(None).cast("string")
     change = lambda where, place, field, before, after: revisions.where(where).select("record_id", "seq", F.lit(place).alias("place"), F.lit(field).alias("field"), before.alias("before"), after.alias("after"))
     changes = change("n % 3 = 0", 0, "altTitles", F.lit("b"), none).unionByName(change("n % 2 = 1", 1, "title", none, F.concat(F.lit("a"), F.col("n").cast("string"))))
-    return _json(nested.requested(histories.histories(c.series, revisions.drop("n"), changes, c.users), c.series))
+    return nested.requested(_json(histories.histories(c.series, revisions.drop("n"), changes, c.users)), c.series)
 
 
 def _field(field: str, kind: str, required: bool, editorial: bool, value: str) -> str:

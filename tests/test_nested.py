@@ -59,6 +59,18 @@ def test_series_page(shelf):
     assert rows[6]["volumes"] == [] and rows[6]["cover"] is None and len(rows[6]["family"]["relations"]) == 2
 
 
+def test_wide_rows_are_shuffled_once(shelf):
+    for pages, records in ((nested.series_pages(shelf), shelf.series), (nested.volume_pages(shelf), shelf.volumes)):
+        lines = nested.requested(pages, records)._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        deal = next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+        above, least = [], depth(lines[deal])
+        for line in reversed(lines[:deal]):
+            if depth(line) < least:
+                above, least = [*above, line], depth(line)
+        assert above and not [line for line in above if "Exchange" in line or "Sort " in line]
+
+
 def test_bundle_page(shelf):
     rows = {r["id"]: r for r in nested.bundle_pages(shelf).collect()}
     assert sorted(rows) == [50, 51] and rows[51]["members"] == []
