@@ -23,6 +23,11 @@ def _map(of: dict, key):
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), key)
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """The other side of a join, as a table that grows with the proposals: stored files are far smaller than their rows, so their size would make Spark send them to every task through the driver."""
+    return df.hint("merge")
+
+
 def references(ops: DataFrame, records: DataFrame) -> DataFrame:
     """(proposal_id, place, at, ref, temp, stored, good) of each reference: a temporary id of an earlier op of the table it must be, or the id of a stored active record.
 
@@ -33,7 +38,7 @@ def references(ops: DataFrame, records: DataFrame) -> DataFrame:
     made = ops.where("kind = 'create'").select("proposal_id", c("temp_id").alias("ref"), c("table").alias("made_table"), c("place").alias("made_at"))
     made = made.groupBy("proposal_id", "ref").agg(F.min(F.struct("made_at", "made_table")).alias("made"))
     live = records.where("status = 'active'").select(c("table").alias("parent"), c("id").cast("string").alias("ref"), c("id").alias("stored"))
-    rows = refs.join(made, ["proposal_id", "ref"], "left").join(live, ["parent", "ref"], "left")
+    rows = refs.join(_met(made), ["proposal_id", "ref"], "left").join(_met(live), ["parent", "ref"], "left")
     temp = c("made").isNotNull() & (c("made.made_at") < c("place"))
     good = F.when(temp, c("made.made_table") == c("parent")).otherwise(c("stored").isNotNull())
     return rows.select("proposal_id", "place", "at", "ref", F.when(temp, c("ref")).alias("temp"), F.when(~temp, c("stored")).alias("stored"), F.coalesce(good, F.lit(False)).alias("good"))
@@ -46,7 +51,7 @@ def problems(ops: DataFrame, records: DataFrame, publishers: DataFrame, refs: Da
     found = lambda df, text: df.select("proposal_id", "place", F.lit(text).alias("problem"))
     out = [found(ops.where("kind NOT IN ('create', 'update')"), "unsupportedOp"), found(creates.where(~F.coalesce(c("table").isin(*_TYPES), F.lit(False))), "unknownTable"), found(refs.where("NOT good"), "badReference")]
     first = creates.groupBy("proposal_id", "temp_id").agg(F.min("place").alias("first"))
-    twice = creates.join(first, ["proposal_id", "temp_id"]).where("place > first")
+    twice = creates.join(_met(first), ["proposal_id", "temp_id"]).where("place > first")
     out.append(found(twice.select("proposal_id", "place").unionByName(creates.where("coalesce(temp_id, '') = ''").select("proposal_id", "place")), "badTempId"))
     size = F.coalesce(F.size("refs"), F.lit(0))
     out.append(found(creates.where(c("table").isin("volumes", "releases") & (size != 1) | (c("table") == "editions") & ((size < 1) | ~F.coalesce(F.forall("extents", lambda x: x.isin("complete", "partial")) & (F.size("extents") == size), F.lit(False)))), "badReference"))
@@ -82,13 +87,13 @@ def first_wins(updates: DataFrame) -> DataFrame:
     todo, out = tables.stored(updates.select("proposal_id", "rank", *keys).distinct(), "approve-open"), None
     while True:
         first = todo.groupBy(*keys).agg(F.min("rank").alias("first"))
-        told = todo.join(first, keys).groupBy("proposal_id").agg(F.bool_and(F.col("rank") == F.col("first")).alias("won"))
+        told = tables.stored(todo.join(_met(first), keys).groupBy("proposal_id").agg(F.bool_and(F.col("rank") == F.col("first")).alias("won")), "approve-round")
         won = told.where("won")
-        held = todo.join(won.select("proposal_id"), "proposal_id", "left_semi").select(*keys).distinct()
-        lost = todo.join(held, keys, "left_semi").select("proposal_id").distinct().join(won.select("proposal_id"), "proposal_id", "left_anti").withColumn("won", F.lit(False))
+        held = todo.join(_met(won.select("proposal_id")), "proposal_id", "left_semi").select(*keys).distinct()
+        lost = todo.join(_met(held), keys, "left_semi").select("proposal_id").distinct().join(_met(won.select("proposal_id")), "proposal_id", "left_anti").withColumn("won", F.lit(False))
         now = tables.stored(won.unionByName(lost), "approve-round")
         out = now if out is None else out.unionByName(now)
-        todo = tables.stored(todo.join(now.select("proposal_id"), "proposal_id", "left_anti"), "approve-open")
+        todo = tables.stored(todo.join(_met(now.select("proposal_id")), "proposal_id", "left_anti"), "approve-open")
         if todo.isEmpty():
             return out
 
@@ -103,47 +108,47 @@ def approve(proposals: DataFrame, ops: DataFrame, records: DataFrame, revisions:
     """
     c = F.col
     open_ = proposals.where("state = 'inReview'").select("proposal_id", "rank")
-    ops = tables.stored(ops.join(open_, "proposal_id"), "approve-ops")
+    ops = tables.stored(ops.join(_met(open_), "proposal_id"), "approve-ops")
     refs = tables.stored(references(ops, records), "approve-refs")
     bad = problems(ops, records, publishers, refs).groupBy("proposal_id").agg(F.array_join(F.array_sort(F.collect_set("problem")), ",").alias("problem"))
     latest = revisions.groupBy("table", "record_id").agg(F.max("seq").alias("latest"))
-    updates = ops.where("kind = 'update'").join(records.select("table", c("id").alias("record_id"), "status", "locked"), ["table", "record_id"], "left").join(latest, ["table", "record_id"], "left")
+    updates = ops.where("kind = 'update'").join(_met(records.select("table", c("id").alias("record_id"), "status", "locked")), ["table", "record_id"], "left").join(_met(latest), ["table", "record_id"], "left")
     gone = c("status").isNull() | (c("status") != "active") | F.coalesce("locked", F.lit(False))
     updates = tables.stored(updates.withColumn("stale", gone | ~c("base").eqNullSafe(c("latest"))), "approve-updates")
     stale = updates.groupBy("proposal_id").agg(F.bool_or("stale").alias("stale"))
-    told = open_.join(stale, "proposal_id", "left").join(bad, "proposal_id", "left")
+    told = tables.stored(open_.join(_met(stale), "proposal_id", "left").join(_met(bad), "proposal_id", "left"), "approve-checked")
     fine = told.where("NOT coalesce(stale, false) AND problem IS NULL").select("proposal_id")
-    raced = first_wins(updates.join(fine, "proposal_id", "left_semi"))
-    told = told.join(raced, "proposal_id", "left")
+    raced = first_wins(updates.join(_met(fine), "proposal_id", "left_semi"))
+    told = told.join(_met(raced), "proposal_id", "left")
     outcome = F.when(F.coalesce("stale", F.lit(False)), "stale").when(c("problem").isNotNull(), "invalid").when(~F.coalesce("won", F.lit(True)), "stale").otherwise("approved")
     told = tables.stored(told.select("proposal_id", outcome.alias("outcome"), F.when(outcome == "invalid", c("problem")).alias("problem")), "approve-told")
     outcomes = told.unionByName(proposals.where("state <> 'inReview'").select("proposal_id", F.lit("badState").alias("outcome"), F.lit(None).cast("string").alias("problem")))
     approved = told.where("outcome = 'approved'").select("proposal_id")
-    creates = ops.where("kind = 'create'").join(approved, "proposal_id", "left_semi").withColumn("order", F.struct("rank", "place"))
-    links = refs.join(approved, "proposal_id", "left_semi")
+    creates = tables.stored(ops.where("kind = 'create'").join(_met(approved), "proposal_id", "left_semi").withColumn("order", F.struct("rank", "place")), "approve-creates")
+    links = tables.stored(refs.join(_met(approved), "proposal_id", "left_semi"), "approve-links")
 
     def number(table: str) -> DataFrame:
         rows = creates.where(c("table") == table).select("proposal_id", "place", "temp_id", "publisher", "fields", "extents", "order")
-        return creation.allocate(rows, "order", last[table]).withColumnRenamed("new_id", "id").withColumn("id", c("id").cast("bigint"))
+        return tables.stored(creation.allocate(rows, "order", last[table]).withColumnRenamed("new_id", "id").withColumn("id", c("id").cast("bigint")), f"approve-{table}")
 
     def parents(rows: DataFrame, above: DataFrame) -> DataFrame:
         """(id, at, parent): references of one level's rows, resolved by the level above."""
-        got = rows.select("id", "proposal_id", "place").join(links, ["proposal_id", "place"])
-        return got.join(above.select("proposal_id", c("temp_id").alias("temp"), c("id").alias("made")), ["proposal_id", "temp"], "left").select("id", "at", F.coalesce("made", c("stored").cast("bigint")).alias("parent"))
+        got = rows.select("id", "proposal_id", "place").join(_met(links), ["proposal_id", "place"])
+        return got.join(_met(above.select("proposal_id", c("temp_id").alias("temp"), c("id").alias("made"))), ["proposal_id", "temp"], "left").select("id", "at", F.coalesce("made", c("stored").cast("bigint")).alias("parent"))
 
     series, new_volumes, editions, releases = (number(t) for t, _, _ in LEVELS)
-    new_volumes = new_volumes.join(parents(new_volumes, series).select("id", c("parent").alias("series_id")), "id")
+    new_volumes = new_volumes.join(_met(parents(new_volumes, series).select("id", c("parent").alias("series_id"))), "id")
     new_volumes = tables.stored(creation.append_positions(new_volumes, volumes.select(c("series_id").cast("bigint").alias("series_id"), "position"), "series_id", "order"), "approve-volumes")
-    coverage = parents(editions, new_volumes).withColumnRenamed("id", "edition_id").withColumnRenamed("parent", "volume_id").join(editions.select(c("id").alias("edition_id"), "extents"), "edition_id")
+    coverage = parents(editions, new_volumes).withColumnRenamed("id", "edition_id").withColumnRenamed("parent", "volume_id").join(_met(editions.select(c("id").alias("edition_id"), "extents")), "edition_id")
     coverage = tables.stored(coverage.select("edition_id", "volume_id", (c("at") + 1).alias("position"), F.get("extents", c("at")).alias("extent")), "approve-coverage")
-    editions = editions.join(publishers.where("status = 'active'").select(c("slug").alias("publisher"), c("id").cast("bigint").alias("publisher_id")), "publisher")
+    editions = editions.join(F.broadcast(publishers.where("status = 'active'").select(c("slug").alias("publisher"), c("id").cast("bigint").alias("publisher_id"))), "publisher")  # publishers are few, and many editions have one
     every = volumes.select(c("id").cast("bigint").alias("volume_id"), c("series_id").cast("bigint").alias("series_id")).unionByName(new_volumes.select(c("id").alias("volume_id"), "series_id"))
-    denorm = coverage.join(every, "volume_id").select("edition_id", "series_id").distinct().join(editions.select(c("id").alias("edition_id"), "publisher_id"), "edition_id")
+    denorm = coverage.join(_met(every), "volume_id").select("edition_id", "series_id").distinct().join(_met(editions.select(c("id").alias("edition_id"), "publisher_id")), "edition_id")
     denorm = denorm.unionByName(edition_series.select(c("edition_id").cast("bigint").alias("edition_id"), c("series_id").cast("bigint").alias("series_id"), c("publisher_id").cast("bigint").alias("publisher_id")))
-    of = parents(releases, editions).select("id", c("parent").alias("edition_id")).join(denorm, "edition_id", "left").groupBy("id", "edition_id").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"), F.min("publisher_id").alias("publisher_id"))
-    releases = releases.join(of, "id")
-    done = updates.join(approved, "proposal_id", "left_semi")
-    values = _normal(done.select("proposal_id", "place", "table", "record_id", "latest", _map(_TYPES, c("table")).alias("type"), F.explode("fields").alias("field", "value")))
+    of = parents(releases, editions).select("id", c("parent").alias("edition_id")).join(_met(denorm), "edition_id", "left").groupBy("id", "edition_id").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"), F.min("publisher_id").alias("publisher_id"))
+    releases = tables.stored(releases.join(_met(of), "id"), "approve-made")
+    done = updates.join(_met(approved), "proposal_id", "left_semi")
+    values = tables.stored(_normal(done.select("proposal_id", "place", "table", "record_id", "latest", _map(_TYPES, c("table")).alias("type"), F.explode("fields").alias("field", "value"))), "approve-values")
     patches = values.select("proposal_id", "table", "record_id", "field", c("normal.value").alias("value"))
     revised = values.groupBy("proposal_id", "table", "record_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"), (F.coalesce(F.min("latest"), F.lit(0)) + 1).cast("int").alias("seq"))
     new = None

@@ -76,7 +76,7 @@ def plans_applied(spark, sf_dir):
     c, got = F.col, _approved(spark, sf_dir)
     row = lambda kind, df, id_, parent, name: df.select(F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), "proposal_id", parent.cast("bigint").alias("parent"), name.cast("string").alias("name"))
     none = F.lit(None)
-    covered = got["editions"].join(got["coverage"].groupBy(c("edition_id").alias("id")).agg(F.min("extent").alias("extent")), "id")
+    covered = got["editions"].hint("merge").join(got["coverage"].groupBy(c("edition_id").alias("id")).agg(F.min("extent").alias("extent")), "id")
     parts = [
         row("series", got["series"], c("id"), none, c("fields")["title"]), row("volumes", got["volumes"], c("id"), c("series_id"), c("position")), row("editions", covered, c("id"), c("publisher_id"), c("extent")),
         row("releases", got["releases"], c("id"), c("edition_id"), F.array_join(F.transform("series_ids", lambda x: x.cast("string")), ",")), row("patch", got["patches"], c("record_id"), none, c("value")),

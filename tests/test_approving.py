@@ -64,3 +64,14 @@ def test_stale_and_first_of_several(spark):
     ], {5: "draft"})
     assert {r["proposal_id"]: r["outcome"] for r in got["outcomes"]} == {1: "stale", 2: "stale", 3: "approved", 4: "stale", 5: "badState", 6: "stale", 7: "stale", 8: "approved"}
     assert sorted((r["table"], r["record_id"], r["value"]) for r in got["patches"]) == [("editions", 20, "2"), ("series", 1, "First")] and not got["series"]
+
+
+def test_references_are_not_sent_to_every_task(spark):
+    from catalogspark.operators import tables
+
+    ops = spark.createDataFrame([(1, 0, "create", "series", "s", []), (1, 1, "create", "volumes", "v", ["s"])], "proposal_id long, place int, kind string, table string, temp_id string, refs array<string>")
+    records = spark.createDataFrame([("series", 7, "active")], "table string, id long, status string")
+    # stored tables have a known, small size
+    rows = approving.references(tables.stored(ops, "ops"), tables.stored(records, "records"))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r["place"], r["temp"], r["good"]) for r in rows.collect()] == [(1, "s", True)]
