@@ -78,12 +78,33 @@ def _reason():
     return F.when(F.col("rank") == 0, "title").otherwise("tokens").alias("reason")
 
 
+def marked_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` of ``duplicate_keys`` with ``before``: the record's own keys that come before each, titles first; a record with all its keys is one group."""
+    entry = F.struct("rank", "key")
+    rows = keys.groupBy("id").agg(F.array_sort(F.collect_set(entry)).alias("all")).select("id", "all", F.posexplode("all").alias("at", "k"))
+    text = F.transform(F.slice("all", 1, F.col("at")), lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["key"]))
+    return rows.select("id", "k.rank", "k.key", text.alias("before"))
+
+
+def pairs_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, reason, ..) of rows of two ``marked_keys`` with a before b by id, once each: under the first key that both have, so that no pair is shuffled to meet itself under another.
+
+    Columns but ``id``, ``rank``, ``key`` and ``before`` come along. The result grows with the square of a key's records and leaves the join as it is; the tasks are as many as the pairs need, whatever the keys' bytes are.
+    """
+    spark = a.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    x = a.withColumnsRenamed({"id": "a", "before": "before_a"}).repartition(n, "rank", "key")
+    y = b.withColumnsRenamed({"id": "b", "before": "before_b"}).repartition(n, "rank", "key")
+    # most that share another key share the first one
+    met = (F.get("before_a", F.lit(0)) == F.get("before_b", F.lit(0))) | F.arrays_overlap("before_a", "before_b")
+    pairs = x.join(y, ["rank", "key"]).where(F.col("a") < F.col("b")).where((F.size("before_a") == 0) | (F.size("before_b") == 0) | ~met)
+    return pairs.withColumn("reason", _reason()).drop("rank", "key", "before_a", "before_b")
+
+
 def duplicate_pairs(records: DataFrame) -> DataFrame:
     """(a, b, reason) of records that share a key of ``duplicate_keys``; equal titles outrank equal words. All pairs of a block: for review lists."""
-    keys = duplicate_keys(records)
-    a, b = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["rank", "key"]).where("a < b").groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    return pairs.select("a", "b", _reason())
+    keys = marked_keys(duplicate_keys(records))
+    return pairs_of(keys, keys).select("a", "b", "reason")
 
 
 def duplicate_groups(records: DataFrame) -> DataFrame:
