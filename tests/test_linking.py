@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from catalogspark.operators import linking
 
 
@@ -28,3 +30,17 @@ def test_releases_within_a_series(spark):
     assert {r["fact_id"]: (r["kind"], r["release_id"]) for r in got.collect()} == {
         1: ("one", 30), 2: ("many", None), 3: ("one", 33), 4: ("none", None), 5: ("none", None), 6: ("skipped", None), 7: ("stored", 36), 8: ("held", None), 9: ("unlinked", None), 10: ("none", None),
     }
+
+
+def test_rows_without_a_key_are_dealt(spark):
+    """Entries without a link and facts without one met no row, but all in one task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        series = spark.createDataFrame([(1, "Tom", "Tim", "active")], "id int, title string, alt_title string, status string")
+        entries = spark.range(400).select(F.col("id").alias("entry_id"), F.when(F.col("id") == 7, "tim").otherwise("?!").alias("title"), F.when(F.col("id") == 9, 1).alias("linked_id"))
+        got = linking.series_of(entries, series).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r["entry_id"], r["how"], r["series_id"]) for r in got if r["how"] != "none") == [(7, "title", 1), (9, "stored", 1)]
+    parts = [sum(r["p"] == p for r in got) for p in range(4)]
+    assert len(got) == 400 and max(parts) < 200
