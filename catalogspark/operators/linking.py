@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions import titles
-from catalogspark.operators import matching
+from catalogspark.operators import matching, tables
 from catalogspark.operators.nested import Shelf
 
 
-def _or_alone(key, row: str) -> Column:
-    """``key`` as text, or one of the row's own that equals none: rows without a key are dealt to all tasks of a join instead of one."""
-    return F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.concat(F.lit("\x00"), F.col(row).cast("string")))
-
-
 def series_of(entries: DataFrame, series: DataFrame) -> DataFrame:
     """(entry_id, how, series_id) of ``entries (entry_id, title, linked_id)`` against ``series (id, title, alt_title, status)``.
 
@@ -25,8 +20,8 @@ def series_of(entries: DataFrame, series: DataFrame) -> DataFrame:
     live = series.where("status = 'active'")
     keys = matching.title_keys(live).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("found_id"))
     linked = live.select(c("id").cast("string").alias("at"), F.lit(True).alias("open"))
-    rows = entries.select("entry_id", "linked_id", titles.normalize_title("title").alias("key")).withColumn("at", _or_alone("linked_id", "entry_id"))
-    rows = rows.withColumn("key", _or_alone(F.nullif("key", F.lit("")), "entry_id")).join(linked, "at", "left").join(keys, "key", "left")
+    rows = entries.select("entry_id", "linked_id", titles.normalize_title("title").alias("key")).withColumn("at", tables.or_alone("linked_id", "entry_id"))
+    rows = rows.withColumn("key", tables.or_alone(F.nullif("key", F.lit("")), "entry_id")).join(linked, "at", "left").join(keys, "key", "left")
     free, n = c("linked_id").isNull(), F.coalesce("n", F.lit(0))
     how = F.when(c("open"), "stored").when(~free, "gone").when(n == 1, "title").when(n > 1, "ambiguous").otherwise("none")
     return rows.select("entry_id", how.alias("how"), F.when(how == "stored", c("linked_id")).when(how == "title", c("found_id")).alias("series_id"))
@@ -63,6 +58,6 @@ def releases_of(facts: DataFrame, entries: DataFrame, shelf: Shelf, locked: Data
     rows = facts.join(of, "entry_id")
     live = shelf.releases.where("status = 'active'").join(locked.select("id"), "id", "left_anti").select(c("id").cast("string").alias("at"), F.lit(True).alias("open"))
     found = in_series(rows.where("series_id IS NOT NULL AND linked_id IS NULL AND NOT multi"), shelf, locked).select("fact_id", c("kind").alias("search"), c("release_id").alias("found_id"))
-    rows = rows.withColumn("at", _or_alone("linked_id", "fact_id")).join(live, "at", "left").join(found, "fact_id", "left")
+    rows = rows.withColumn("at", tables.or_alone("linked_id", "fact_id")).join(live, "at", "left").join(found, "fact_id", "left")
     kind = F.when(c("series_id").isNull(), "unlinked").when(c("open"), "stored").when(c("linked_id").isNotNull(), "held").when(c("multi"), "skipped").otherwise(c("search"))
     return rows.select("fact_id", "how", kind.alias("kind"), F.when(kind == "stored", c("linked_id")).when(kind == "one", c("found_id")).alias("release_id"))

@@ -44,3 +44,13 @@ def test_rows_without_a_key_are_dealt(spark):
     assert sorted((r["entry_id"], r["how"], r["series_id"]) for r in got if r["how"] != "none") == [(7, "title", 1), (9, "stored", 1)]
     parts = [sum(r["p"] == p for r in got) for p in range(4)]
     assert len(got) == 400 and max(parts) < 200
+
+
+def test_or_alone_deals_rows_and_keeps_keys(spark):
+    from catalogspark.operators import tables
+
+    rows = spark.range(400).select("id", F.when(F.col("id") < 3, F.col("id")).alias("key")).withColumn("at", tables.or_alone("key", "id"))
+    found = spark.createDataFrame([("0", "a"), ("2", "b"), ("7", "c")], "at string, name string")
+    assert sorted((r["id"], r["name"]) for r in rows.join(found, "at", "left").collect() if r["name"]) == [(0, "a"), (2, "b")]
+    parts = rows.repartition(4, "at").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 200
