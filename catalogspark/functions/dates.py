@@ -76,10 +76,15 @@ def iso(year, month, day) -> Column:
     return F.when(_col(month).isNull(), y).when(_col(day).isNull(), F.concat_ws("-", y, two(month))).otherwise(F.concat_ws("-", y, two(month), two(day)))
 
 
+def _number(text, pattern: str, i: int) -> Column:
+    """The group as a number; a cast of an empty text raises and catches an error for each row, so it is null before."""
+    return F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("int")
+
+
 def from_iso(text) -> Column:
     """Partial date of a leading yyyy-mm-dd with possible month and day; else null."""
     t = _col(text)
-    part = lambda i: F.regexp_extract(t, r"^(\d{4})-(\d{2})-(\d{2})", i).try_cast("int")
+    part = lambda i: _number(t, r"^(\d{4})-(\d{2})-(\d{2})", i)
     ok = t.rlike(r"^\d{4}-\d{2}-\d{2}") & part(2).between(1, 12) & part(3).between(1, 31)
     return F.when(ok, partial_date(part(1), part(2), part(3)))
 
@@ -93,7 +98,7 @@ WORDED = r"^([A-Za-z]+)\.?\s+(?:(\d{1,2})(?:st|nd|rd|th)?,?\s+)?(\d{4})$"
 def degrade(text) -> Column:
     """Partial date of yyyy, yyyy-mm or yyyy-mm-dd that loses impossible parts; years 1900 to 2200 only."""
     t = F.trim(_col(text))
-    y, m, d = (F.regexp_extract(t, REPORTED, i).try_cast("int") for i in (1, 2, 3))
+    y, m, d = (_number(t, REPORTED, i) for i in (1, 2, 3))
     month = F.when(m.between(1, 12), m)
     day = F.when(month.isNotNull() & d.between(1, 31), d)
     return F.when(y.between(1900, 2200), partial_date(y, month, day))
@@ -112,7 +117,7 @@ def from_us(text) -> Column:
 def from_prose(text) -> Column:
     """Partial date of "Oct 13, 2026", "October 2026", "2026-10-13", "2026-10" or "2026"; impossible or unknown parts are lost, other shapes are null."""
     t = F.trim(_col(text))
-    number = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
+    number = lambda pattern, i: _number(t, pattern, i)
     named = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(F.left(F.regexp_extract(t, WORDED, 1), F.lit(3)))).cast("int")
     y = F.coalesce(number(DASHED, 1), number(WORDED, 3), number(r"^(\d{4})$", 1))
     m = F.coalesce(number(DASHED, 2), named)

@@ -155,7 +155,8 @@ def _dump(spark, sf_dir):
         F.array(F.struct(F.when(size % 4 == 0, "/languages/fre").otherwise("/languages/eng").alias("key"))).alias("languages"),
     )
     kind = F.when(size % 5 == 0, "/type/work").otherwise("/type/edition")
-    return _parts(spark, sf_dir).select(F.concat_ws("\t", kind, F.concat(F.lit("/books/"), "id"), F.lit("1"), F.lit("2031"), F.to_json(e)).alias("value"))
+    # lines cost more to make and to read than their parts' bytes let Spark deal out
+    return _parts(spark, sf_dir).repartition("id").select(F.concat_ws("\t", kind, F.concat(F.lit("/books/"), "id"), F.lit("1"), F.lit("2031"), F.to_json(e)).alias("value"))
 
 
 @register(

@@ -273,24 +273,31 @@ def needs_detail(listing: DataFrame, stored: DataFrame) -> DataFrame:
 
 def split_edition_title(title: Column, subtitle: Column) -> Column:
     """Struct (series_title, volume_label, multi_volume): a marked range, a marked volume, a marked subtitle, or the title alone."""
-    many = title.rlike(MARKED_RANGE)
-    own, below = _found(title, MARKED, 2), _found(_bare(F.coalesce(subtitle, F.lit(""))), MARKED_SUBTITLE)
+    return _split_edition(title, title.rlike(MARKED_RANGE), _found(title, MARKED, 2), subtitle)
+
+
+def _split_edition(title: Column, many: Column, own: Column, subtitle: Column) -> Column:
+    below = _found(_bare(F.coalesce(subtitle, F.lit(""))), MARKED_SUBTITLE)
     series = F.coalesce(F.when(many, _found(title, MARKED_RANGE)), F.when(own.isNotNull(), _found(title, MARKED)), title)
     return F.struct(series.alias("series_title"), F.when(~many, F.coalesce(own, below)).alias("volume_label"), many.alias("multi_volume"))
 
 
 def dump_editions(lines: DataFrame, column: str = "value") -> DataFrame:
-    """English editions of a tab-separated dump: type, key, revision, date, JSON. The type is looked at before any JSON is parsed."""
+    """English editions of a tab-separated dump: type, key, revision, date, JSON. The type is looked at before any JSON is parsed.
+
+    A line's JSON is parsed once, by a generator, since a filter on the fields would parse it again; what several columns need is a column first.
+    """
     cols = F.split(F.col(column), "\t", 5)
     rows = lines.where(F.col(column).startswith("/type/edition\t") & (F.size(cols) == 5))
-    e = rows.select(F.from_json(cols[4], _EDITION).alias("e")).select("e.*").where("key LIKE '/books/%' AND title RLIKE '[^ \\t\\r\\n]'")
+    e = rows.select(F.inline(F.array(F.from_json(cols[4], _EDITION)))).where("key LIKE '/books/%' AND title RLIKE '[^ \\t\\r\\n]'")
     e = e.where(F.coalesce(F.size("languages"), F.lit(0)).isin(-1, 0) | F.exists("languages", lambda x: x["key"] == "/languages/eng"))
-    kind = F.coalesce(_bare("physical_format"), F.lit(""))
-    digital = kind.rlike(EBOOK)
+    e = e.withColumns({"title": _bare("title"), "kind": F.coalesce(_bare("physical_format"), F.lit(""))})
+    e = e.withColumns({"many": F.col("title").rlike(MARKED_RANGE), "own": _found(F.col("title"), MARKED, 2), "digital": F.col("kind").rlike(EBOOK)})
+    kind, digital = F.col("kind"), F.col("digital")
     first = lambda c, n: F.try_element_at(F.filter(F.transform(c, lambda x: codes.isbn_shape(F.upper(x), n)), lambda x: x.isNotNull()), F.lit(1))
-    split = split_edition_title(_bare("title"), F.col("subtitle"))
+    split = _split_edition(F.col("title"), F.col("many"), F.col("own"), F.col("subtitle"))
     return e.select(
-        "key", _bare("title").alias("title"), split["series_title"].alias("series_title"), split["volume_label"].alias("volume_label"), split["multi_volume"].alias("multi_volume"),
+        "key", "title", split["series_title"].alias("series_title"), split["volume_label"].alias("volume_label"), split["multi_volume"].alias("multi_volume"),
         F.coalesce(F.filter("publishers", lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("publishers"), dates.from_prose("publish_date").alias("publish_date"),
         first("isbn_13", 13).alias("isbn13"), first("isbn_10", 10).alias("isbn10"), F.when(digital, "digital").otherwise("physical").alias("format"),
         F.when(digital, None).when(kind.rlike("(?i)hardcover"), "hardcover").when(kind.rlike("(?i)paperback"), "paperback").alias("binding"),
