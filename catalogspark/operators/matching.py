@@ -17,7 +17,7 @@ def title_keys(series: DataFrame) -> DataFrame:
 def first_of_code(releases: DataFrame, titles_of: DataFrame) -> DataFrame:
     """(code, release_id, titles): for each code its first release by id, where that one is active.
 
-    ``releases (release_id, code, status)``, ``titles_of (release_id, titles)``. A first release that isn't active gives its code to none.
+    ``releases (release_id, code, status)``, ``titles_of (release_id, titles)``, or ``words`` for the titles. A first release that isn't active gives its code to none.
     """
     first = releases.where("code IS NOT NULL").groupBy("code").agg(F.min(F.struct("release_id", "status")).alias("first"))
     return first.where("first.status = 'active'").select("code", "first.release_id").join(titles_of, "release_id")
@@ -32,11 +32,14 @@ def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame) -> Da
     (create); one release of the same publisher, single volume and format (3: match, or review where blocked);
     several (3: review); any other but such that differ in format alone (4: review); none (5: create).
 
+    Titles are compared by their words; ``words`` beside ``facts``' title and ``words`` (a list a title) beside ``by_code``'s titles spare taking them apart again.
     The catalog is counted by key first, so a popular title costs a fact no more than a rare one: once by key, label,
     publisher and format, and the other counts are sums of these.
     """
-    hits = facts.where("code IS NOT NULL").select("fact_id", "code", "title").join(by_code, "code")
-    hits = hits.select("fact_id", F.struct("release_id", F.exists("titles", lambda t: titles.titles_similar(t, F.col("title"))).alias("same")).alias("hit"))
+    given = lambda df, of: F.col("words") if "words" in df.columns else of
+    coded = facts.where("code IS NOT NULL").select("fact_id", "code", given(facts, titles.similarity_tokens("title")).alias("told"))
+    named = by_code.select("code", "release_id", given(by_code, F.transform("titles", titles.similarity_tokens)).alias("words"))
+    hits = coded.join(named, "code").select("fact_id", F.struct("release_id", F.exists("words", lambda w: titles.words_similar(w, F.col("told"))).alias("same")).alias("hit"))
     # a null label meets a null label
     side = lambda df: df.withColumn("none", F.col("label_key").isNull()).withColumn("label_key", F.coalesce("label_key", F.lit("")))
     at = ["key", "label_key", "none"]

@@ -128,12 +128,13 @@ def match_ladder(spark, sf_dir):
     code = lambda x: F.concat(F.lit("978"), F.lpad(x.cast("string"), 10, "0"))
     key = F.col("l_orderkey")
     lines = c.raw("lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("publisher_id"))
-    series = c.series.select("*", titles.normalize_title("title").alias("title_key"), titles.normalize_title("alt_title").alias("alt_key"))
+    series = c.series.select("*", titles.normalize_title("title").alias("title_key"), titles.normalize_title("alt_title").alias("alt_key"), titles.similarity_tokens("title").alias("title_words"), titles.similarity_tokens("alt_title").alias("alt_words"))
     alternative = F.col("l_linenumber") % 2 == 0
     facts = lines.join(series, F.col("id") == F.col("l_partkey")).select(
         (key * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("fact_id"),
         F.when(key % 5 == 0, code(key)).when(key % 5 == 1, code(key - 1)).alias("code"),
         F.when(alternative, F.col("alt_title")).otherwise(F.col("title")).alias("title"),
+        F.when(alternative, F.col("alt_words")).otherwise(F.col("title_words")).alias("words"),
         F.when(alternative, F.col("alt_key")).otherwise(F.col("title_key")).alias("key"),
         titles.label_key(F.col("l_linenumber").cast("string")).alias("label_key"),
         "publisher_id",
@@ -142,13 +143,16 @@ def match_ladder(spark, sf_dir):
     )
     releases = c.releases
     live = releases.where("status = 'active'").select(F.col("id").alias("release_id"), "publisher_id", "format")
-    named = c.release_series.join(c.series.select(F.col("id").alias("series_id"), "title"), "series_id").groupBy("release_id").agg(F.collect_set("title").alias("titles"))
+    worded = c.series.select(F.col("id").alias("series_id"), titles.similarity_tokens("title").alias("words"))
+    named = c.release_series.join(worded, "series_id").groupBy("release_id").agg(F.collect_set("words").alias("words"))
     own = F.col("id") - F.when(F.col("id") % 8 == 5, 1).otherwise(0)
     by_code = matching.first_of_code(releases.select(F.col("id").alias("release_id"), code(own).alias("code"), "status"), named)
     keys = matching.title_keys(c.series.where("status = 'active'")).withColumnRenamed("id", "series_id")
     size = c.coverage.groupBy("release_id").agg((F.count(F.lit(1)) == 1).alias("single"))
-    catalog = c.coverage.select("release_id", "series_id", titles.label_key(F.col("position").cast("string")).alias("label_key")).join(keys, "series_id").drop("series_id").distinct()
+    catalog = c.coverage.select("release_id", "series_id", titles.label_key(F.col("position").cast("string")).alias("label_key"))
     catalog = catalog.join(live, "release_id").join(size, "release_id").withColumn("blocked", (F.col("release_id") % 23 == 0) | (F.col("release_id") % 29 == 0))
+    # titles last: they are wider than all the rest and two for each series
+    catalog = catalog.join(keys, "series_id").drop("series_id").distinct()
     return matching.match_ladder(facts, by_code, catalog)
 
 

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from catalogspark import registry
+from catalogspark.functions import titles
+from catalogspark.operators import matching
 from catalogspark.streaming import observations
 
 
@@ -20,3 +23,15 @@ def test_keys_of_a_stream_share_groups(spark, tmp_path):
         groups = spark.read.format("statestore").load(f"{folder}/state").count()
         assert groups == 3 if parts == 3 else 3 < groups <= 52
     assert results[0] == results[1] and len(results[0]) > 100
+
+
+def test_titles_come_to_the_ladder_as_words(spark, sf_dir):
+    facts = spark.createDataFrame([(1, "A", "The Tom"), (2, "A", "Ann"), (3, None, "Ann")], "fact_id int, code string, title string").withColumns({"key": F.lower("title"), "label_key": F.lit("1"), "publisher_id": F.lit(1), "format": F.lit("physical"), "multi": F.lit(False)})
+    by_code = spark.createDataFrame([("A", 3, ["Tom's (Ann)", "tom"])], "code string, release_id int, titles array<string>")
+    none = spark.createDataFrame([], "release_id int, key string, label_key string, publisher_id int, format string, single boolean, blocked boolean")
+    want = [(1, 2, "match", 3), (2, 2, "review", 3), (3, 5, "create", None)]
+    assert sorted(map(tuple, matching.match_ladder(facts, by_code, none).collect())) == want
+    words = facts.withColumn("words", titles.similarity_tokens("title")).drop("title"), by_code.select("code", "release_id", F.transform("titles", titles.similarity_tokens).alias("words"))
+    assert sorted(map(tuple, matching.match_ladder(*words, none).collect())) == want
+    plan = registry.queries()["match_ladder"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp_replace" not in line for line in plan.split("\n") if "exists(" in line)
