@@ -132,20 +132,21 @@ def approve(proposals: DataFrame, ops: DataFrame, records: DataFrame, revisions:
         return tables.stored(creation.allocate(rows, "order", last[table]).withColumnRenamed("new_id", "id").withColumn("id", c("id").cast("bigint")), f"approve-{table}")
 
     def parents(rows: DataFrame, above: DataFrame) -> DataFrame:
-        """(id, at, parent): references of one level's rows, resolved by the level above."""
+        """(id, at, parent, own): references of one level's rows, resolved by the level above; ``own``: to a record that this batch makes, which is no stored one of the same id."""
         got = rows.select("id", "proposal_id", "place").join(_met(links), ["proposal_id", "place"])
-        return got.join(_met(above.select("proposal_id", c("temp_id").alias("temp"), c("id").alias("made"))), ["proposal_id", "temp"], "left").select("id", "at", F.coalesce("made", c("stored").cast("bigint")).alias("parent"))
+        return got.join(_met(above.select("proposal_id", c("temp_id").alias("temp"), c("id").alias("made"))), ["proposal_id", "temp"], "left").select("id", "at", F.coalesce("made", c("stored").cast("bigint")).alias("parent"), c("made").isNotNull().alias("own"))
 
     series, new_volumes, editions, releases = (number(t) for t, _, _ in LEVELS)
-    new_volumes = new_volumes.join(_met(parents(new_volumes, series).select("id", c("parent").alias("series_id"))), "id")
-    new_volumes = tables.stored(creation.append_positions(new_volumes, volumes.select(c("series_id").cast("bigint").alias("series_id"), "position"), "series_id", "order"), "approve-volumes")
+    new_volumes = new_volumes.join(_met(parents(new_volumes, series).select("id", c("parent").alias("series_id"), "own")), "id")
+    new_volumes = tables.stored(creation.append_positions(new_volumes, volumes.select(c("series_id").cast("bigint").alias("series_id"), "position"), "series_id", "order", c("own")).drop("own"), "approve-volumes")
     coverage = parents(editions, new_volumes).withColumnRenamed("id", "edition_id").withColumnRenamed("parent", "volume_id").join(_met(editions.select(c("id").alias("edition_id"), "extents")), "edition_id")
-    coverage = tables.stored(coverage.select("edition_id", "volume_id", (c("at") + 1).alias("position"), F.get("extents", c("at")).alias("extent")), "approve-coverage")
+    coverage = tables.stored(coverage.select("edition_id", "volume_id", (c("at") + 1).alias("position"), F.get("extents", c("at")).alias("extent"), "own"), "approve-coverage")
     editions = editions.join(F.broadcast(publishers.where("status = 'active'").select(c("slug").alias("publisher"), c("id").cast("bigint").alias("publisher_id"))), "publisher")  # publishers are few, and many editions have one
-    every = volumes.select(c("id").cast("bigint").alias("volume_id"), c("series_id").cast("bigint").alias("series_id")).unionByName(new_volumes.select(c("id").alias("volume_id"), "series_id"))
-    denorm = coverage.join(_met(every), "volume_id").select("edition_id", "series_id").distinct().join(_met(editions.select(c("id").alias("edition_id"), "publisher_id")), "edition_id")
-    denorm = denorm.unionByName(edition_series.select(c("edition_id").cast("bigint").alias("edition_id"), c("series_id").cast("bigint").alias("series_id"), c("publisher_id").cast("bigint").alias("publisher_id")))
-    of = parents(releases, editions).select("id", c("parent").alias("edition_id")).join(_met(denorm), "edition_id", "left").groupBy("id", "edition_id").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"), F.min("publisher_id").alias("publisher_id"))
+    stored, made = F.lit(False).alias("own"), F.lit(True).alias("own")
+    every = volumes.select(c("id").cast("bigint").alias("volume_id"), c("series_id").cast("bigint").alias("series_id"), stored).unionByName(new_volumes.select(c("id").alias("volume_id"), "series_id", made))
+    denorm = coverage.join(_met(every), ["volume_id", "own"]).select("edition_id", "series_id").distinct().join(_met(editions.select(c("id").alias("edition_id"), "publisher_id")), "edition_id")
+    denorm = denorm.withColumn("own", made).unionByName(edition_series.select(c("edition_id").cast("bigint").alias("edition_id"), c("series_id").cast("bigint").alias("series_id"), c("publisher_id").cast("bigint").alias("publisher_id"), stored))
+    of = parents(releases, editions).select("id", c("parent").alias("edition_id"), "own").join(_met(denorm), ["edition_id", "own"], "left").groupBy("id", "edition_id").agg(F.array_sort(F.collect_set("series_id")).alias("series_ids"), F.min("publisher_id").alias("publisher_id"))
     releases = tables.stored(releases.join(_met(of), "id"), "approve-made")
     done = updates.join(_met(approved), "proposal_id", "left_semi")
     values = tables.stored(_normal(done.select("proposal_id", "place", "table", "record_id", "latest", _map(_TYPES, c("table")).alias("type"), F.explode("fields").alias("field", "value"))), "approve-values")
@@ -156,6 +157,6 @@ def approve(proposals: DataFrame, ops: DataFrame, records: DataFrame, revisions:
         one = rows.select("proposal_id", F.lit(table).alias("table"), c("id").alias("record_id"), F.array_join(F.array_sort(F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull()))), ",").alias("fields"), F.lit(1).alias("seq"))
         new = one if new is None else new.unionByName(one)
     return {
-        "outcomes": outcomes, "series": series, "volumes": new_volumes, "editions": editions, "coverage": coverage, "releases": releases, "patches": patches,
+        "outcomes": outcomes, "series": series, "volumes": new_volumes, "editions": editions, "coverage": coverage.drop("own"), "releases": releases, "patches": patches,
         "revisions": new.unionByName(revised.select("proposal_id", "table", c("record_id").cast("bigint").alias("record_id"), "fields", "seq")),
     }

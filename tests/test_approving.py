@@ -75,3 +75,18 @@ def test_references_are_not_sent_to_every_task(spark):
     rows = approving.references(tables.stored(ops, "ops"), tables.stored(records, "records"))
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [(r["place"], r["temp"], r["good"]) for r in rows.collect()] == [(1, "s", True)]
+
+
+def test_made_records_are_no_stored_ones_of_their_ids(spark):
+    """Of series 101, volume 201 and edition 301 there is a stored record and one that the batch makes."""
+    ops = [_create(1, 0, "series", "s", title="New"), _create(1, 1, "volumes", "v", ["s"]), _create(1, 2, "editions", "e", ["v"], "viz"), _create(1, 3, "releases", "r", ["e"], format="physical", language="en"), _create(2, 0, "volumes", "w", ["1"])]
+    proposals = spark.createDataFrame([(1, 1, "inReview"), (2, 2, "inReview")], "proposal_id bigint, rank bigint, state string")
+    records = spark.createDataFrame([("series", 1, "active", False)], "table string, id bigint, status string, locked boolean")
+    volumes = spark.createDataFrame([(10, 1, 3), (11, 101, 6), (201, 1, 2)], "id bigint, series_id bigint, position int")
+    of = spark.createDataFrame([(301, 1, 7)], "edition_id bigint, series_id bigint, publisher_id bigint")
+    publishers = spark.createDataFrame([(7, "viz", "active")], "id bigint, slug string, status string")
+    none = spark.createDataFrame([], "table string, record_id bigint, seq int")
+    got = approving.approve(proposals, spark.createDataFrame(ops, OP), records, none, publishers, volumes, of, {"series": 100, "volumes": 200, "editions": 300, "releases": 400})
+    assert sorted((r["id"], r["series_id"], r["position"]) for r in got["volumes"].collect()) == [(201, 101, 1), (202, 1, 4)]
+    assert [(r["id"], r["edition_id"], r["series_ids"]) for r in got["releases"].collect()] == [(401, 301, [101])]
+    assert got["coverage"].columns == ["edition_id", "volume_id", "position", "extent"]
