@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.functions import titles
@@ -23,51 +23,56 @@ def first_of_code(releases: DataFrame, titles_of: DataFrame) -> DataFrame:
     return first.where("first.status = 'active'").select("code", "first.release_id").join(titles_of, "release_id")
 
 
-def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(fact_id, rung, outcome, release_id) of every fact.
+def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(fact_id, rung, outcome, release_id) of every fact, and its columns ``keep``.
 
-    ``facts (fact_id, code, title, key, label_key, publisher_id, format, multi)``; ``by_code`` of ``first_of_code``; ``catalog (release_id, key, label_key,
-    publisher_id, format, single, blocked)``, one row for each release under a key and label. The first rung
+    ``facts (fact_id, code, title, key, label_key, publisher_id, format, multi)``; ``by_code`` of ``first_of_code``, a row a code; ``catalog (release_id, key, label_key,
+    publisher_id, format, single, blocked)``, where a release counts once under a key and label. The first rung
     that decides wins: equal code (2: match, or review where no title of the release is similar); several volumes
     (create); one release of the same publisher, single volume and format (3: match, or review where blocked);
     several (3: review); any other but such that differ in format alone (4: review); none (5: create).
 
     Titles are compared by their words; ``words`` beside ``facts``' title and ``words`` (a list a title) beside ``by_code``'s titles spare taking them apart again.
-    The catalog is counted by key first, so a popular title costs a fact no more than a rare one: once by key, label,
-    publisher and format, and the other counts are sums of these.
+    Only facts with a code meet the codes. Facts and releases meet under their key in one shuffle and are counted there in one pass, so a popular title costs a fact no more than a rare one.
     """
-    given = lambda df, of: F.col("words") if "words" in df.columns else of
-    coded = facts.where("code IS NOT NULL").select("fact_id", "code", given(facts, titles.similarity_tokens("title")).alias("told"))
-    named = by_code.select("code", "release_id", given(by_code, F.transform("titles", titles.similarity_tokens)).alias("words"))
-    hits = coded.join(named, "code").select("fact_id", F.struct("release_id", F.exists("words", lambda w: titles.words_similar(w, F.col("told"))).alias("same")).alias("hit"))
-    # a null label meets a null label
-    side = lambda df: df.withColumn("none", F.col("label_key").isNull()).withColumn("label_key", F.coalesce("label_key", F.lit("")))
-    at = ["key", "label_key", "none"]
-    single = F.col("single")
-    finest = side(catalog).groupBy(*at, "publisher_id", "format").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(single).alias("n_single"), F.min(F.when(single, F.struct("release_id", "blocked"))).alias("one"),
-    )
-    # a row for each publisher under a key; its formats are two
-    own = finest.groupBy(*at, "publisher_id").agg(
-        F.sum("n").alias("n"), F.sum("n_single").alias("n_same"), F.map_from_entries(F.collect_list(F.when(F.col("n_single") > 0, F.struct("format", F.struct("n_single", "one"))))).alias("formats"),
-    )
-    whole = own.groupBy(*at).agg(F.sum("n").alias("n_all"))
-    told = side(facts.select("fact_id", "key", "label_key", "publisher_id", "format", "multi"))
-    told = told.join(whole, at, "left").join(own.drop("n"), [*at, "publisher_id"], "left").join(hits, "fact_id", "left").withColumn("strict", F.try_element_at("formats", F.col("format")))
+    c = F.col
+    given = lambda df, of: c("words") if "words" in df.columns else of
+    coded = facts.where("code IS NOT NULL").withColumn("told", given(facts, titles.similarity_tokens("title")))
+    named = by_code.select("code", c("release_id").alias("hit"), given(by_code, F.transform("titles", titles.similarity_tokens)).alias("of"))
+    columns = list(dict.fromkeys(["fact_id", "key", "label_key", "publisher_id", "format", "multi", *keep]))
+    coded = coded.join(named, "code", "left").select(*columns, "hit", F.exists("of", lambda w: titles.words_similar(w, c("told"))).alias("same"))
+    rows = coded.unionByName(facts.where("code IS NULL").select(*columns, F.lit(None).cast(coded.schema["hit"].dataType).alias("hit"), F.lit(None).cast("boolean").alias("same")))
+    # a null label meets a null label, a null key none; facts that are decided without their key are dealt to all tasks
+    at = ["at_key", "at_label", "none", "alone"]
+    looks = c("hit").isNull() & ~F.coalesce("multi", F.lit(False)) & c("key").isNotNull()
+    side = lambda df, looks, alone: df.withColumns({"at_key": F.when(looks, c("key")), "at_label": F.when(looks, F.coalesce("label_key", F.lit(""))), "none": looks & c("label_key").isNull(), "alone": F.when(~looks, alone)})
+    every = F.lit(True)
+    there = side(catalog.where("key IS NOT NULL"), every, F.lit(None).cast(facts.schema["fact_id"].dataType)).select(*at, "publisher_id", "format", "release_id", "single", "blocked", F.lit(False).alias("fact"))
+    rows = side(rows, looks, c("fact_id")).withColumn("fact", F.lit(True)).drop(*{"key", "label_key"} - set(keep)).unionByName(there, allowMissingColumns=True)
+    finest = [*at, "publisher_id", "format"]
+    rows = rows.repartition(*at).sortWithinPartitions(*finest, "release_id")
+    here = Window.partitionBy(*finest, "release_id").orderBy("release_id")
+    rows = rows.withColumn("n", F.when(~c("fact") & (F.row_number().over(here) == 1), 1)).withColumn("single", c("single") & c("n").isNotNull())
+    counted = lambda x, *of: F.sum(x).over(Window.partitionBy(*of))
+    one = F.min(F.when(c("single"), F.struct("release_id", "blocked"))).over(Window.partitionBy(*finest))
+    alone = c("single").cast("int")
+    rows = rows.withColumns({"strict_n": counted(alone, *finest), "one": one}).withColumn("n_same", counted(alone, *at, "publisher_id")).withColumn("n_all", counted("n", *at)).where("fact")
     zero = F.lit(0)
-    strict_n, loose_n = F.coalesce("strict.n_single", zero), F.coalesce("n_all", zero) - F.coalesce("n_same", zero)
-    code = F.col("hit").isNotNull()
-    rung = F.when(code, 2).when(F.col("multi"), 5).when(strict_n > 0, 3).when(loose_n > 0, 4).otherwise(5)
+    count = lambda x, where: F.coalesce(F.when(where, c(x)), zero)
+    by = c("publisher_id").isNotNull()
+    strict_n, loose_n = count("strict_n", by & c("format").isNotNull()), count("n_all", every) - count("n_same", by)
+    code = c("hit").isNotNull()
+    rung = F.when(code, 2).when(c("multi"), 5).when(strict_n > 0, 3).when(loose_n > 0, 4).otherwise(5)
     outcome = (
-        F.when(code & F.col("hit.same"), "match")
+        F.when(code & c("same"), "match")
         .when(code, "review")
-        .when(F.col("multi"), "create")
-        .when((strict_n == 1) & ~F.col("strict.one.blocked"), "match")
+        .when(c("multi"), "create")
+        .when((strict_n == 1) & ~c("one.blocked"), "match")
         .when((strict_n > 0) | (loose_n > 0), "review")
         .otherwise("create")
     )
-    target = F.when(code, F.col("hit.release_id")).when(~F.col("multi") & (strict_n == 1), F.col("strict.one.release_id"))
-    return told.select("fact_id", rung.alias("rung"), outcome.alias("outcome"), target.alias("release_id"))
+    target = F.when(code, c("hit")).when(~c("multi") & (strict_n == 1), c("one.release_id"))
+    return rows.select("fact_id", rung.alias("rung"), outcome.alias("outcome"), target.alias("release_id"), *[x for x in keep if x != "fact_id"])
 
 
 def duplicate_keys(records: DataFrame) -> DataFrame:

@@ -27,28 +27,35 @@ _GATES = """array_to_string(list_filter([CASE WHEN unlinked THEN 'a brand-new Se
       CASE WHEN hint THEN 'an Edition Line (deluxe/omnibus/box-set packaging)' END], lambda x: x IS NOT NULL), '; ')"""
 
 
-def _planned(spark, sf_dir, bootstrap):
+def _planned(spark, sf_dir, bootstrap, keep):
     c, cat = F.col, Catalog(spark, sf_dir)
     part = cat.raw("part").select(c("p_partkey").alias("id"), F.concat(F.lit("Title "), "p_partkey").alias("title"))
     code = lambda x: F.concat(F.lit("c"), x * 10 + 1)
-    facts = cat.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().select(
-        (((c("l_orderkey") * 100000 + c("l_partkey")) * 10000 + c("l_suppkey")) * 10 + c("l_linenumber")).alias("fact_id"), F.lit("s").alias("source_key"),
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("record_id"), c("l_partkey").cast("string").alias("series_key"), F.concat(F.lit("Title "), "l_partkey").alias("title"),
-        F.when(c("l_linenumber") == 7, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array((c("l_linenumber") % 4 + 1).cast("string"))).alias("labels"), F.when(c("l_suppkey") % 7 == 0, "x (Deluxe)").alias("full_title"),
-        F.concat(F.lit("p"), c("l_suppkey") % 3).alias("publisher"), F.when(c("l_orderkey") % 2 == 0, "digital").otherwise("physical").alias("format"),
-        F.when((c("l_partkey") % 4 == 0) & (c("l_orderkey") % 10 == 0), code(c("l_partkey"))).alias("code"),
-    )
+    line = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    record = F.concat_ws("-", *line).alias("record_id")
+
+    def facts(rows, *more):
+        """Facts of line items: texts are made where they are needed, and four numbers travel in their place."""
+        return rows.select(
+            (((c("l_orderkey") * 100000 + c("l_partkey")) * 10000 + c("l_suppkey")) * 10 + c("l_linenumber")).alias("fact_id"), F.lit("s").alias("source_key"),
+            record, c("l_partkey").cast("string").alias("series_key"), F.concat(F.lit("Title "), "l_partkey").alias("title"),
+            F.when(c("l_linenumber") == 7, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array((c("l_linenumber") % 4 + 1).cast("string"))).alias("labels"), F.when(c("l_suppkey") % 7 == 0, "x (Deluxe)").alias("full_title"),
+            F.concat(F.lit("p"), c("l_suppkey") % 3).alias("publisher"), F.when(c("l_orderkey") % 2 == 0, "digital").otherwise("physical").alias("format"),
+            F.when((c("l_partkey") % 4 == 0) & (c("l_orderkey") % 10 == 0), code(c("l_partkey"))).alias("code"), *more,
+        )
+
     stored = part.where("id % 4 = 0").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("position"))
     releases = stored.select((c("id") * 10 + c("position")).alias("release_id"), c("id").alias("series_id"), "title", "position", F.concat(F.lit("p"), c("id") % 3).alias("publisher_id"))
     by_code = matching.first_of_code(releases.where("position = 1").select("release_id", code(c("series_id")).alias("code"), F.lit("active").alias("status")), releases.select("release_id", F.array("title").alias("titles")))
     known = releases.select("release_id", titles.normalize_title("title").alias("key"), titles.label_key(c("position").cast("string")).alias("label_key"), "publisher_id", F.lit("physical").alias("format"), F.lit(True).alias("single"), F.lit(False).alias("blocked"))
     multi = F.size("labels") > 1
-    offered = facts.select("fact_id", "code", "title", titles.normalize_title("title").alias("key"), titles.label_key(F.when(~multi, F.get("labels", F.lit(0)))).alias("label_key"), c("publisher").alias("publisher_id"), "format", multi.alias("multi"))
-    ladder = matching.match_ladder(offered, by_code, known).join(facts.select("fact_id", "code"), "fact_id").select("fact_id", "rung", "outcome", "release_id", F.col("code").isNotNull().alias("known_code"))
+    offered = facts(cat.raw("lineitem").select(*line).distinct(), *line)
+    offered = offered.select("fact_id", "code", "title", titles.normalize_title("title").alias("key"), titles.label_key(F.when(~multi, F.get("labels", F.lit(0)))).alias("label_key"), c("publisher").alias("publisher_id"), "format", multi.alias("multi"), *line)
+    told = facts(matching.match_ladder(offered, by_code, known, tuple(line)), "rung", "outcome", "release_id").withColumn("known_code", c("code").isNotNull())
     links = part.where("id % 4 < 2").select(F.lit("s").alias("source_key"), c("id").cast("string").alias("series_key"), c("id").alias("series_id"))
     keys = part.where("id % 4 < 2").select("id", titles.normalize_title("title").alias("key"))
-    handled = cat.raw("lineitem").where("l_orderkey % 13 = 0").select(F.lit("s").alias("source_key"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("record_id"))
-    return importing.plan(facts, ladder, links, keys, releases.select("release_id", "series_id"), handled, bootstrap), releases
+    handled = cat.raw("lineitem").where("l_orderkey % 13 = 0").select(F.lit("s").alias("source_key"), record)
+    return importing.plan_told(told, links, keys, releases.select("release_id", "series_id"), handled, bootstrap, keep), releases
 
 
 @register(
@@ -60,7 +67,7 @@ def _planned(spark, sf_dir, bootstrap):
 )
 def import_planned(spark, sf_dir):
     """What becomes of every line item with the gates up: linked series alone get new releases."""
-    return _planned(spark, sf_dir, False)[0].select("fact_id", "outcome", "rung", "release_id", "maker", "gates")
+    return _planned(spark, sf_dir, False, ["fact_id"])[0].select("fact_id", "outcome", "rung", "release_id", "maker", "gates")
 
 
 @register(
@@ -81,7 +88,7 @@ def import_planned(spark, sf_dir):
 def import_created(spark, sf_dir):
     """The rows that all line items make with the gates lifted."""
     c = F.col
-    planned, stored = _planned(spark, sf_dir, True)
+    planned, stored = _planned(spark, sf_dir, True, ["fact_id", "source_key", "record_id", "series_key", "title", "labels", "publisher", "format", "code"])
     volumes = stored.select((c("series_id") * 100 + c("position")).alias("id"), "series_id", c("position").cast("string").alias("label"), "position", F.lit("active").alias("status"))
     editions = stored.select(c("release_id").alias("id"), (F.substring("publisher_id", 2, 1).cast("bigint") + 1).alias("publisher_id"), F.lit("active").alias("status"), F.lit(False).alias("locked"), F.lit(None).cast("int").alias("line_id"))
     coverage = stored.select(c("release_id").alias("edition_id"), (c("series_id") * 100 + c("position")).alias("volume_id"), F.lit(1).alias("position"), F.lit("complete").alias("extent"))
@@ -103,4 +110,4 @@ def import_created(spark, sf_dir):
 )
 def import_queue(spark, sf_dir):
     """The plans that line items put before a moderator."""
-    return importing.queued_ops(_planned(spark, sf_dir, False)[0]).withColumn("refs", F.array_join("refs", ","))
+    return importing.queued_ops(_planned(spark, sf_dir, False, ["fact_id", "labels"])[0]).withColumn("refs", F.array_join("refs", ","))
