@@ -88,7 +88,7 @@ def import_planned(spark, sf_dir):
 def import_created(spark, sf_dir):
     """The rows that all line items make with the gates lifted."""
     c = F.col
-    planned, stored = _planned(spark, sf_dir, True, ["fact_id", "source_key", "record_id", "series_key", "title", "labels", "publisher", "format", "code"])
+    planned, stored = _planned(spark, sf_dir, True, ["fact_id", "source_key", "series_key", "title", "labels", "publisher", "format"])
     volumes = stored.select((c("series_id") * 100 + c("position")).alias("id"), "series_id", c("position").cast("string").alias("label"), "position", F.lit("active").alias("status"))
     editions = stored.select(c("release_id").alias("id"), (F.substring("publisher_id", 2, 1).cast("bigint") + 1).alias("publisher_id"), F.lit("active").alias("status"), F.lit(False).alias("locked"), F.lit(None).cast("int").alias("line_id"))
     coverage = stored.select(c("release_id").alias("edition_id"), (c("series_id") * 100 + c("position")).alias("volume_id"), F.lit(1).alias("position"), F.lit("complete").alias("extent"))
