@@ -52,3 +52,20 @@ def test_facts_are_shuffled_a_few_times(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     for name, most in (("import_planned", 5), ("import_queue", 5), ("import_created", 7.8)):
         assert _shuffled(spark, lambda: registry.queries()[name](spark, sf_dir)) < most * lines, name
+
+
+def test_pages_shuffle_what_can_not_be_told_there(spark, sf_dir):
+    """Wide rows were shuffled by publisher, and with titles that no series page shows and anchors that the codes tell."""
+    from catalogspark.operators import nested
+    from catalogspark.plans.nested import _shelf
+    from catalogspark.sources.fixture import Catalog
+
+    shelf = _shelf(Catalog(spark, sf_dir))
+    assert "anchor" not in nested._edition_releases(shelf).schema.simpleString()
+    assert "title" not in nested._widened(shelf, False).schema.simpleString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = nested.editions_whole(shelf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [line for line in whole if "publisher_id" in line and "Join" in line] and not [line for line in whole if "publisher_id" in line and "Join" in line and "releases" in line]
