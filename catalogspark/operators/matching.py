@@ -37,10 +37,13 @@ def match_ladder(facts: DataFrame, by_code: DataFrame, catalog: DataFrame, keep:
     """
     c = F.col
     given = lambda df, of: c("words") if "words" in df.columns else of
-    coded = facts.where("code IS NOT NULL").withColumn("told", given(facts, titles.similarity_tokens("title")))
-    named = by_code.select("code", c("release_id").alias("hit"), given(by_code, F.transform("titles", titles.similarity_tokens)).alias("of"))
+    # words have no blanks, and as one text they are half as wide on their way
+    packed = lambda words: F.array_join(words, " ")
+    unpacked = lambda text: F.filter(F.split(text, " "), lambda x: x != "")
+    coded = facts.where("code IS NOT NULL").withColumn("told", packed(given(facts, titles.similarity_tokens("title"))))
+    named = by_code.select("code", c("release_id").alias("hit"), F.transform(given(by_code, F.transform("titles", titles.similarity_tokens)), packed).alias("of"))
     columns = list(dict.fromkeys(["fact_id", "key", "label_key", "publisher_id", "format", "multi", *keep]))
-    coded = coded.join(named, "code", "left").select(*columns, "hit", F.exists("of", lambda w: titles.words_similar(w, c("told"))).alias("same"))
+    coded = coded.join(named, "code", "left").select(*columns, "hit", F.exists("of", lambda w: titles.words_similar(unpacked(w), unpacked(c("told")))).alias("same"))
     rows = coded.unionByName(facts.where("code IS NULL").select(*columns, F.lit(None).cast(coded.schema["hit"].dataType).alias("hit"), F.lit(None).cast("boolean").alias("same")))
     # a null label meets a null label, a null key none; facts that are decided without their key are dealt to all tasks
     at = ["at_key", "at_label", "none", "alone"]

@@ -152,7 +152,7 @@ def match_ladder(spark, sf_dir):
     catalog = c.coverage.select("release_id", "series_id", titles.label_key(F.col("position").cast("string")).alias("label_key"))
     catalog = catalog.join(live, "release_id").join(size, "release_id").withColumn("blocked", (F.col("release_id") % 23 == 0) | (F.col("release_id") % 29 == 0))
     # titles last: they are wider than all the rest and two for each series
-    catalog = catalog.join(keys, "series_id").drop("series_id").distinct()
+    catalog = catalog.join(keys, "series_id").drop("series_id")
     return matching.match_ladder(facts, by_code, catalog)
 
 

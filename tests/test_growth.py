@@ -69,3 +69,13 @@ def test_pages_shuffle_what_can_not_be_told_there(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [line for line in whole if "publisher_id" in line and "Join" in line] and not [line for line in whole if "publisher_id" in line and "Join" in line and "releases" in line]
+
+
+def test_a_release_counts_once_under_a_key(spark):
+    """Rows of a release that covers two series of one title need no shuffle of their own to become one; nulls meet nothing but a null label."""
+    facts = spark.createDataFrame([(1, None, "tom", None, 1, "physical", False), (2, None, "tom", "1", None, "physical", False), (3, None, None, None, 1, "physical", False), (4, None, "tom", "1", 1, None, False), (5, "A", "tom", None, 1, "digital", True)], "fact_id int, code string, key string, label_key string, publisher_id int, format string, multi boolean").withColumn("title", F.lit("a b"))
+    catalog = spark.createDataFrame([(7, "tom", None, 1, "physical", True, False)] * 2 + [(8, "tom", "1", 1, "physical", True, False), (9, None, None, 1, "physical", True, False)], "release_id int, key string, label_key string, publisher_id int, format string, single boolean, blocked boolean")
+    by_code = spark.createDataFrame([("A", 3, [""])], "code string, release_id int, titles array<string>")
+    got = matching.match_ladder(facts, by_code, catalog, ("title",))
+    assert sorted(map(tuple, got.drop("title").collect()), key=str) == [(1, 3, "match", 7), (2, 4, "review", None), (3, 5, "create", None), (4, 5, "create", None), (5, 2, "match", 3)]
+    assert got.columns == ["fact_id", "rung", "outcome", "release_id", "title"]
